@@ -52,18 +52,25 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     ).withColumn("_lines", F.filter(F.split(body, "\n"), lambda line: line.rlike(WORD)))
     # equal windows have equal hashes: only texts with equal hashes pay for the exact comparison
     out = out.withColumn("_again", F.size(F.array_distinct("_grams")) < F.size("_grams"))
+    # a few repeated hashes are looked up window by window; where there are many, all windows are compared
+    out = out.withColumn("_order", F.expr("CASE WHEN _again THEN sort_array(_grams) END"))
+    out = out.withColumn("_twice", F.expr("array_distinct(filter(_order, (x, k) -> x = get(_order, k - 1)))"))
     out = out.withColumn(
-        "_sorted",
+        "_at",
         F.expr(
-            "CASE WHEN _again THEN sort_array(transform(sequence(0, size(_words) - 3), i -> struct("
-            "concat_ws(' ', _words[i], _words[i + 1], _words[i + 2]) AS g, i AS p))) END"
+            "CASE WHEN size(_twice) <= 16 THEN filter(sequence(0, size(_grams) - 1), i -> array_contains(_twice, _grams[i]))"
+            " WHEN _again THEN sequence(0, size(_grams) - 1) END"
         ),
     )
+    out = out.withColumn(
+        "_sorted",
+        F.expr("sort_array(transform(_at, i -> struct(concat_ws(' ', _words[i], _words[i + 1], _words[i + 2]) AS g, i AS p)))"),
+    )
     out = out.withColumn(
         "_covered",
         F.expr(
-            "CASE WHEN _again THEN array_distinct(flatten(transform(filter(_sorted, (x, k) -> "
-            "x.g = get(_sorted, k - 1).g OR x.g = get(_sorted, k + 1).g), x -> array(x.p, x.p + 1, x.p + 2)))) END"
+            "array_distinct(flatten(transform(filter(_sorted, (x, k) -> "
+            "x.g = get(_sorted, k - 1).g OR x.g = get(_sorted, k + 1).g), x -> array(x.p, x.p + 1, x.p + 2))))"
         ),
     )
     return out.withColumns(
@@ -71,9 +78,9 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.coalesce(F.size("_covered"), F.lit(0)).cast("long"),
+            "n_repeat_words": F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_covered")).cast("long"),
         }
-    ).drop("_words", "_grams", "_lines", "_again", "_sorted", "_covered")
+    ).drop("_words", "_grams", "_lines", "_again", "_order", "_twice", "_at", "_sorted", "_covered")
 
 
 def judge(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
