@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filter
+from . import bpe, quality_rules, simhash, url_filter
 from .common import table
 
 QUERIES = {
     "op6_url_filter": lambda spark, sf_dir: url_filter.query(table(spark, sf_dir, "pages")),
+    "op7_bpe": lambda spark, sf_dir: bpe.query(table(spark, sf_dir, "documents")),
     "op8_quality_rules": lambda spark, sf_dir: quality_rules.query(table(spark, sf_dir, "documents")),
+    "op10_simhash": lambda spark, sf_dir: simhash.query(table(spark, sf_dir, "documents")),
 }
 ORACLE_SQL = {"op6_url_filter": url_filter.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
