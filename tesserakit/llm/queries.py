@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, simhash, url_filter
+from . import bpe, quality_rules, simhash, substring, url_filter
 from .common import table
 
 QUERIES = {
+    "op3_substring_dedup": lambda spark, sf_dir: substring.query(table(spark, sf_dir, "documents")),
     "op6_url_filter": lambda spark, sf_dir: url_filter.query(table(spark, sf_dir, "pages")),
     "op7_bpe": lambda spark, sf_dir: bpe.query(table(spark, sf_dir, "documents")),
     "op8_quality_rules": lambda spark, sf_dir: quality_rules.query(table(spark, sf_dir, "documents")),
