@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, simhash, substring, url_filter
+from . import bpe, mixing, quality_rules, sharding, simhash, substring, url_filter
 from .common import table
 
 QUERIES = {
+    "op2_mixing": lambda spark, sf_dir: mixing.query(table(spark, sf_dir, "documents")),
     "op3_substring_dedup": lambda spark, sf_dir: substring.query(table(spark, sf_dir, "documents")),
+    "op5_sharding": lambda spark, sf_dir: sharding.query(table(spark, sf_dir, "documents")),
     "op6_url_filter": lambda spark, sf_dir: url_filter.query(table(spark, sf_dir, "pages")),
     "op7_bpe": lambda spark, sf_dir: bpe.query(table(spark, sf_dir, "documents")),
     "op8_quality_rules": lambda spark, sf_dir: quality_rules.query(table(spark, sf_dir, "documents")),
