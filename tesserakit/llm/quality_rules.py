@@ -99,7 +99,9 @@ def judge(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents with their cleaned texts, in the columns they came in."""
-    out = judge(docs).filter("kept").withColumn("text", F.col("clean_text"))
+    # a filter on ``kept`` itself would move below all projections, each of which it would repeat many times over
+    once = F.col("kept") & (F.monotonically_increasing_id() >= 0)
+    out = judge(docs).withColumn("_once", once).filter("_once").withColumn("text", F.col("clean_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
