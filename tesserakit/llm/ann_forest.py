@@ -74,7 +74,9 @@ class Forest:
     def nearest(self, query_ids: np.ndarray, q: np.ndarray, k: int, budget: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query_id, ids, distances) of the k nearest candidates of each query."""
         low, high = self.ranges(q)
-        enough = (high - low).sum(1) >= max(4 * k, budget * len(self.x))
+        # a row counts once a tree at most: so many make k rows besides the query's own, or the whole block
+        own = (self.ids[None, :] == query_ids[:, None]).sum(1)
+        enough = (high - low).sum(1) >= np.maximum(self.trees * np.minimum(len(self.x), k + own), budget * len(self.x))
         # all trees ascend to the deepest level that holds enough candidates; to the root if none does
         stop = np.where(enough.any(0), self.bits - np.argmax(enough[::-1], 0), 0)
         norms = (self.x**2).sum(1)
