@@ -1,59 +1,23 @@
-"""Helpers that the training-data operators share: tables, word rules and recoverable cuts of lineage."""
+"""Helpers that the training-data operators share: word rules, tables and recoverable cuts of lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from urllib.parse import unquote, urlparse
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut, release, table, write_cut
+
+__all__ = ["SPACE", "WORD", "cut", "release", "shuffle_partitions", "table", "words", "write_cut"]
+
 #: A word is a run of anything but these six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def words(text: Column) -> Column:
     """The words of a text in order; an empty array for a null text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tesserakit-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def write_cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tesserakit-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    return write_cut(df, name)[0]
-
-
-def release(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that ``write_cut`` wrote and nothing reads any more."""
-    for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def local_path(url: str) -> str:
-    return unquote(urlparse(url).path)

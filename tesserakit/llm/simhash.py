@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import cut, shuffle_partitions
-from .components import components
 
 MAX_BITS = 3
 ROWS = 256
