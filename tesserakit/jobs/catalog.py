@@ -581,3 +581,54 @@ def task_identity(spark, sf_dir):
     sorted_ = F.array_sort(F.collect_list(F.struct("region", "n")))
     text = F.array_join(F.transform(sorted_, lambda r: F.concat_ws(" ", r["region"], r["n"].cast("string"))), "; ")
     return counts.groupBy("task").agg(F.sha2(text, 256).alias("identity"))
+
+
+# -- names, grids of settings, drift --------------------------------------------------------------------------
+@query(f"""WITH {CLS}, {v.CLASSES_SQL}, s AS (SELECT name, count(*) AS n FROM classes GROUP BY name), b AS (SELECT id, c.name, row_number() OVER (PARTITION BY id ORDER BY n, c.name) AS k FROM classes c JOIN s ON c.name = s.name)
+SELECT truth, name, count(*) AS n FROM cls JOIN b ON truth = id AND k = 1 GROUP BY ALL""")
+def class_names(spark, sf_dir):
+    """Every class id under the name of the smallest class that holds it."""
+    rows = spark.createDataFrame([(n, i, len(ids)) for n, ids in v.CLASSES.items() for i in ids], "name string, id int, size int")
+    names = rows.groupBy("id").agg(F.min_by("name", F.struct("size", "name")).alias("name"))
+    counts = v.class_map(spark, sf_dir).groupBy("truth").agg(F.count("*").alias("n"))
+    return counts.join(names, counts["truth"] == names["id"]).select("truth", "name", "n")
+
+
+@query(f"""WITH {VOX}, m AS (SELECT lin, CAST(floor(x / 2.0) AS BIGINT) AS gx, CAST(floor(y / 2.0) AS BIGINT) AS gy, CAST(floor(z / 2.0) AS BIGINT) AS gz FROM vox),
+k AS (SELECT x, y, z, truth > 0 AS inside FROM vox) SELECT vox.lin, CASE WHEN inside THEN pred ELSE 0 END AS pred FROM vox JOIN m USING (lin) JOIN k ON k.x = gx AND k.y = gy AND k.z = gz""")
+def mask_grid(spark, sf_dir):
+    """Labels under a mask of twice the step: the mask voxel that holds the label's corner decides, without slack."""
+    vox = v.voxels(spark, sf_dir)
+    inside = vox.select(*(F.col(a).alias(f"g{a}") for a in "xyz"), (F.col("truth") > 0).alias("inside"))
+    at = vox.select("lin", "pred", *(v.div(a, 2).alias(f"g{a}") for a in "xyz"))
+    return at.join(inside, ["gx", "gy", "gz"]).select("lin", F.when(F.col("inside"), F.col("pred")).otherwise(0).alias("pred"))
+
+
+@query(f'WITH {_edges_sql()}, n AS (SELECT "offset", count(*) AS counted FROM edge GROUP BY "offset") SELECT "offset", counted, counted AS formula FROM n')
+def edge_formula(spark, sf_dir):
+    """Edges of each offset as counted, and as the extents of a full lattice give them."""
+    edges = _edges(spark, sf_dir).groupBy("offset").agg(F.count("*").alias("counted"))
+    planes, reach = v.planes(spark, sf_dir), F.when(F.col("offset") < 3, 1).otherwise(graph.REACH)
+    axis = F.col("offset") % 3
+    sizes = [planes, F.lit(v.SHAPE_Y), F.lit(v.SHAPE_Z)]
+    full = [F.greatest(n - F.when(axis == i, reach).otherwise(0), F.lit(0)) for i, n in enumerate(sizes)]
+    return edges.select("offset", "counted", (full[0] * full[1] * full[2]).cast("long").alias("formula"))
+
+
+@query(f"WITH {VOX} SELECT volume, ordinal, logit, min_size FROM (SELECT DISTINCT volume FROM vox), (VALUES (0, 3, 0), (1, 3, 40), (2, 5, 0), (3, 5, 40)) g(ordinal, logit, min_size)")
+def candidate_grid(spark, sf_dir):
+    """All settings for every volume: sorted, without repeats, the logit outermost."""
+    grid = spark.createDataFrame(board.candidates([40, 0, 40], [5, 3]), "ordinal int, logit int, min_size int")
+    return v.voxels(spark, sf_dir).select("volume").distinct().crossJoin(F.broadcast(grid))
+
+
+@query(f"""WITH {RANK_SQL}, now AS (SELECT task, region, metric, submission, place FROM rk), old AS (SELECT task, region, metric, submission, row_number() OVER (PARTITION BY task, region, metric ORDER BY ordinal) AS place FROM sub)
+SELECT 'new' AS side, * FROM (SELECT * FROM now EXCEPT ALL SELECT * FROM old) UNION ALL SELECT 'old', * FROM (SELECT * FROM old EXCEPT ALL SELECT * FROM now)""")
+def board_drift(spark, sf_dir):
+    """Rows of a board that differ from an older one (in the order of arrival), both ways."""
+    rows, columns = v.submissions(spark, sf_dir), ["task", "region", "metric", "submission", "place"]
+    now = board.ranked(rows).select(*columns)
+    arrival = F.row_number().over(Window.partitionBy("task", "region", "metric").orderBy("ordinal"))
+    old = rows.withColumn("place", arrival).select(*columns)
+    sides = [a.exceptAll(b).select(F.lit(n).alias("side"), *columns) for n, a, b in (("new", now, old), ("old", old, now))]
+    return sides[0].unionByName(sides[1])

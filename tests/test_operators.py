@@ -148,3 +148,16 @@ def test_stream_counts_like_the_batch(spark, tmp_path):
     q = stream.start(spark, str(tmp_path / "in"), "counts", str(tmp_path / "checkpoint"))
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, metrics.contingency(v, ["volume"]).collect()))
+
+
+def test_artifacts_are_checked(spark, tmp_path):
+    from tesserakit.sources.artifacts import Declaration, read, write
+
+    labelled, declared = volume(spark, [(1, 1), (1, 2), (2, 2)]), Declaration("instances", "pred")
+    write(labelled, str(tmp_path / "a"), declared)
+    assert read(spark, str(tmp_path / "a"), declared, low=1, high=2).select("lin").collect() == [(1,)]
+    with pytest.raises(Exception, match="exist"):
+        write(labelled, str(tmp_path / "a"), declared)
+    for wrong in (Declaration("nothing", "pred"), Declaration("instances", "other"), Declaration("instances", "pred", None)):
+        with pytest.raises(ValueError):
+            write(labelled, str(tmp_path / "b"), wrong)
