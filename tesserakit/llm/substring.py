@@ -7,7 +7,8 @@ hash among its 26 runs of 25 words: equal windows have equal anchors, neighbouri
 the sketch holds about one thirteenth of the windows and can only overestimate them. Partition sketches are sent
 as sorted cells by range and merged into bitmaps of the cells that at least two documents reach.
 Pass 2 groups exactly the windows whose anchor may be in two documents, by 96 bits of hash, for their smallest
-doc_id, aggregating before the shuffle. Pass 3 joins these windows to the ones that repeat and marks the words.
+doc_id, aggregating before the shuffle. Pass 3 joins these windows to their smallest doc_id; each document gets the
+list of its windows that a smaller one has, and marks their words.
 
 The merged sketch is the only thing on the driver and in broadcasts. Its size follows the input up to MAX_CELLS
 (two rows of one bit a cell, 128 MB at most); beyond it only prunes less, and the grouping has more to do.
@@ -170,7 +171,7 @@ def bitmap(docs: DataFrame, bits: int, window: int = WINDOW) -> bytes:
 
 
 def suspects(docs: DataFrame, shared, bits: int, window: int = WINDOW) -> DataFrame:
-    """Windows that the sketch says may be in two documents: doc_id, text_hash, g1, g2, at (its first word)."""
+    """Windows that the sketch says may be in two documents, each once a document: doc_id, g1, g2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -183,74 +184,73 @@ def suspects(docs: DataFrame, shared, bits: int, window: int = WINDOW) -> DataFr
                 good &= (twice[row][cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
             return good
 
-        names = ["doc_id", "text_hash", "g1", "g2", "at"]
+        names = ["doc_id", "g1", "g2"]
         held: list[list[np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
 
-        for rows, i, tokens in _texts(batches, 2):
+        for rows, i, tokens in _texts(batches, 1):
             if len(tokens) < window:
                 continue
             h = rolling.hashes(tokens)
             found, which = np.unique(anchors(rolling, h, window), return_inverse=True)
             at = np.flatnonzero(may_repeat(found)[which])
             if len(at):
-                g1 = rolling.runs(h, window, BASES[0])[at].view(np.int64)
-                g2 = (rolling.runs(h, window, BASES[1])[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                ids = [np.full(len(at), rows.column(c)[i].as_py(), np.int64) for c in (0, 1)]
-                held.append([*ids, g1, g2, at.astype(np.int32)])
-                if (size := size + len(at)) >= 50_000:
+                g1, first = np.unique(rolling.runs(h, window, BASES[0])[at], return_index=True)
+                g2 = (rolling.runs(h, window, BASES[1])[at[first]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                held.append([np.full(len(g1), rows.column(0)[i].as_py(), np.int64), g1.view(np.int64), g2])
+                if (size := size + len(g1)) >= 50_000:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    narrow = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return narrow.mapInArrow(run, "doc_id long, text_hash long, g1 long, g2 int, at int")
+    narrow = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    return narrow.mapInArrow(run, "doc_id long, g1 long, g2 int")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_hash, starts): the windows of each document that a smaller doc_id has too."""
+    """(doc_id, gone): the hashes of the windows of each doc_id that a smaller one has too."""
     bits = choose_bits(docs, window)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(docs, bits, window))
     found = suspects(docs, shared, bits, window)
-    least = found.groupBy("g1", "g2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    least = found.groupBy("g1", "g2").agg(F.min("doc_id").alias("least"))
     least = least.select(F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), "least")
     late = found.join(least, (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2")) & (F.col("doc_id") > F.col("least")))
-    return late.groupBy("doc_id", "text_hash").agg(F.collect_list("at").alias("starts"))
+    return late.groupBy("doc_id").agg(F.collect_list("g1").alias("gone"))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Add n_words, n_removed and kept_text (the kept words joined by one space) to every row."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    gone = repeats(docs.select("doc_id", "text"), window).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "starts")
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    rows = rows.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    rows = rows.select(*docs.columns, F.col("starts").alias("_starts"))
-    text_at, starts_at = docs.columns.index("text"), len(docs.columns)
+    gone = repeats(docs.select("doc_id", "text"), window).select(F.col("doc_id").alias("_id"), "gone")
+    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left").select(*docs.columns, F.col("gone").alias("_gone"))
+    text_at, gone_at = docs.columns.index("text"), len(docs.columns)
     names = [*docs.columns, "n_words", "n_removed", "kept_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
                 n_words, n_removed, kept = [], [], []
-                for text, starts in zip(part.column(text_at).to_pylist(), part.column(starts_at), strict=True):
+                for text, listed in zip(part.column(text_at).to_pylist(), part.column(gone_at), strict=True):
                     tokens = (text or "").encode().split()
                     n_words.append(len(tokens))
-                    if starts.is_valid:
+                    if listed.is_valid and len(tokens) >= window:
+                        own = rolling.runs(rolling.hashes(tokens), window, BASES[0])
+                        first = np.flatnonzero(np.isin(own, listed.values.to_numpy().view(np.uint64)))
                         edge = np.zeros(len(tokens) + 1, np.int64)
-                        first = starts.values.to_numpy()
-                        np.add.at(edge, first, 1)
-                        np.add.at(edge, first + window, -1)
+                        edge[first] += 1
+                        edge[first + window] -= 1
                         stays = np.cumsum(edge[:-1]) == 0
                         tokens = [t for t, stay in zip(tokens, stays.tolist(), strict=True) if stay]
                     n_removed.append(n_words[-1] - len(tokens))
                     kept.append(b" ".join(tokens).decode())
                 made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:starts_at], *made], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:gone_at], *made], names=names)
 
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     return rows.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
