@@ -28,6 +28,8 @@ CAP = 3.0
 TOLERANCE, MOST_STEPS = 1e-9, 60
 OFFSETS = 64
 MADE = ["size", "source_size", "target", "rate", "copies", "taken"]
+#: Tables of a row a source are broadcast up to so many sources; of more they are shuffled.
+BROADCAST_SOURCES = 100_000
 #: Hash blocks of a size class of a source; more than one where a class has more rows than BLOCK_ROWS.
 BLOCK_ROWS = 500_000
 
@@ -88,6 +90,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     histogram = cut(keys.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     rates = cut(balance(histogram, targets(totals, weights, cap)), "rates")
+    few = rates.count() <= BROADCAST_SOURCES
 
     largest = keys.groupBy("source", "_class").count().agg(F.max("count")).first()[0] or 0
     blocks = max(1, -(-largest // BLOCK_ROWS) * 4, min(16, largest // 256))
@@ -112,8 +115,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     tried = numbered.groupBy("source").agg(F.max("target").alias("_target"), *tries)
     misses = [F.struct(F.abs(F.col(f"_t{k}") - F.col("_target")).alias("miss"), F.lit((k + 0.5) / OFFSETS).alias("offset")) for k in range(OFFSETS)]
     best = tried.select(F.col("source").alias("_source"), F.least(*misses)["offset"].alias("_offset"))
-    chosen = numbered.join(best, F.col("source").eqNullSafe(F.col("_source")))
-    chosen = even_out(chosen.withColumn("copies", copies(F.col("_offset")).cast("int")).drop("_source", "_offset"), cap)
+    chosen = numbered.join(F.broadcast(best) if few else best, F.col("source").eqNullSafe(F.col("_source")))
+    chosen = even_out(chosen.withColumn("copies", copies(F.col("_offset")).cast("int")).drop("_source", "_offset"), cap, few)
     chosen = chosen.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
     if narrow:
         return chosen.select("doc_id", "source", *MADE)
@@ -128,17 +131,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     return left.join(right, match).select(*docs.columns, *MADE)
 
 
-def even_out(chosen: DataFrame, cap: float) -> DataFrame:
+def even_out(chosen: DataFrame, cap: float, few: bool) -> DataFrame:
     """One copy more or less of one document of each source: the one whose size leaves the least of the miss."""
     miss = chosen.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("_miss"))
     miss = miss.select(F.col("source").alias("_source"), "_miss")
-    open_ = chosen.join(miss, F.col("source").eqNullSafe(F.col("_source")))
+    open_ = chosen.join(F.broadcast(miss) if few else miss, F.col("source").eqNullSafe(F.col("_source")))
     step = F.when((F.col("_miss") > 0) & (F.col("copies") < int(cap)), 1).when((F.col("_miss") < 0) & (F.col("copies") > 0), -1)
     left = F.abs(F.col("_miss") - step * F.col("size"))
     best = open_.withColumn("_step", step).filter((F.col("_step").isNotNull()) & (left < F.abs("_miss")))
     best = best.groupBy("source").agg(F.min(F.struct(left.alias("left"), "_place", "_step")).alias("_best"))
     best = best.select(F.col("source").alias("_source"), F.col("_best._place").alias("_which"), F.col("_best._step").alias("_step"))
-    out = chosen.join(best, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_place") == F.col("_which")), "left")
+    out = chosen.join(F.broadcast(best) if few else best, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_place") == F.col("_which")), "left")
     return out.withColumn("copies", F.col("copies") + F.coalesce("_step", F.lit(0))).drop("_source", "_which", "_step")
 
 
