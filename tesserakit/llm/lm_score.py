@@ -2,25 +2,36 @@
 
 Words are counted over the whole corpus. The FREQUENT most frequent words are classes of their own; all others fall
 into RARE classes by hash. A network in numpy predicts the class of every word from the two words on either side,
-the word itself masked; within a rare class the words that the corpus holds are equally likely. The sum of the
-logarithms of these conditional probabilities over a whole text is its score.
+the word itself masked. A word's chance within its class is its share of the class' words in the corpus, so its whole
+chance is P(class | context) x n(word) / n(class). The sum of the logarithms over a whole text is its score.
 
-Counting aggregates in the tasks before its shuffle, so what is sent grows with the corpus' vocabulary. The driver
-gets the frequent words, a count a rare class, and a training sample of at most SAMPLE documents of at most
-SAMPLE_WORDS classes each (windows spread over the whole text). Scoring reads every word, without a shuffle.
+Training: a sample gives the network a start, on the driver. Then every window of every document trains it: each
+task goes through its part of the corpus by Adam from that start, and the results are averaged by their windows.
+Small corpora are gone through several times. The network thus depends a little on how the table is cut into splits.
 
-Defined results: null and empty texts have no words, score 0 and a null mean; repeated rows get the same score;
-other columns pass through.
+The vocabulary is the corpus' own. Tasks know the LISTED most frequent words at most, with their counts; all rarer
+words of a document go to the table of counts by a join, told apart by 64 bits of hash. Documents are split into
+words once, and kept as a byte a word (its class) with their rarer words.
+
+The driver gets the listed words, a count a class, at most GROUPS summed networks, and the sample for the start: at
+most SAMPLE documents of at most SAMPLE_WORDS windows each, spread evenly over the whole text.
+
+Defined results: null and empty texts have no words, score 0 and a null mean; repeated rows get the same score but
+for rounding; other columns pass through.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +42,11 @@ FREQUENT, RARE = 128, 128
 CLASSES = FREQUENT + RARE
 SIDE, EMBED, HIDDEN = 2, 16, 32
 SAMPLE, SAMPLE_WORDS, EPOCHS, BATCH = 1200, 256, 4, 1024
+#: Words whose counts every task holds; the others are joined.
+LISTED = 100_000
+#: Windows that a task shuffles before it trains on them, those that a small corpus is repeated up to, and how often.
+CHUNK, ENOUGH, REPEATS = 1 << 16, 2_000_000, 20
+GROUPS = 16
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 300_000
 ROWS = 128
@@ -91,6 +107,7 @@ class Network:
         p = {"embed": rng.normal(0, 0.3, (CLASSES + 1, EMBED)), "inner": rng.normal(0, 0.2, (2 * SIDE * EMBED, HIDDEN)), "bias": np.zeros(HIDDEN)}
         p |= {"outer": rng.normal(0, 0.1, (HIDDEN, CLASSES)), "level": np.zeros(CLASSES)}
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
+        self.first, self.second, self.t = {}, {}, 0
 
     @staticmethod
     def contexts(classes: np.ndarray) -> np.ndarray:
@@ -98,30 +115,34 @@ class Network:
         padded = np.concatenate((np.full(SIDE, CLASSES), classes, np.full(SIDE, CLASSES)))
         return np.stack([padded[SIDE + o : SIDE + o + len(classes)] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1)
 
-    def fit(self, contexts: np.ndarray, classes: np.ndarray, seed: int = 4) -> None:
-        rng, first, second, t, p = np.random.default_rng(seed), {}, {}, 0, self.p
-        share = np.bincount(classes, minlength=CLASSES) + 1.0
-        p["level"] = np.log(share / share.sum()).astype(np.float32)
-        for epoch in range(EPOCHS):
-            rate = 0.003 if epoch < EPOCHS - 1 else 0.001
+    def step(self, contexts: np.ndarray, classes: np.ndarray, rate: float) -> None:
+        """One step of Adam on a batch."""
+        p, n = self.p, len(classes)
+        self.t += 1
+        x = p["embed"][contexts].reshape(n, -1)
+        h = np.tanh(x @ p["inner"] + p["bias"])
+        d = h @ p["outer"]
+        d += p["level"]
+        d -= d.max(1, keepdims=True)
+        np.exp(d, out=d)
+        d /= d.sum(1, keepdims=True) * n
+        d[np.arange(n), classes] -= np.float32(1 / n)
+        dh = (d @ p["outer"].T) * (1 - h * h)
+        dx = (dh @ p["inner"].T).ravel()
+        at = (contexts.reshape(-1, 1) * EMBED + np.arange(EMBED)).ravel()
+        embed = np.bincount(at, dx, (CLASSES + 1) * EMBED).reshape(-1, EMBED).astype(np.float32)
+        for name, g in {"embed": embed, "inner": x.T @ dh, "bias": dh.sum(0), "outer": h.T @ d, "level": d.sum(0)}.items():
+            self.first[name] = 0.9 * self.first.get(name, 0) + 0.1 * g
+            self.second[name] = 0.999 * self.second.get(name, 0) + 0.001 * g * g
+            p[name] = (p[name] - rate * self.first[name] / (1 - 0.9**self.t) / (np.sqrt(self.second[name] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
+
+    def fit(self, contexts: np.ndarray, classes: np.ndarray, epochs: int, rates: tuple[float, float], rng: np.random.Generator) -> None:
+        """Shuffled epochs; the last one at the second rate."""
+        for epoch in range(epochs):
             order = rng.permutation(len(classes))
             for k in range(0, len(order), BATCH):
-                at, t = order[k : k + BATCH], t + 1
-                x = p["embed"][contexts[at]].reshape(len(at), -1)
-                h = np.tanh(x @ p["inner"] + p["bias"])
-                z = h @ p["outer"] + p["level"]
-                z = np.exp(z - z.max(1, keepdims=True))
-                d = z / z.sum(1, keepdims=True)
-                d[np.arange(len(at)), classes[at]] -= 1
-                d /= len(at)
-                dh = (d @ p["outer"].T) * (1 - h * h)
-                dx = (dh @ p["inner"].T).reshape(-1, EMBED)
-                ids = contexts[at].ravel()
-                embed = np.stack([np.bincount(ids, dx[:, e], CLASSES + 1) for e in range(EMBED)], 1)
-                for name, g in {"embed": embed, "inner": x.T @ dh, "bias": dh.sum(0), "outer": h.T @ d, "level": d.sum(0)}.items():
-                    first[name] = 0.9 * first.get(name, 0) + 0.1 * g
-                    second[name] = 0.999 * second.get(name, 0) + 0.001 * g * g
-                    p[name] = (p[name] - rate * first[name] / (1 - 0.9**t) / (np.sqrt(second[name] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+                at = order[k : k + BATCH]
+                self.step(contexts[at], classes[at], rates[epoch == epochs - 1])
 
     def tables(self) -> np.ndarray:
         """What each class on each side adds to the hidden units: (4, CLASSES + 1, HIDDEN)."""
@@ -134,67 +155,171 @@ class Network:
             c = around[k : k + 2048]
             h = np.tanh(sum(tables[s][c[:, s]] for s in range(2 * SIDE)) + self.p["bias"])
             z = h @ self.p["outer"] + self.p["level"]
-            top = z.max(1)
+            z -= z.max(1, keepdims=True)
             own = z[np.arange(len(c)), classes[k : k + 2048]]
-            out[k : k + 2048] = own - top - np.log(np.exp(z - top[:, None]).sum(1))
+            out[k : k + 2048] = own - np.log(np.exp(z, out=z).sum(1))
         return out
 
 
-def train(docs: DataFrame, counts: DataFrame) -> tuple[Network, list[bytes], np.ndarray]:
-    """The network, the frequent words, and by class the logarithm of how many words of the corpus share it."""
-    frequent = [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    rare = F.shiftrightunsigned(F.xxhash64("word"), 57).cast("int") % RARE + FREQUENT
-    kinds = np.ones(CLASSES)
-    listed = F.broadcast(docs.sparkSession.createDataFrame([(bytearray(w),) for w in frequent], "word binary"))
-    for c, n in counts.join(listed, "word", "left_anti").groupBy(rare.alias("c")).count().collect():
-        kinds[c] = n
-    # the sample's largest hash is found among hashes alone; texts are read where they lie
-    hashed = docs.filter("text <> ''").select("text", F.xxhash64(*(c for c in ("doc_id", "text") if c in docs.columns)).alias("h"))
+class Vocabulary:
+    """The frequent words, the listed words with the logarithm of their share of their class, and n of every class."""
+
+    def __init__(self, counts: DataFrame):
+        self.frequent = [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+        self.n, known = np.zeros(CLASSES), {w: i for i, w in enumerate(self.frequent)}
+        listed = F.broadcast(counts.sparkSession.createDataFrame([(bytearray(w), i) for w, i in known.items()], "word binary, own int"))
+        rare = F.shiftrightunsigned(F.xxhash64("word"), 57).cast("int") % RARE + FREQUENT
+        for c, n in counts.join(listed, "word", "left").groupBy(F.coalesce("own", rare).alias("c")).agg(F.sum("n")).collect():
+            self.n[c] = n
+        self.edge, taken = 1 << 62, 0  # words of at least so many occurrences are listed
+        for r in sorted(counts.groupBy(F.floor(4 * F.log2("n")).alias("b")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), reverse=True):
+            taken += r.words
+            if taken > LISTED:
+                break
+            self.edge = r.least
+        self.logs = {bytes(r.word): math.log(r.n) for r in counts.filter(F.col("n") >= self.edge).collect()}
+        self.logs |= dict.fromkeys(self.frequent, 0.0)
+        self.kinds = np.where(np.arange(CLASSES) < FREQUENT, 0, np.log(np.maximum(self.n, 1)))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
+    """Columns ``keep``, n_words, _row, _classes (a byte a word), _known (what the listed words add) and _rest (the others)."""
+    frequent, logs, kinds = vocabulary.frequent, vocabulary.logs, vocabulary.kinds
+    at = len(keep)
+    rest = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(frequent)
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(k, ROWS)
+                sizes, codes, known, hashes, times, ends = [], [], [], [], [], [0]
+                for text in rows.column(at).to_pylist():
+                    of = tokens(text)
+                    own = np.fromiter(map(logs.get, of, repeat(math.nan)), np.float64, len(of))
+                    others, code = Counter(of[i] for i in np.flatnonzero(np.isnan(own)).tolist()), classes.of(of)
+                    hashes += map(xxhash.xxh64_intdigest, others, repeat(42))
+                    times += others.values()
+                    ends.append(len(hashes))
+                    sizes.append(len(of))
+                    codes.append(code.astype(np.uint8).tobytes())
+                    known.append(float(np.nansum(own) - kinds[code].sum()))
+                pairs = pa.StructArray.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(times, pa.int32())], fields=list(rest.value_type))
+                made = [rows.column(at + 1), pa.array(sizes, pa.int64()), pa.array(codes, pa.binary()), pa.array(known, pa.float64())]
+                made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:at], *made], names=[*keep, "_row", "n_words", "_classes", "_known", "_rest"])
+
+    parts = docs.select(*keep, F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    added = T._parse_datatype_string("_row long, n_words long, _classes binary, _known double, _rest array<struct<h: long, c: int>>")
+    return parts.mapInArrow(run, T.StructType([*docs.select(*keep).schema.fields, *added.fields]))
+
+
+def start(coded: DataFrame) -> Network:
+    """A network trained on windows of a sample of documents."""
+    hashed = coded.filter("n_words > 0").select("_classes", F.xxhash64("_classes", "_known").alias("h"))
+    # the sample's largest hash is found among hashes alone; classes are read where they lie
     edge = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
     chosen = hashed.filter(F.col("h") <= F.lit(edge)) if edge is not None else hashed.limit(0)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(frequent)
         for batch in batches:
             found = []
-            for text in batch.column(0).to_pylist():
-                of = classes.of(tokens(text))
-                step = max(1, len(of) // SAMPLE_WORDS)
-                at = np.arange(0, len(of), step)[:SAMPLE_WORDS]
+            for code in batch.column(0).to_pylist():
+                of = np.frombuffer(code, np.uint8).astype(np.int64)
+                at = np.linspace(0, len(of) - 1, min(len(of), SAMPLE_WORDS)).round().astype(np.int64)
                 found.append(np.concatenate((Network.contexts(of)[at], of[at, None]), 1).astype("<i2").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["rows"])
 
-    found = chosen.select("text").mapInArrow(windows, "rows binary").limit(2 * SAMPLE).collect()  # repeated rows share a hash
-    rows = sorted(bytes(r.rows) for r in found)
-    sample = np.frombuffer(b"".join(rows), "<i2").reshape(-1, 2 * SIDE + 1).astype(np.int64)
-    network = Network()
-    network.fit(sample[:, :-1], sample[:, -1])
-    return network, frequent, np.log(kinds)
+    found = chosen.select("_classes").mapInArrow(windows, "rows binary").limit(2 * SAMPLE).collect()  # repeated rows share a hash
+    sample = np.frombuffer(b"".join(sorted(bytes(r.rows) for r in found)), "<i2").reshape(-1, 2 * SIDE + 1).astype(np.int64)
+    network, share = Network(), np.bincount(sample[:, -1], minlength=CLASSES) + 1.0
+    network.p["level"] = np.log(share / share.sum()).astype(np.float32)
+    network.fit(sample[:, :-1], sample[:, -1], EPOCHS, (0.003, 0.001), np.random.default_rng(4))
+    return network
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Add n_words, log_prob (the sum) and mean_log_prob to every row."""
-    docs = docs.drop("n_words", "log_prob", "mean_log_prob")
-    network, frequent, kinds = train(docs, cut(word_counts(docs), "words"))
-    at, names = docs.columns.index("text"), [*docs.columns, "n_words", "log_prob", "mean_log_prob"]
+def train_everywhere(network: Network, coded: DataFrame, n: np.ndarray) -> None:
+    """Every window of ``coded`` trains ``network``: tasks go on from it, and are averaged by their windows."""
+    share = n + 1.0
+    network.p["level"] = np.log(share / share.sum()).astype(np.float32)
+    sizes, words = {k: v.shape for k, v in network.p.items()}, int(n.sum())
+    epochs, begun = min(REPEATS, max(1, ENOUGH // max(1, words))), network.p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, tables = Classes(frequent), network.tables()
+        own, rng, seen, kept, held = Network(), np.random.default_rng(5), 0, [], 0
+        own.p = dict(begun)
+
+        def learn() -> None:
+            contexts, classes = (np.concatenate(x) for x in zip(*kept, strict=True))
+            own.fit(contexts, classes, epochs, (0.003, 0.001), rng)
+
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(k, ROWS)
-                sizes, sums = [], []
-                for text in rows.column(at).to_pylist():
-                    of = classes.of(tokens(text))
-                    sizes.append(len(of))
-                    sums.append(float((network.log_probs(of, tables) - kinds[of]).sum()) if len(of) else 0.0)
-                means = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
-                made = [pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=names)
+            for code in batch.column(0):
+                of = np.frombuffer(code.as_py(), np.uint8).astype(np.int64)
+                for k in range(0, len(of), CHUNK):  # a very long text in pieces; contexts reach over their ends
+                    low, high = max(0, k - SIDE), min(len(of), k + CHUNK)
+                    piece = Network.contexts(of[low : high + SIDE])[k - low : high - low]
+                    kept.append((piece, of[k:high]))
+                    held += high - k
+                    if held >= CHUNK:
+                        learn()
+                        seen, kept, held = seen + held, [], 0
+        if held:
+            learn()
+        if seen + held:
+            flat = np.concatenate([own.p[k].ravel() for k in sizes]).astype(np.float64) * (seen + held)
+            group = TaskContext.get().partitionId() % GROUPS
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([seen + held], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["part", "n", "p"])
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        summed = sum(np.frombuffer(p) for p in frame.sort_values(["n", "p"])["p"])
+        return pd.DataFrame({"n": [frame["n"].sum()], "p": [summed.tobytes()]})
+
+    coded = coded.filter("n_words > 0").select("_classes")
+    found = coded.mapInArrow(run, "part int, n long, p binary").groupBy("part").applyInPandas(total, "n long, p binary").collect()
+    if not found:
+        return
+    flat, at = sum(np.frombuffer(bytes(r.p)) for r in sorted(found)) / sum(r.n for r in found), 0
+    for name, shape in sizes.items():
+        size = math.prod(shape)
+        network.p[name], at = flat[at : at + size].reshape(shape).astype(np.float32), at + size
+
+
+def train(docs: DataFrame, counts: DataFrame) -> tuple[Network, list[bytes], np.ndarray]:
+    """The network, the frequent words, and by class the logarithm of n in the corpus (0 for frequent words)."""
+    vocabulary = Vocabulary(counts)
+    coded = cut(encode(docs, vocabulary, []), "coded")
+    network = start(coded)
+    train_everywhere(network, coded, vocabulary.n)
+    return network, vocabulary.frequent, vocabulary.kinds
+
+
+def score(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (all of them), n_words, log_prob (the sum) and mean_log_prob of every row."""
+    keep = [c for c in (keep or docs.columns) if c not in ("n_words", "log_prob", "mean_log_prob")]
+    counts = cut(word_counts(docs), "words")
+    vocabulary = Vocabulary(counts)
+    coded = cut(encode(docs, vocabulary, keep), "coded")
+    network = start(coded)
+    train_everywhere(network, coded, vocabulary.n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = network.tables()
+        for batch in batches:
+            codes = (np.frombuffer(c.as_py(), np.uint8).astype(np.int64) for c in batch.column(0))
+            sums = [float(network.log_probs(of, tables).sum()) if len(of) else 0.0 for of in codes]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sums, pa.float64())], names=[*batch.schema.names[1:], "_sum"])
 
-    added = [T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    rows = coded.select("_classes", *keep, "_row", "n_words", "_known")
+    scored = rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("_sum", T.DoubleType())]))
+    # words that occur once add the logarithm of 1
+    rarer = counts.filter((F.col("n") < vocabulary.edge) & (F.col("n") > 1)).select(F.xxhash64("word").alias("h"), F.log("n").alias("log_n"))
+    pairs = coded.select("_row", F.explode("_rest").alias("w")).select("_row", "w.h", "w.c")
+    added = pairs.join(rarer, "h").groupBy("_row").agg(F.sum(F.col("c") * F.col("log_n")).alias("_more"))
+    total = F.col("_sum") + F.col("_known") + F.coalesce("_more", F.lit(0.0))
+    mean = F.when(F.col("n_words") > 0, total / F.col("n_words"))
+    return scored.join(added, "_row", "left").select(*keep, "n_words", total.alias("log_prob"), mean.alias("mean_log_prob"))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return score(docs.select("doc_id", "text")).select("doc_id", "n_words", "log_prob", "mean_log_prob")
+    return score(docs, ["doc_id"])

@@ -320,6 +320,14 @@ def test_language_model_prefers_its_language(spark, docs):
     assert p == pytest.approx(full[np.arange(3), classes.of(b"the of the".split())], rel=1e-3)
 
 
+def test_language_model_learns_every_window(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SAMPLE", 1)
+    rows = [(i, "a b " * 128 + "c d " * 100 if i % 2 else "e f " * 128 + "g h " * 100) for i in range(200)]
+    rows += [(1000 + i, f"{x} {y} " * 100) for i, (x, y) in enumerate(("ab", "cd", "ef", "gh"))]
+    got = {r.doc_id: r.mean_log_prob for r in lm_score.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[1000 + i] for i in range(4)) > -0.5, got
+
+
 def test_pipeline(spark, docs):
     from tokenizers import Tokenizer
 
