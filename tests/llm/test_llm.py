@@ -328,6 +328,22 @@ def test_language_model_learns_every_window(spark, monkeypatch):
     assert min(got[1000 + i] for i in range(4)) > -0.5, got
 
 
+def test_language_model_tells_rare_words_apart(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "LISTED", 300, raising=False)
+    common = [f"common{i}" for i in range(lm_score.FREQUENT)]
+    rare = [f"rare{i}" for i in range(600)]
+    rows = [(i, " ".join(common)) for i in range(20)]
+    n = {w: 9 if i < 100 else 5 if i < 300 else 2 for i, w in enumerate(rare)}  # some listed, the others joined
+    rows += [(100 + k, " ".join(w for w in rare if n[w] > k + 1)) for k in range(8)] + [(5000 + i, w) for i, w in enumerate(rare)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.log_prob for r in lm_score.query(frame).collect()}
+    by_class = defaultdict(list)
+    for i, w in enumerate(rare):
+        by_class[lm_score.rare_class(w.encode())].append((n[w], got[5000 + i]))
+    for found in by_class.values():  # alone in their texts, the words of a class have one chance for the class
+        assert len({round(p - math.log(k), 6) for k, p in found}) == 1
+
+
 def test_pipeline(spark, docs):
     from tokenizers import Tokenizer
 
