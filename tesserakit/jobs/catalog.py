@@ -372,19 +372,24 @@ def largest_piece(spark, sf_dir):
     return sizes.groupBy("pred").agg(F.min_by(F.struct("piece", "n"), F.struct(-F.col("n"), "piece")).alias("b")).select("pred", "b.piece", "b.n")
 
 
-def _volume_edges(spark, sf_dir) -> DataFrame:
-    edges = _edges(spark, sf_dir, keep=("volume",))
-    return edges.filter(F.floor(F.col("dst") / (v.SLAB * v.STRIDES["x"])) == F.col("volume"))
+def _volume_edges(spark, sf_dir, planes: int = v.DEPTH) -> DataFrame:
+    size = planes * v.STRIDES["x"]
+    edges = _edges(spark, sf_dir, keep=("volume",)).withColumn("volume", v.div("src", size))
+    return edges.filter(v.div("dst", size) == F.col("volume"))
+
+
+def _deep_lattice(spark, sf_dir) -> DataFrame:
+    return v.lattice(spark, sf_dir).withColumn("volume", v.div("x", v.DEPTH))
 
 
 @query()
 def mutex_watershed(spark, sf_dir):
-    return mws.mutex_watershed(v.lattice(spark, sf_dir).select("volume", "lin"), _volume_edges(spark, sf_dir))
+    return mws.mutex_watershed(_deep_lattice(spark, sf_dir).select("volume", "lin"), _volume_edges(spark, sf_dir))
 
 
 @query()
 def mws_segments(spark, sf_dir):
-    found = mws.mutex_watershed(v.lattice(spark, sf_dir).select("volume", "lin"), _volume_edges(spark, sf_dir))
+    found = mws.mutex_watershed(_deep_lattice(spark, sf_dir).select("volume", "lin"), _volume_edges(spark, sf_dir))
     sizes = found.groupBy("volume", "segment").agg(F.count("*").alias("n"))
     return sizes.groupBy("volume").agg(F.count("*").alias("segments"), F.max("n").alias("largest"))
 
@@ -395,7 +400,7 @@ def _block():
 
 @query()
 def mws_blockwise(spark, sf_dir):
-    return mws.blockwise(v.lattice(spark, sf_dir).select("volume", "lin", "y", "z"), _volume_edges(spark, sf_dir), _block())
+    return mws.blockwise(_deep_lattice(spark, sf_dir).select("volume", "lin", "y", "z"), _volume_edges(spark, sf_dir), _block())
 
 
 @query(f"""WITH {_edges_sql()}, l AS (SELECT lin, volume, y, z, truth AS cluster, volume * 4 + y // 13 * 2 + z // 10 AS block FROM vox),
@@ -403,7 +408,7 @@ c AS (SELECT e.volume, least(p.cluster, q.cluster) AS low, greatest(p.cluster, q
 SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY volume, low, high ORDER BY priority DESC, "offset", src) = 1""")
 def face_pairs(spark, sf_dir):
     placed = v.voxels(spark, sf_dir).select("lin", F.col("truth").alias("cluster"), _block().alias("block"))
-    return mws.face_pairs(_volume_edges(spark, sf_dir), placed)
+    return mws.face_pairs(_volume_edges(spark, sf_dir, v.SLAB), placed)  # the slabs of its SQL
 
 
 # -- grids and boxes ------------------------------------------------------------------------------------------

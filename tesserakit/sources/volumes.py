@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from .storage import table
 
 SHAPE_Y, SHAPE_Z, SLAB = 25, 20, 5
+#: Planes of x of the volumes that watersheds run on: more than the repulsive edges reach.
+DEPTH = 20
 STRIDES = {"x": SHAPE_Y * SHAPE_Z, "y": SHAPE_Z, "z": 1}
 #: Factors of voxel number and of value in hundredths, for the six affinities.
 BY_LIN, BY_VALUE = (37, 101, 211, 307, 401, 503), (7, 13, 29, 31, 41, 43)

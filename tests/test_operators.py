@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tesserakit.jobs import catalog
 from tesserakit.operators import board, components, graph, labels, metrics, mws
 from tesserakit.streaming import contingency as stream
 
@@ -142,6 +143,12 @@ def test_blocks_give_every_voxel_one_segment(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 4, 7: 4}
 
 
+def test_watershed_volumes_hold_every_offset(spark):
+    edges = catalog._volume_edges(spark, "/root/testdata/sf0.01")
+    counts = {r.offset: r["count"] for r in edges.groupBy("offset").count().collect()}
+    assert counts == {0: 9500, 1: 9600, 2: 9500, 3: 5000, 4: 6000, 5: 5000}
+
+
 def test_stream_counts_like_the_batch(spark, tmp_path):
     v = volume(spark, [(1, 1), (1, 2), (2, 2), (2, 2)]).withColumn("volume", F.lit(0).cast("long"))
     v.select("volume", "lin", "x", "y", "z", "truth", "pred").repartition(3).write.parquet(str(tmp_path / "in"))
