@@ -485,7 +485,7 @@ def adapted_nerl(spark, sf_dir):
 
 
 @query(f"""WITH {_kinds_sql()}, s AS (SELECT seg, count(DISTINCT skel) AS k FROM nodes GROUP BY seg HAVING k > 1)
-SELECT (SELECT count(*) FROM s) AS n_mergers, (SELECT count(*) FROM s WHERE seg <> 0) AS n_non0_mergers, (SELECT count(*) FROM kinds WHERE kind = 'split') AS n_splits""")
+SELECT (SELECT CAST(coalesce(sum(k), 0) AS BIGINT) FROM s) AS n_mergers, (SELECT CAST(coalesce(sum(k), 0) AS BIGINT) FROM s WHERE seg <> 0) AS n_non0_mergers, (SELECT count(*) FROM kinds WHERE kind = 'split') AS n_splits""")
 def merge_split_counts(spark, sf_dir):
     return skeletons.merge_split_counts(*_skeletons(spark, sf_dir))
 

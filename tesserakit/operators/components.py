@@ -43,11 +43,12 @@ def components(links: DataFrame) -> DataFrame:
         edges, path = new, new_path
 
 
-def dense_ids(keys: DataFrame, key: str, name: str) -> DataFrame:
-    """Number the distinct values of ``key`` from 1 in their order: ranges are counted first, then numbered apart."""
-    ranged = cut(keys.select(key).distinct().repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
+def dense_ids(rows: DataFrame, keys: str | list[str], name: str) -> DataFrame:
+    """Number the distinct values of ``keys`` from 1 in their order: ranges are counted first, then numbered apart."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    ranged = cut(rows.select(*keys).distinct().repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_range").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_range", before.alias("_before"))  # a row a range
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    return ranged.withColumn("_in", within).join(starts, "_range").select(key, (F.col("_before") + F.col("_in")).alias(name))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    return ranged.withColumn("_in", within).join(starts, "_range").select(*keys, (F.col("_before") + F.col("_in")).alias(name))

@@ -1,89 +1,117 @@
 """Mutex watershed: edges by falling priority merge clusters or forbid their merging.
 
-The order is the result, so a volume (or a block of one) is one ordered pass of a small kernel; Spark groups the
-edges by volume, and blocks make groups of bounded size. Joined clusters of blocks are stitched in a second pass
-over the first crossing edge of every pair of clusters.
+The kernel works on arrays, in rounds. In each round every cluster looks at its first live edge:
+
+* a repulsive one forbids the pair at once, as nothing can happen to the cluster before it;
+* an attractive one merges if the cluster is free of mutexes, or if it is the first edge of both its ends;
+* edges inside a cluster, between clusters that may not merge, and all but the first between two clusters go.
+
+Each step does what the edges in their order would do, so the outcome is that of the ordered definition.
+
+Blocks make groups of bounded size, spread over the cluster by Spark; clusters that touch other blocks are stitched
+in a second pass over the first crossing edge of every pair of clusters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut
+from .components import dense_ids
 
-class Clusters:
-    """Union-find with sets of forbidden partners."""
-
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-        self.foes: dict[int, set[int]] = {}
-
-    def find(self, x: int) -> int:
-        top = x
-        while (up := self.parent.setdefault(top, top)) != top:
-            top = up
-        while self.parent[x] != top:
-            self.parent[x], x = top, self.parent[x]
-        return top
-
-    def forbid(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.foes.setdefault(a, set()).add(b)
-            self.foes.setdefault(b, set()).add(a)
-
-    def join(self, a: int, b: int) -> None:
-        """Merge two clusters unless they are forbidden; the one of more partners stays, and takes them all."""
-        a, b = self.find(a), self.find(b)
-        if a == b or b in self.foes.get(a, ()):
-            return
-        if len(self.foes.get(a, ())) < len(self.foes.get(b, ())):
-            a, b = b, a
-        self.parent[b] = a
-        for foe in self.foes.pop(b, ()):
-            self.foes[foe].discard(b)
-            self.foes[foe].add(a)
-            self.foes.setdefault(a, set()).add(foe)
-
-
-def watershed(nodes: Iterable[int], edges: Iterable[tuple[int, int, bool]], mutexes: Iterable[tuple[int, int]] = ()) -> Clusters:
-    """Clusters after all edges (u, v, attractive) in order; ``mutexes`` hold from the start."""
-    clusters = Clusters()
-    for n in nodes:
-        clusters.find(n)
-    for a, b in mutexes:
-        clusters.forbid(a, b)
-    for u, v, attractive in edges:
-        (clusters.join if attractive else clusters.forbid)(u, v)
-    return clusters
-
-
-def least_members(clusters: Clusters) -> dict[int, int]:
-    """Every node's cluster, named by the cluster's least node."""
-    least: dict[int, int] = {}
-    for n in sorted(clusters.parent):
-        least.setdefault(clusters.find(n), n)
-    return {n: least[clusters.find(n)] for n in clusters.parent}
+ORDER = ["priority", "offset", "src"]
 
 
-ORDER = ["priority", "offset", "src"]
+def _roots(parent: np.ndarray) -> np.ndarray:
+    """Follow pointers to their ends; the two ends of a mutual pair point at the lower one."""
+    number = np.arange(len(parent))
+    mutual = (parent[parent] == number) & (parent > number)
+    parent = np.where(mutual, number, parent)
+    while (up := parent[parent]).tobytes() != parent.tobytes():
+        parent = up
+    return parent
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    return np.minimum(a, b) * n + np.maximum(a, b)
 
 
-def _ordered(edges: pd.DataFrame) -> Iterable[tuple[int, int, bool]]:
+def _member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which ``keys`` are in the sorted array ``of``."""
+    if not len(of):
+        return np.zeros(len(keys), bool)
+    return of[np.minimum(np.searchsorted(of, keys), len(of) - 1)] == keys
+
+
+def watershed(n: int, u: np.ndarray, v: np.ndarray, attractive: np.ndarray, mutexes: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster (named by its least node) of nodes 0 to n - 1 after all edges in order, and the pairs of clusters
+    kept apart as keys ``low * n + high``; ``mutexes`` hold from the start.
+    """
+    cluster = np.arange(n)
+    u, v, attractive = np.asarray(u, np.int64), np.asarray(v, np.int64), np.asarray(attractive, bool)
+    apart = np.unique(_pairs(*(np.asarray(m, np.int64) for m in mutexes), n)) if mutexes is not None else np.empty(0, np.int64)
+    apart = apart[apart // max(n, 1) != apart % max(n, 1)]
+    while True:
+        live = u != v
+        u, v, attractive = u[live], v[live], attractive[live]
+        keys, first = np.unique(_pairs(u, v, n), return_index=True)
+        first = np.sort(first[~_member(keys, apart)])
+        u, v, attractive = u[first], v[first], attractive[first]
+        if not len(u):
+            break
+        top = np.full(n, len(u))
+        np.minimum.at(top, u, np.arange(len(u)))
+        np.minimum.at(top, v, np.arange(len(u)))
+        barred = np.zeros(n, bool)
+        barred[apart // n], barred[apart % n] = True, True
+        edge = np.arange(len(u))
+        by_u, by_v = top[u] == edge, top[v] == edge
+        parent = np.arange(n)
+        joins_u = attractive & by_u & (~barred[u] | by_v)
+        joins_v = attractive & by_v & (~barred[v] | by_u)
+        parent[u[joins_u]] = v[joins_u]
+        parent[v[joins_v]] = u[joins_v]
+        apart = np.concatenate((apart, _pairs(u, v, n)[~attractive & (by_u | by_v)]))
+        root = _roots(parent)
+        cluster, u, v = root[cluster], root[u], root[v]
+        apart = np.unique(_pairs(root[apart // n], root[apart % n], n))
+    least = np.full(n, n)
+    np.minimum.at(least, cluster, np.arange(n))
+    low, high = least[apart // max(n, 1)], least[apart % max(n, 1)]
+    return least[cluster], np.unique(_pairs(low, high, n))
+
+
+def _segments(nodes: np.ndarray, edges: pd.DataFrame, mutexes: pd.DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted nodes, the least node of each one's cluster, and pairs of clusters kept apart; edges that leave the nodes are left out."""
+    nodes = np.unique(nodes)
+    n = len(nodes)
+
+    def number(column: pd.Series) -> np.ndarray:
+        at = np.searchsorted(nodes, values := column.to_numpy(np.int64))
+        return np.where((at < n) & (nodes[np.minimum(at, n - 1)] == values), at, -1)
+
     edges = edges.sort_values(ORDER, ascending=[False, True, True], kind="stable")
-    return zip(edges["src"].tolist(), edges["dst"].tolist(), edges["attractive"].tolist(), strict=True)
+    u, v = number(edges["src"] if "low" not in edges else edges["low"]), number(edges["dst"] if "high" not in edges else edges["high"])
+    inside = (u >= 0) & (v >= 0)
+    held = None if mutexes is None else (number(mutexes["low"]), number(mutexes["high"]))
+    cluster, apart = watershed(n, u[inside], v[inside], edges["attractive"].to_numpy(bool)[inside], held)
+    return nodes, nodes[cluster], np.stack((nodes[apart // n], nodes[apart % n]), 1)
 
 
 def mutex_watershed(nodes: DataFrame, edges: DataFrame, by: str = "volume") -> DataFrame:
-    """volume, lin, segment (from 1 in raster order of the segments' first voxels): every volume by itself."""
+    """volume, lin, segment (from 1 in raster order of the segments' first voxels): every volume by itself, in one task.
+
+    For volumes that a task holds; ``blockwise`` takes larger ones. Edges that leave the nodes (a mask) take no part.
+    """
 
     def run(key: tuple, node: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
-        least = least_members(watershed(node["lin"].tolist(), _ordered(edge)))
-        number = {root: i for i, root in enumerate(sorted(set(least.values())), 1)}
-        return pd.DataFrame({by: key[0], "lin": list(least), "segment": [number[r] for r in least.values()]}, columns=[by, "lin", "segment"])
+        if not len(node):
+            return pd.DataFrame({by: [], "lin": [], "segment": []})
+        lin, least, _ = _segments(node["lin"].to_numpy(np.int64), edge)
+        return pd.DataFrame({by: key[0], "lin": lin, "segment": np.unique(least, return_inverse=True)[1] + 1})
 
     kind = dict(nodes.dtypes)[by]
     return nodes.groupBy(by).cogroup(edges.groupBy(by)).applyInPandas(run, f"{by} {kind}, lin long, segment long")
@@ -93,19 +121,20 @@ def block_clusters(nodes: DataFrame, edges: DataFrame, block: str = "block") ->
     """Rows (block, lin, cluster) and, with null lin, (block, cluster, other) for clusters that a mutex keeps apart."""
 
     def run(key: tuple, node: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
-        clusters = watershed(node["lin"].tolist(), _ordered(edge))
-        least = least_members(clusters)
-        rows = [(key[0], n, root, None) for n, root in least.items()]
-        rows += [(key[0], None, least[a], least[b]) for a, foes in clusters.foes.items() for b in foes if least[a] < least[b]]
-        out = pd.DataFrame(rows, columns=[block, "lin", "cluster", "other"])
-        return out.astype({"lin": "Int64", "cluster": "Int64", "other": "Int64"})
+        if not len(node):
+            return pd.DataFrame({block: [], "lin": [], "cluster": [], "other": []})
+        lin, least, apart = _segments(node["lin"].to_numpy(np.int64), edge)
+        none = pd.array([pd.NA], "Int64")
+        voxels = pd.DataFrame({block: key[0], "lin": pd.array(lin, "Int64"), "cluster": pd.array(least, "Int64"), "other": none.repeat(len(lin))})
+        kept = pd.DataFrame({block: key[0], "lin": none.repeat(len(apart)), "cluster": pd.array(apart[:, 0], "Int64"), "other": pd.array(apart[:, 1], "Int64")})
+        return pd.concat((voxels, kept))
 
     kind = dict(nodes.dtypes)[block]
     return nodes.groupBy(block).cogroup(edges.groupBy(block)).applyInPandas(run, f"{block} {kind}, lin long, cluster long, other long")
 
 
 def face_pairs(edges: DataFrame, labels: DataFrame, by: str = "volume") -> DataFrame:
-    """Of the edges between blocks the first of every kind for every pair of clusters: low, high, priority, offset, src, attractive."""
+    """Of the edges between blocks the first for every pair of clusters: low, high, priority, offset, src, attractive."""
     ends = labels.select(F.col("lin").alias("src"), F.col("cluster").alias("_a"), F.col("block").alias("_p"))
     others = labels.select(F.col("lin").alias("dst"), F.col("cluster").alias("_b"), F.col("block").alias("_q"))
     crossing = edges.join(ends, "src").join(others, "dst").filter("_p <> _q")
@@ -115,31 +144,33 @@ def face_pairs(edges: DataFrame, labels: DataFrame, by: str = "volume") -> DataF
 
 
 def blockwise(nodes: DataFrame, edges: DataFrame, block: Column, by: str = "volume") -> DataFrame:
-    """volume, lin, segment (least voxel): blocks first, then clusters over the faces, inner edges before crossing ones.
+    """volume, lin, segment: blocks first, then clusters over the faces, inner edges before crossing ones.
 
-    Not the exact watershed of the volume: the order differs at the faces.
+    Segments are numbered from 1 in each volume, in raster order of their first voxels; voxel numbers must be unique
+    over all volumes. Not the exact watershed of the volume, as the order differs at the faces; with one block it is.
+    Voxels missing from ``nodes`` are masked. Only clusters with crossing edges meet in the stitch of a volume.
     """
-    from ..sources.storage import cut
-
     placed = nodes.withColumn("block", block)
     starts, ends = placed.select(F.col("lin").alias("src"), F.col("block").alias("_p")), placed.select(F.col("lin").alias("dst"), F.col("block").alias("_q"))
     inner = edges.join(starts, "src").join(ends, "dst").filter("_p = _q").withColumnRenamed("_p", "block")
     parts = cut(block_clusters(placed.select("block", "lin"), inner.select("block", *ORDER, "dst", "attractive")), "blocks")
     labels = parts.filter("lin IS NOT NULL").join(nodes.select("lin", by), "lin").select(by, "block", "lin", "cluster")
-    pairs = face_pairs(edges, labels, by).select(by, "low", "high", "priority", "offset", "src", "attractive", F.lit(False).alias("mutex"))
-    home = labels.select(by, "cluster").distinct()
-    kept = parts.filter("lin IS NULL").join(home, "cluster").select(
-        by, F.col("cluster").alias("low"), F.col("other").alias("high"), F.lit(0.0).alias("priority"), F.lit(0).alias("offset"),
-        F.lit(0).cast("long").alias("src"), F.lit(False).alias("attractive"), F.lit(True).alias("mutex"),
-    )
-
-    def stitch(key: tuple, node: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
-        mutexes = edge[edge["mutex"]]
-        rest = edge[~edge["mutex"]].sort_values(ORDER, ascending=[False, True, True], kind="stable")
-        order = zip(rest["low"].tolist(), rest["high"].tolist(), rest["attractive"].tolist(), strict=True)
-        least = least_members(watershed(node["cluster"].tolist(), order, zip(mutexes["low"].tolist(), mutexes["high"].tolist(), strict=True)))
-        return pd.DataFrame({by: key[0], "cluster": list(least), "segment": list(least.values())}, columns=[by, "cluster", "segment"])
+    pairs = cut(face_pairs(edges, labels, by), "faces")
+    border = pairs.select(by, F.col("low").alias("cluster")).union(pairs.select(by, "high")).distinct()
+    held = parts.filter("lin IS NULL").select(F.col("cluster").alias("low"), F.col("other").alias("high"))
+    sides = {s: border.select(F.col(by).alias(f"_{s}"), F.col("cluster").alias(s)) for s in ("low", "high")}
+    held = held.join(sides["low"], "low").join(sides["high"], "high").filter("_low = _high")
+    kept = held.select(F.col("_low").alias(by), "low", "high", F.lit(None).cast("double").alias("priority"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("long").alias("src"), F.lit(False).alias("attractive"))
+
+    def stitch(key: tuple, edge: pd.DataFrame) -> pd.DataFrame:
+        mutex = edge["priority"].isna()
+        rest = edge[~mutex]
+        nodes, least, _ = _segments(rest[["low", "high"]].to_numpy(np.int64).ravel(), rest, edge[mutex])
+        return pd.DataFrame({by: key[0], "cluster": nodes, "_root": least})
 
     kind = dict(nodes.dtypes)[by]
-    joined = home.groupBy(by).cogroup(pairs.unionByName(kept).groupBy(by)).applyInPandas(stitch, f"{by} {kind}, cluster long, segment long")
-    return labels.join(joined, [by, "cluster"]).select(by, "lin", "segment")
+    joined = pairs.unionByName(kept).groupBy(by).applyInPandas(stitch, f"{by} {kind}, cluster long, _root long")
+    named = cut(labels.join(joined, [by, "cluster"], "left").select(by, "lin", F.coalesce("_root", "cluster").alias("_root")), "segments")
+    numbers = dense_ids(named, [by, "_root"], "_number")
+    offsets = numbers.groupBy(by).agg(F.min("_number").alias("_least"))
+    return named.join(numbers, [by, "_root"]).join(offsets, by).select(by, "lin", (F.col("_number") - F.col("_least") + 1).alias("segment"))

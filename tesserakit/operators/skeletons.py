@@ -48,13 +48,20 @@ def expected_run_length(edges: DataFrame, nodes: DataFrame, ignored_size: int =
 
 
 def merge_split_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Segments that join skeletons, with and without segment 0, and split edges: one row."""
-    pairs = nodes.select("skel", "seg").distinct().groupBy("seg").count().filter("count > 1")
-    counts = pairs.agg(F.count("*").alias("n_mergers"), F.count_if(F.col("seg") != 0).alias("n_non0_mergers"))
+    """Pairs (skeleton, segment) whose segment joins skeletons, with and without segment 0, and split edges: one row."""
+    joined = nodes.select("skel", "seg").distinct().groupBy("seg").count().filter("count > 1")
+    pairs = {"n_mergers": F.sum("count"), "n_non0_mergers": F.sum(F.when(F.col("seg") != 0, F.col("count")))}
+    counts = joined.agg(*(F.coalesce(v, F.lit(0)).alias(k) for k, v in pairs.items()))
     splits = classified(edges, nodes).agg(F.count_if(F.col("kind") == "split").alias("n_splits"))
     return counts.crossJoin(splits)
 
 
 def cable_length(edges: DataFrame) -> DataFrame:
-    """skel, cable, perfect: length of each skeleton, and its part in the perfect run length (square over all)."""
+    """skel, cable (the length of each skeleton) and n_edges."""
     return edges.groupBy("skel").agg(F.sum("length").alias("cable"), F.count("*").alias("n_edges"))
+
+
+def perfect_run_length(edges: DataFrame) -> DataFrame:
+    """The run length of a labelling without errors (mean cable, weighted by itself) and the whole cable: one row."""
+    cables = cable_length(edges)
+    return cables.agg(F.round(F.sum(F.col("cable") * F.col("cable")) / F.sum("cable"), DIGITS).alias("perfect_erl"), F.round(F.sum("cable"), DIGITS).alias("total"), F.count("*").alias("skeletons"))

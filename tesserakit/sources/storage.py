@@ -2,30 +2,67 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder that cuts go to, while a ``scratch`` is open.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where it is set; else a temporary folder of this machine, as in tests."""
+    """``spark.checkpoint.dir`` where it is set; a temporary folder of this machine only where it runs everything."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tesserakit-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{_scratch.get() or shared_folder(spark).rstrip('/')}/tesserakit-{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Cuts made inside go to a folder of their own, which goes at the end; results must be written by then."""
+    path = _new_path(spark, "run")
+    token = _scratch.set(path)
+    try:
+        yield path
+    finally:
+        _scratch.reset(token)
+        release(spark, path)
+
+
 def write_cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tesserakit-{name}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors.
+
+    The table goes with the ``scratch`` it was made in, by ``release``, or when the application ends.
+    """
+    spark = df.sparkSession
+    path = _new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    if _scratch.get() is None:
+        fs, target = _at(spark, path)
+        fs.deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -35,5 +72,6 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 def release(spark: SparkSession, *paths: str) -> None:
     """Delete tables of ``write_cut`` that nothing reads any more."""
     for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        fs, target = _at(spark, path)
+        fs.delete(target, True)
+        fs.cancelDeleteOnExit(target)

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserakit.jobs import catalog
-from tesserakit.operators import board, components, graph, labels, metrics, mws
+from tesserakit.operators import board, components, graph, labels, metrics, mws, skeletons
+from tesserakit.sources import storage
 from tesserakit.streaming import contingency as stream
 
 
@@ -33,14 +34,59 @@ def test_watershed_is_the_definition(seed):
     rng = random.Random(seed)
     n = rng.randrange(4, 40)
     edges = [(rng.randrange(n), rng.randrange(n), rng.random() < 0.6) for _ in range(rng.randrange(1, 4 * n))]
-    assert mws.least_members(mws.watershed(range(n), edges)) == by_definition(range(n), edges)
+    assert dict(enumerate(segments(n, edges))) == by_definition(range(n), edges)
+
+
+def segments(n, edges, mutexes=None):
+    u, v, attractive = zip(*edges, strict=True)
+    return mws.watershed(n, u, v, attractive, mutexes)[0].tolist()
 
 
 def test_watershed_cases():
-    assert mws.least_members(mws.watershed(range(3), [(0, 1, True), (1, 2, True)])) == {0: 0, 1: 0, 2: 0}
-    assert mws.least_members(mws.watershed(range(3), [(0, 2, False), (0, 1, True), (1, 2, True)])) == {0: 0, 1: 0, 2: 2}
-    assert mws.least_members(mws.watershed(range(3), [(0, 1, True), (1, 2, True), (0, 2, False)])) == {0: 0, 1: 0, 2: 0}
-    assert mws.least_members(mws.watershed(range(2), [(0, 1, True)], mutexes=[(0, 1)])) == {0: 0, 1: 1}
+    assert segments(4, [(0, 1, True), (2, 3, True)]) == [0, 0, 2, 2]
+    assert segments(4, [(1, 3, False), (0, 1, True), (2, 3, True), (0, 2, True)]) == [0, 0, 2, 2]
+    assert segments(4, [(0, 1, True), (2, 3, True), (0, 2, True), (1, 3, False)]) == [0, 0, 0, 0]
+    assert segments(3, [(0, 1, True), (1, 2, True)], ([0], [2])) == [0, 0, 2]
+
+
+def test_watershed_keeps_clusters_apart():
+    cluster, apart = mws.watershed(5, [0, 1, 3], [1, 3, 4], [True, False, True])
+    assert cluster.tolist() == [0, 0, 2, 3, 3] and apart.tolist() == [3]  # 0 * 5 + 3
+
+
+def test_volume_is_the_definition(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = catalog._volume_edges(spark, sf).collect()
+    order = sorted(rows, key=lambda e: (-e.priority, e.offset, e.src))
+    nodes = [r.lin for r in catalog._deep_lattice(spark, sf).select("lin").collect()]
+    least = by_definition(nodes, [(e.src, e.dst, e.attractive) for e in order])
+    number = {root: i for i, root in enumerate(sorted(set(least.values())), 1)}
+    assert {r.lin: r.segment for r in catalog.QUERIES["mutex_watershed"](spark, sf).collect()} == {n: number[c] for n, c in least.items()}
+    whole = mws.blockwise(catalog._deep_lattice(spark, sf).select("volume", "lin"), catalog._volume_edges(spark, sf), F.lit(0).cast("long"))
+    assert {r.lin: r.segment for r in whole.collect()} == {n: number[c] for n, c in least.items()}
+    # in blocks: inner edges by their order, then the crossing ones, but of those the first of two clusters only
+    at = {r.lin: r.block for r in catalog._deep_lattice(spark, sf).select("lin", catalog._block().alias("block")).collect()}
+    inner = [(e.src, e.dst, e.attractive) for e in order if at[e.src] == at[e.dst]]
+    crossing = [(e.src, e.dst, e.attractive) for e in order if at[e.src] != at[e.dst]]
+    least = by_definition(nodes, inner + crossing)
+    number = {root: i for i, root in enumerate(sorted(set(least.values())), 1)}
+    assert {r.lin: r.segment for r in catalog.QUERIES["mws_blockwise"](spark, sf).collect()} == {n: number[c] for n, c in least.items()}
+
+
+def test_masked_voxels_take_no_part(spark):
+    nodes = spark.createDataFrame([(0, i) for i in (0, 1, 3, 4)], "volume long, lin long")
+    edges = spark.createDataFrame([(0, i, i + 1, 0, 0.9, True) for i in range(4)], "volume long, src long, dst long, offset int, priority double, attractive boolean")
+    want = {0: 1, 1: 1, 3: 2, 4: 2}
+    assert {r.lin: r.segment for r in mws.mutex_watershed(nodes, edges).collect()} == want
+    assert {r.lin: r.segment for r in mws.blockwise(nodes, edges, F.floor(F.col("lin") / 2).cast("long")).collect()} == want
+
+
+def test_mergers_are_counted_by_pairs(spark):
+    nodes = [(1, 10, 5), (1, 11, 5), (2, 20, 5), (2, 21, 0), (3, 30, 5), (3, 31, 0), (4, 40, 7)]
+    nodes = spark.createDataFrame(nodes, "skel long, node long, seg long")
+    edges = spark.createDataFrame([(1, 10, 11, 1.0, 5, 5), (2, 20, 21, 1.0, 5, 0)], "skel long, u long, v long, length double, seg_u long, seg_v long")
+    assert one(skeletons.merge_split_counts(edges, nodes)) == {"n_mergers": 5, "n_non0_mergers": 3, "n_splits": 0}
+    assert one(skeletons.merge_split_counts(edges.limit(0), nodes.limit(0))) == {"n_mergers": 0, "n_non0_mergers": 0, "n_splits": 0}
 
 
 def volume(spark, values):
@@ -71,18 +117,17 @@ def test_iou_must_be_above_the_threshold(spark):
 
 
 def test_size_filter(spark):
-    v = volume(spark, [(0, p) for p in (1, 2, 2, 2, 0, 3, 3, 3, 3, 3)])
+    v = volume(spark, [(0, p) for p in (7, 7, 0, 4, 4, 4, 4, 9)])
     kept = lambda n: [r.pred for r in labels.size_filter(v, "pred", n).orderBy("lin").collect()]
-    assert kept(0) == [1, 2, 2, 2, 0, 3, 3, 3, 3, 3]
-    assert kept(3) == [0, 2, 2, 2, 0, 3, 3, 3, 3, 3]
-    assert kept(4) == [0, 0, 0, 0, 0, 3, 3, 3, 3, 3]
+    assert kept(0) == kept(1) == [7, 7, 0, 4, 4, 4, 4, 9]
+    assert kept(2) == [7, 7, 0, 4, 4, 4, 4, 0]
+    assert kept(5) == [0] * 8
 
 
 def test_fill(spark):
     fill = lambda row, d: [r.pred for r in labels.fill(volume(spark, [(0, p) for p in row]), "pred", d).orderBy("lin").collect()]
-    assert fill([1, 1, 0, 0, 2, 2], 1) == [1, 1, 1, 2, 2, 2]
-    assert fill([1, 0, 0, 0, 0, 2], 1) == [1, 1, 0, 0, 2, 2]
-    assert fill([1, 0, 2], 1) == [1, 1, 2]  # equally near: the lower voxel
+    assert fill([0, 0, 0, 8, 0, 0, 6], 2) == [0, 8, 8, 8, 8, 6, 6]
+    assert fill([3, 0, 5], 1) == [3, 3, 5]  # equally near: the lower voxel
     assert fill([0, 0], 2) == [0, 0]
 
 
@@ -140,7 +185,7 @@ def test_blocks_give_every_voxel_one_segment(spark):
     nodes = spark.createDataFrame([(0, i) for i in range(8)], "volume long, lin long")
     edges = spark.createDataFrame([(0, i, i + 1, 0, 0.9 if i != 3 else 0.2, True) for i in range(7)] + [(0, 3, 4, 3, 0.8, False)], "volume long, src long, dst long, offset int, priority double, attractive boolean")
     got = {r.lin: r.segment for r in mws.blockwise(nodes, edges, F.floor(F.col("lin") / 2).cast("long")).collect()}
-    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 4, 7: 4}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2, 7: 2}
 
 
 def test_watershed_volumes_hold_every_offset(spark):
@@ -168,3 +213,32 @@ def test_artifacts_are_checked(spark, tmp_path):
     for wrong in (Declaration("nothing", "pred"), Declaration("instances", "other"), Declaration("instances", "pred", None)):
         with pytest.raises(ValueError):
             write(labelled, str(tmp_path / "b"), wrong)
+
+
+def test_cuts_go_when_their_run_ends(spark, tmp_path):
+    frame = spark.range(5)
+    with storage.scratch(spark) as folder:
+        again, path = storage.write_cut(frame, "inner")
+        assert path.startswith(folder) and again.count() == 5
+    fs, target = storage._at(spark, folder)
+    assert not fs.exists(target)
+    _, path = storage.write_cut(frame, "outer")
+    fs, target = storage._at(spark, path)
+    assert fs.exists(target) and fs.cancelDeleteOnExit(target)  # marked to go with the application
+    storage.release(spark, path)
+    assert not fs.exists(target)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_folder(Session())
