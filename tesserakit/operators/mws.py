@@ -1,15 +1,11 @@
 """Mutex watershed: edges by falling priority merge clusters or forbid their merging.
 
-The kernel works on arrays, in rounds. In each round every cluster looks at its first live edge:
+Every mutex has a number, and every cluster the set of numbers of the mutexes that hang on it: two clusters are
+kept apart exactly if their sets meet, so that merging is a union of sets and renames nothing in other clusters.
 
-* a repulsive one forbids the pair at once, as nothing can happen to the cluster before it;
-* an attractive one merges if the cluster is free of mutexes, or if it is the first edge of both its ends;
-* edges inside a cluster, between clusters that may not merge, and all but the first between two clusters go.
-
-Each step does what the edges in their order would do, so the outcome is that of the ordered definition.
-
-Blocks make groups of bounded size, spread over the cluster by Spark; clusters that touch other blocks are stitched
-in a second pass over the first crossing edge of every pair of clusters.
+The order is the result, so a block is one ordered pass of this small kernel. Blocks make groups of bounded size,
+spread over the cluster by Spark; clusters that touch other blocks are stitched in a second pass over the first
+crossing edge of every pair of clusters.
 """
 
 from __future__ import annotations
@@ -25,63 +21,44 @@ from .components import dense_ids
 ORDER = ["priority", "offset", "src"]
 
 
-def _roots(parent: np.ndarray) -> np.ndarray:
-    """Follow pointers to their ends; the two ends of a mutual pair point at the lower one."""
-    number = np.arange(len(parent))
-    mutual = (parent[parent] == number) & (parent > number)
-    parent = np.where(mutual, number, parent)
-    while (up := parent[parent]).tobytes() != parent.tobytes():
-        parent = up
-    return parent
-
-
-def _pairs(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    return np.minimum(a, b) * n + np.maximum(a, b)
-
-
-def _member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Which ``keys`` are in the sorted array ``of``."""
-    if not len(of):
-        return np.zeros(len(keys), bool)
-    return of[np.minimum(np.searchsorted(of, keys), len(of) - 1)] == keys
-
-
 def watershed(n: int, u: np.ndarray, v: np.ndarray, attractive: np.ndarray, mutexes: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Cluster (named by its least node) of nodes 0 to n - 1 after all edges in order, and the pairs of clusters
-    kept apart as keys ``low * n + high``; ``mutexes`` hold from the start.
+    kept apart, in rows (low, high); ``mutexes`` hold from the start.
     """
-    cluster = np.arange(n)
-    u, v, attractive = np.asarray(u, np.int64), np.asarray(v, np.int64), np.asarray(attractive, bool)
-    apart = np.unique(_pairs(*(np.asarray(m, np.int64) for m in mutexes), n)) if mutexes is not None else np.empty(0, np.int64)
-    apart = apart[apart // max(n, 1) != apart % max(n, 1)]
-    while True:
-        live = u != v
-        u, v, attractive = u[live], v[live], attractive[live]
-        keys, first = np.unique(_pairs(u, v, n), return_index=True)
-        first = np.sort(first[~_member(keys, apart)])
-        u, v, attractive = u[first], v[first], attractive[first]
-        if not len(u):
-            break
-        top = np.full(n, len(u))
-        np.minimum.at(top, u, np.arange(len(u)))
-        np.minimum.at(top, v, np.arange(len(u)))
-        barred = np.zeros(n, bool)
-        barred[apart // n], barred[apart % n] = True, True
-        edge = np.arange(len(u))
-        by_u, by_v = top[u] == edge, top[v] == edge
-        parent = np.arange(n)
-        joins_u = attractive & by_u & (~barred[u] | by_v)
-        joins_v = attractive & by_v & (~barred[v] | by_u)
-        parent[u[joins_u]] = v[joins_u]
-        parent[v[joins_v]] = u[joins_v]
-        apart = np.concatenate((apart, _pairs(u, v, n)[~attractive & (by_u | by_v)]))
-        root = _roots(parent)
-        cluster, u, v = root[cluster], root[u], root[v]
-        apart = np.unique(_pairs(root[apart // n], root[apart % n], n))
+    if mutexes is not None:  # they are repulsive edges that come first
+        u, v = np.concatenate((mutexes[0], u)), np.concatenate((mutexes[1], v))
+        attractive = np.concatenate((np.zeros(len(mutexes[0]), bool), attractive))
+    up, bonds = list(range(n)), {}
+    none: frozenset[int] = frozenset()
+    for i, (a, b, pulls) in enumerate(zip(np.asarray(u).tolist(), np.asarray(v).tolist(), np.asarray(attractive).tolist(), strict=True)):
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a == b or not (x := bonds.get(a, none)).isdisjoint(y := bonds.get(b, none)):
+            continue
+        if not pulls:
+            bonds.setdefault(a, set()).add(i)
+            bonds.setdefault(b, set()).add(i)
+        elif y:
+            small, large = (x, y) if len(x) < len(y) else (y, x)
+            large |= small
+            up[a] = b
+            bonds.pop(a, None)
+            bonds[b] = large
+        else:
+            up[b] = a
+    top = np.array(up, np.int64)
+    while not np.array_equal(higher := top[top], top):
+        top = higher
     least = np.full(n, n)
-    np.minimum.at(least, cluster, np.arange(n))
-    low, high = least[apart // max(n, 1)], least[apart % max(n, 1)]
-    return least[cluster], np.unique(_pairs(low, high, n))
+    np.minimum.at(least, top, np.arange(n))
+    ends: dict[int, list[int]] = {}
+    for c, numbers in bonds.items():
+        for i in numbers:
+            ends.setdefault(i, []).append(int(least[c]))
+    apart = np.array(sorted({(min(e), max(e)) for e in ends.values()}), np.int64).reshape(-1, 2)
+    return least[top], apart
 
 
 def _segments(nodes: np.ndarray, edges: pd.DataFrame, mutexes: pd.DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +75,7 @@ def _segments(nodes: np.ndarray, edges: pd.DataFrame, mutexes: pd.DataFrame | No
     inside = (u >= 0) & (v >= 0)
     held = None if mutexes is None else (number(mutexes["low"]), number(mutexes["high"]))
     cluster, apart = watershed(n, u[inside], v[inside], edges["attractive"].to_numpy(bool)[inside], held)
-    return nodes, nodes[cluster], np.stack((nodes[apart // n], nodes[apart % n]), 1)
+    return nodes, nodes[cluster], nodes[apart]
 
 
 def mutex_watershed(nodes: DataFrame, edges: DataFrame, by: str = "volume") -> DataFrame:

@@ -51,7 +51,7 @@ def test_watershed_cases():
 
 def test_watershed_keeps_clusters_apart():
     cluster, apart = mws.watershed(5, [0, 1, 3], [1, 3, 4], [True, False, True])
-    assert cluster.tolist() == [0, 0, 2, 3, 3] and apart.tolist() == [3]  # 0 * 5 + 3
+    assert cluster.tolist() == [0, 0, 2, 3, 3] and apart.tolist() == [[0, 3]]
 
 
 def test_volume_is_the_definition(spark):
