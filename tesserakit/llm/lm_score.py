@@ -5,19 +5,21 @@ into RARE classes by hash. A network in numpy predicts the class of every word f
 the word itself masked. A word's chance within its class is its share of the class' words in the corpus, so its whole
 chance is P(class | context) x n(word) / n(class). The sum of the logarithms over a whole text is its score.
 
-Training: a sample gives the network a start, on the driver. Then every window of every document trains it: each
-task goes through its part of the corpus by Adam from that start, and the results are averaged by their windows.
-Small corpora are gone through several times. The network thus depends a little on how the table is cut into splits.
+Training: gradient steps over the whole corpus, as Spark jobs. Documents are dealt into pieces by hash; a step sums
+the gradients of every window of a piece over its tasks, and the driver moves the weights by Adam and sends them out
+again. There are STEPS steps; as many pieces as make PIECE words each, and STEPS at most, so every window of every
+document trains, those of small corpora several times. What a step sums does not depend on how the table is split,
+so repartitioning changes scores by rounding only.
 
 The vocabulary is the corpus' own. Tasks know the LISTED most frequent words at most, with their counts; all rarer
 words of a document go to the table of counts by a join, told apart by 64 bits of hash. Documents are split into
 words once, and kept as a byte a word (its class) with their rarer words.
 
-The driver gets the listed words, a count a class, at most GROUPS summed networks, and the sample for the start: at
-most SAMPLE documents of at most SAMPLE_WORDS windows each, spread evenly over the whole text.
+The driver gets the listed words, a count a class, and about the root of the number of tasks of summed gradients.
 
-Defined results: null and empty texts have no words, score 0 and a null mean; repeated rows get the same score but
-for rounding; other columns pass through.
+Defined results: null and empty texts have no words, score 0 and a null mean; a text of any length is taken whole;
+repeated rows get the same score but for rounding; an empty table gives no rows; other columns pass through, and
+columns named like the ones added are replaced.
 """
 
 from __future__ import annotations
@@ -36,17 +38,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, release, write_cut
 
 FREQUENT, RARE = 128, 128
 CLASSES = FREQUENT + RARE
 SIDE, EMBED, HIDDEN = 2, 16, 32
-SAMPLE, SAMPLE_WORDS, EPOCHS, BATCH = 1200, 256, 4, 1024
+#: Steps of training, and words that a piece of the corpus has at least (where the corpus has as many).
+STEPS, PIECE = 48, 200_000
+RATES = (0.03, 0.002)
 #: Words whose counts every task holds; the others are joined.
 LISTED = 100_000
-#: Windows that a task shuffles before it trains on them, those that a small corpus is repeated up to, and how often.
-CHUNK, ENOUGH, REPEATS = 1 << 16, 2_000_000, 20
-GROUPS = 16
+#: Windows that a task takes at a time, and words that a file of training data should have at most.
+CHUNK = 4096
+FILE = 1 << 25
+#: Tasks whose sums the driver adds itself; those of more are added in groups first.
+DIRECT = 64
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 300_000
 ROWS = 128
@@ -115,34 +121,34 @@ class Network:
         padded = np.concatenate((np.full(SIDE, CLASSES), classes, np.full(SIDE, CLASSES)))
         return np.stack([padded[SIDE + o : SIDE + o + len(classes)] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1)
 
-    def step(self, contexts: np.ndarray, classes: np.ndarray, rate: float) -> None:
-        """One step of Adam on a batch."""
+    def gradients(self, contexts: np.ndarray, classes: np.ndarray, tables: np.ndarray) -> dict[str, np.ndarray]:
+        """Sums of the gradients of -log P over windows, those of the tables in place of "embed" and "inner"."""
         p, n = self.p, len(classes)
-        self.t += 1
-        x = p["embed"][contexts].reshape(n, -1)
-        h = np.tanh(x @ p["inner"] + p["bias"])
+        h = np.tanh(sum(tables[s][contexts[:, s]] for s in range(2 * SIDE)) + p["bias"])
         d = h @ p["outer"]
         d += p["level"]
         d -= d.max(1, keepdims=True)
         np.exp(d, out=d)
-        d /= d.sum(1, keepdims=True) * n
-        d[np.arange(n), classes] -= np.float32(1 / n)
-        dh = (d @ p["outer"].T) * (1 - h * h)
-        dx = (dh @ p["inner"].T).ravel()
-        at = (contexts.reshape(-1, 1) * EMBED + np.arange(EMBED)).ravel()
-        embed = np.bincount(at, dx, (CLASSES + 1) * EMBED).reshape(-1, EMBED).astype(np.float32)
-        for name, g in {"embed": embed, "inner": x.T @ dh, "bias": dh.sum(0), "outer": h.T @ d, "level": d.sum(0)}.items():
+        d /= d.sum(1, keepdims=True)
+        d[np.arange(n), classes] -= 1
+        dh = np.ascontiguousarray(((d @ p["outer"].T) * (1 - h * h)).T)
+        by_class = np.stack([[np.bincount(contexts[:, s], row, CLASSES + 1) for row in dh] for s in range(2 * SIDE)]).transpose(0, 2, 1)
+        return {"tables": by_class, "bias": dh.sum(1, dtype=np.float64), "outer": h.T @ d, "level": d.sum(0, dtype=np.float64)}
+
+    def through_tables(self, gradients: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Gradients of the weights, in their order, from those with the tables'."""
+        inner, made = self.p["inner"].reshape(2 * SIDE, EMBED, HIDDEN), gradients["tables"]
+        own = {"embed": np.einsum("sch,seh->ce", made, inner), "inner": np.einsum("ce,sch->seh", self.p["embed"], made).reshape(-1, HIDDEN)}
+        return {k: own[k] if k in own else gradients[k] for k in self.p}
+
+    def step(self, gradients: dict[str, np.ndarray], rate: float) -> None:
+        """One step of Adam."""
+        self.t += 1
+        for name, g in gradients.items():
             self.first[name] = 0.9 * self.first.get(name, 0) + 0.1 * g
-            self.second[name] = 0.999 * self.second.get(name, 0) + 0.001 * g * g
-            p[name] = (p[name] - rate * self.first[name] / (1 - 0.9**self.t) / (np.sqrt(self.second[name] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
-
-    def fit(self, contexts: np.ndarray, classes: np.ndarray, epochs: int, rates: tuple[float, float], rng: np.random.Generator) -> None:
-        """Shuffled epochs; the last one at the second rate."""
-        for epoch in range(epochs):
-            order = rng.permutation(len(classes))
-            for k in range(0, len(order), BATCH):
-                at = order[k : k + BATCH]
-                self.step(contexts[at], classes[at], rates[epoch == epochs - 1])
+            self.second[name] = 0.99 * self.second.get(name, 0) + 0.01 * g * g
+            moved = self.first[name] / (1 - 0.9**self.t) / (np.sqrt(self.second[name] / (1 - 0.99**self.t)) + 1e-8)
+            self.p[name] = (self.p[name] - rate * moved).astype(np.float32)
 
     def tables(self) -> np.ndarray:
         """What each class on each side adds to the hidden units: (4, CLASSES + 1, HIDDEN)."""
@@ -183,7 +189,7 @@ class Vocabulary:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
-    """Columns ``keep``, n_words, _row, _classes (a byte a word), _known (what the listed words add) and _rest (the others)."""
+    """Columns ``keep``, _row, _piece, n_words, _classes (a byte a word), _known (what the listed words add) and _rest (the others)."""
     frequent, logs, kinds = vocabulary.frequent, vocabulary.logs, vocabulary.kinds
     at = len(keep)
     rest = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int32())]))
@@ -205,92 +211,92 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFram
                     codes.append(code.astype(np.uint8).tobytes())
                     known.append(float(np.nansum(own) - kinds[code].sum()))
                 pairs = pa.StructArray.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(times, pa.int32())], fields=list(rest.value_type))
-                made = [rows.column(at + 1), pa.array(sizes, pa.int64()), pa.array(codes, pa.binary()), pa.array(known, pa.float64())]
+                made = [rows.column(at + 1), rows.column(at + 2), pa.array(sizes, pa.int64()), pa.array(codes, pa.binary()), pa.array(known, pa.float64())]
                 made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:at], *made], names=[*keep, "_row", "n_words", "_classes", "_known", "_rest"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:at], *made], names=[*keep, "_row", "_piece", "n_words", "_classes", "_known", "_rest"])
 
-    parts = docs.select(*keep, F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    added = T._parse_datatype_string("_row long, n_words long, _classes binary, _known double, _rest array<struct<h: long, c: int>>")
+    hashed = [F.col(c) for c, kind in docs.select(*keep).dtypes if "map<" not in kind and "variant" not in kind]
+    piece = F.pmod(F.xxhash64(*hashed, "text"), F.lit(piece_count(vocabulary.n))).cast("int")
+    parts = docs.select(*keep, F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_row"), piece.alias("_piece"))
+    added = T._parse_datatype_string("_row long, _piece int, n_words long, _classes binary, _known double, _rest array<struct<h: long, c: int>>")
     return parts.mapInArrow(run, T.StructType([*docs.select(*keep).schema.fields, *added.fields]))
 
 
-def start(coded: DataFrame) -> Network:
-    """A network trained on windows of a sample of documents."""
-    hashed = coded.filter("n_words > 0").select("_classes", F.xxhash64("_classes", "_known").alias("h"))
-    # the sample's largest hash is found among hashes alone; classes are read where they lie
-    edge = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    chosen = hashed.filter(F.col("h") <= F.lit(edge)) if edge is not None else hashed.limit(0)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for code in batch.column(0).to_pylist():
-                of = np.frombuffer(code, np.uint8).astype(np.int64)
-                at = np.linspace(0, len(of) - 1, min(len(of), SAMPLE_WORDS)).round().astype(np.int64)
-                found.append(np.concatenate((Network.contexts(of)[at], of[at, None]), 1).astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["rows"])
-
-    found = chosen.select("_classes").mapInArrow(windows, "rows binary").limit(2 * SAMPLE).collect()  # repeated rows share a hash
-    sample = np.frombuffer(b"".join(sorted(bytes(r.rows) for r in found)), "<i2").reshape(-1, 2 * SIDE + 1).astype(np.int64)
-    network, share = Network(), np.bincount(sample[:, -1], minlength=CLASSES) + 1.0
-    network.p["level"] = np.log(share / share.sum()).astype(np.float32)
-    network.fit(sample[:, :-1], sample[:, -1], EPOCHS, (0.003, 0.001), np.random.default_rng(4))
-    return network
+def windows(codes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(contexts, classes) of all words of documents, at most CHUNK at a time; windows end with their document."""
+    gap = np.full(SIDE, CLASSES, np.int64)
+    padded = np.concatenate([gap, *(x for c in codes for x in (c, gap))])
+    at = np.flatnonzero(padded != CLASSES)
+    for k in range(0, len(at), CHUNK):
+        part = at[k : k + CHUNK]
+        yield np.stack([padded[part + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1), padded[part]
 
 
 def train_everywhere(network: Network, coded: DataFrame, n: np.ndarray) -> None:
-    """Every window of ``coded`` trains ``network``: tasks go on from it, and are averaged by their windows."""
+    """STEPS steps from the gradients of all windows of ``coded``, a piece of it at a time."""
+    spark = coded.sparkSession
     share = n + 1.0
     network.p["level"] = np.log(share / share.sum()).astype(np.float32)
-    sizes, words = {k: v.shape for k, v in network.p.items()}, int(n.sum())
-    epochs, begun = min(REPEATS, max(1, ENOUGH // max(1, words))), network.p
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rng, seen, kept, held = Network(), np.random.default_rng(5), 0, [], 0
-        own.p = dict(begun)
-
-        def learn() -> None:
-            contexts, classes = (np.concatenate(x) for x in zip(*kept, strict=True))
-            own.fit(contexts, classes, epochs, (0.003, 0.001), rng)
-
-        for batch in batches:
-            for code in batch.column(0):
-                of = np.frombuffer(code.as_py(), np.uint8).astype(np.int64)
-                for k in range(0, len(of), CHUNK):  # a very long text in pieces; contexts reach over their ends
-                    low, high = max(0, k - SIDE), min(len(of), k + CHUNK)
-                    piece = Network.contexts(of[low : high + SIDE])[k - low : high - low]
-                    kept.append((piece, of[k:high]))
-                    held += high - k
-                    if held >= CHUNK:
-                        learn()
-                        seen, kept, held = seen + held, [], 0
-        if held:
-            learn()
-        if seen + held:
-            flat = np.concatenate([own.p[k].ravel() for k in sizes]).astype(np.float64) * (seen + held)
-            group = TaskContext.get().partitionId() % GROUPS
-            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([seen + held], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["part", "n", "p"])
-
-    def total(frame: pd.DataFrame) -> pd.DataFrame:
-        summed = sum(np.frombuffer(p) for p in frame.sort_values(["n", "p"])["p"])
-        return pd.DataFrame({"n": [frame["n"].sum()], "p": [summed.tobytes()]})
-
-    coded = coded.filter("n_words > 0").select("_classes")
-    found = coded.mapInArrow(run, "part int, n long, p binary").groupBy("part").applyInPandas(total, "n long, p binary").collect()
-    if not found:
-        return
-    flat, at = sum(np.frombuffer(bytes(r.p)) for r in sorted(found)) / sum(r.n for r in found), 0
-    for name, shape in sizes.items():
-        size = math.prod(shape)
-        network.p[name], at = flat[at : at + size].reshape(shape).astype(np.float32), at + size
+    pieces = piece_count(n)
+    # a piece lies in as many files as tasks run at a time, more where they would grow over FILE words
+    spread = max(spark.sparkContext.defaultParallelism, int(n.sum() / pieces / FILE))
+    place = F.col("_piece") * spread + F.pmod(F.xxhash64("_row"), F.lit(spread))
+    rows = coded.filter("n_words > 0").select("_piece", "_classes", place.alias("_place")).repartitionByRange(pieces * spread, "_place").drop("_place")
+    parts, path = write_cut(rows, "pieces", ["_piece"])
+    groups = max(1, math.isqrt(spread))
+    names = list(network.p)
+
+    def step(weights: dict[str, np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, seen = Network(), 0
+            own.p = weights
+            tables, total = own.tables(), {}
+            for batch in batches:
+                held, size = [], 0
+                for k, code in enumerate(batch.column(0), 1):
+                    held.append(np.frombuffer(code.as_py(), np.uint8).astype(np.int64))
+                    size += len(held[-1])
+                    if size >= CHUNK or k == batch.num_rows:
+                        for contexts, classes in windows(held):
+                            for name, g in own.gradients(contexts, classes, tables).items():
+                                total[name] = total.get(name, 0) + g
+                        seen, held, size = seen + size, [], 0
+            if seen:
+                flat = np.concatenate([g.ravel() for g in own.through_tables(total).values()])
+                group = TaskContext.get().partitionId() % groups
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["part", "n", "g"])
+
+        return run
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        summed = sum(np.frombuffer(g) for g in frame.sort_values(["n", "g"])["g"])
+        return pd.DataFrame({"n": [frame["n"].sum()], "g": [summed.tobytes()]})
+
+    for s in range(STEPS):
+        piece = parts.filter(F.col("_piece") == s % pieces).select("_classes")
+        found = piece.mapInArrow(step(dict(network.p)), "part int, n long, g binary")
+        if spread > DIRECT:
+            found = found.groupBy("part").applyInPandas(add, "n long, g binary")
+        found = found.select("n", "g").collect()
+        if not found:
+            continue
+        flat, at, gradients = sum(np.frombuffer(bytes(r.g)) for r in sorted(found)) / sum(r.n for r in found), 0, {}
+        for name in names:
+            shape = network.p[name].shape
+            gradients[name], at = flat[at : at + math.prod(shape)].reshape(shape), at + math.prod(shape)
+        network.step(gradients, RATES[0] * (RATES[1] / RATES[0]) ** (s / (STEPS - 1)))
+    release(spark, path)
+
+
+def piece_count(n: np.ndarray) -> int:
+    return int(max(1, min(STEPS, n.sum() // PIECE)))
 
 
 def train(docs: DataFrame, counts: DataFrame) -> tuple[Network, list[bytes], np.ndarray]:
     """The network, the frequent words, and by class the logarithm of n in the corpus (0 for frequent words)."""
     vocabulary = Vocabulary(counts)
-    coded = cut(encode(docs, vocabulary, []), "coded")
-    network = start(coded)
-    train_everywhere(network, coded, vocabulary.n)
+    network = Network()
+    train_everywhere(network, cut(encode(docs, vocabulary, []), "coded"), vocabulary.n)
     return network, vocabulary.frequent, vocabulary.kinds
 
 
@@ -300,7 +306,7 @@ def score(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     counts = cut(word_counts(docs), "words")
     vocabulary = Vocabulary(counts)
     coded = cut(encode(docs, vocabulary, keep), "coded")
-    network = start(coded)
+    network = Network()
     train_everywhere(network, coded, vocabulary.n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
