@@ -51,14 +51,14 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         release(spark, path)
 
 
-def write_cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def write_cut(df: DataFrame, name: str, partition_by: list[str] = ()) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors.
 
     The table goes with the ``scratch`` it was made in, by ``release``, or when the application ends.
     """
     spark = df.sparkSession
     path = _new_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     if _scratch.get() is None:
         fs, target = _at(spark, path)
         fs.deleteOnExit(target)
