@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut, release, table, write_cut
+from ..sources.storage import cut, release, scratch, table, write_cut
 
-__all__ = ["SPACE", "WORD", "cut", "release", "shuffle_partitions", "table", "words", "write_cut"]
+__all__ = ["SPACE", "WORD", "cut", "fresh", "release", "scratch", "shuffle_partitions", "table", "words", "write_cut"]
 
 #: A word is a run of anything but these six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]"
@@ -21,3 +21,14 @@ def words(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that ``df`` has no columns of, in any case, from the given ones."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -1,157 +1,188 @@
 """Mixing sources to target weights by entropy balancing.
 
-Documents get rates, exponentially tilted from one: exp(lambda of the source). The rates that stay closest to one in
-entropy and meet every source's token target solve a convex dual, sum(size * exp(lambda)) - lambda * target, whose
-Newton steps are sums over the corpus. The sums need the documents' sizes only, so a histogram (source, size,
-number) stands for the corpus in every step; it is built by one aggregation.
-
-Rates become copies by systematic rounding: with a source's documents ordered by size, document i gets
-floor(i r + u) - floor((i - 1) r + u) copies, so every run of documents has its due number. Of 64 offsets u the one
-that misses the source's target least is taken. Places in the order are found without a sort of a whole source:
-size classes and hash blocks are counted first, and rows are numbered inside these blocks only.
-
-Defined results: null texts have size 0 and nothing is taken from them; null sources are one source, the last;
-repeated rows are mixed one by one; a source without words has target 0; an empty table gives no rows.
+Every document gets a rate. Of all rates from 0 to ``cap`` that give each source its target of words, the ones nearest
+to one copy of every document are taken (least sum of r log r - r). They are tilted by the document's own words:
+min(cap, exp(tilt * size)), with one multiplier a source. So a source that is to grow repeats its long documents
+first, one that is to shrink keeps its short ones.
+
+The multipliers solve the convex dual, whose gradient and curvature are sums over the corpus of size * rate and of
+size^2 * rate. Newton steps, on logarithms and held inside brackets, take these sums from a histogram (source,
+size, number), which one aggregation makes. The cap is part of the dual, so moments are met with it.
+
+Rates become copies by rounding with a random number of the row: floor(rate + u). Of OFFSETS shifts of these numbers
+the one that misses a source's target least is taken, and ROUNDS documents of a source make up for what is left. All of
+this is a function of the row and of its source's parameters, so texts are read and never shuffled.
+
+Defined results: null and empty texts have size 0 and no copies; a text of any length counts whole; null sources are
+one source, the last; rows equal in doc_id, source and text are one item that gets the same copies each; of documents
+that make up equally well the one of least hash is taken; a source without words has target 0; an empty table gives no
+rows; other columns pass through, and columns named like the ones added are replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WORD, cut, release, write_cut
+from ..operators.components import dense_ids
+from .common import WORD, cut, fresh, release, write_cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
-#: No source (and so no document) is taken more than so many times.
+#: No document is taken more than so many times.
 CAP = 3.0
-TOLERANCE, MOST_STEPS = 1e-9, 60
-OFFSETS = 64
+TOLERANCE, MOST_STEPS = 1e-9, 80
+OFFSETS, ROUNDS = 64, 3
 MADE = ["size", "source_size", "target", "rate", "copies", "taken"]
 #: Tables of a row a source are broadcast up to so many sources; of more they are shuffled.
 BROADCAST_SOURCES = 100_000
-#: Hash blocks of a size class of a source; more than one where a class has more rows than BLOCK_ROWS.
-BLOCK_ROWS = 500_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """Add ``target`` to (source, source_size): shares of all sizes by weight, stopped at ``cap`` times the size.
 
-    What the stopped sources leave is shared by the others' weights again, until none is above: the sources with
-    the least cap a weight stop first, so the level at which the rest settles follows from running sums.
+    What stopped sources leave is shared by the others' weights again, until none is above. A round is one
+    aggregation, of which the driver sees three numbers.
     """
-    one = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))  # a row a source
-    listed = sizes.withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(one) - 1) % len(weights) + 1))
-    by_cap = Window.orderBy(F.col("source_size") / F.col("_weight"), F.col("source").isNull(), "source")
-    earlier, everything = by_cap.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    capped = cap * F.coalesce(F.sum("source_size").over(earlier), F.lit(0))
-    weight_left = F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(earlier), F.lit(0.0))
-    listed = listed.withColumn("_level", (F.sum("source_size").over(everything) - capped) / weight_left)
-    listed = listed.withColumn("_free", F.col("_level") * F.col("_weight") <= cap * F.col("source_size"))
-    level = F.min(F.when(F.col("_free"), F.struct(F.col("source_size") / F.col("_weight"), F.col("_level").alias("level")))).over(everything)
-    listed = listed.withColumn("_at", level["level"])
-    target = F.least(cap * F.col("source_size"), F.coalesce(F.col("_at") * F.col("_weight"), cap * F.col("source_size")))
-    return listed.select("source", "source_size", target.cast("double").alias("target"))
-
-
-def balance(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(source, source_size, target, rate): Newton steps on the dual until every source's tokens meet its target."""
+    order = [F.col("source").isNull().alias("_none"), F.encode("source", "UTF-8").alias("_bytes")]
+    listed = sizes.select("source", "source_size", *order)
+    numbers = dense_ids(listed, ["_none", "_bytes"], "_number").withColumnsRenamed({"_none": "_n", "_bytes": "_b"})
+    same = (F.col("_none") == F.col("_n")) & F.col("_bytes").eqNullSafe(F.col("_b"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("_number") - 1) % len(weights) + 1).cast("int"))
+    listed = cut(listed.join(numbers, same).select("source", "source_size", weight.alias("weight")), "weights")
+    most, level, stopped_before = cap * F.col("source_size"), 0.0, -1
+    while True:
+        stopped = F.col("weight") * level > most
+        sums = [F.sum("source_size"), F.sum(F.when(stopped, F.col("source_size"))), F.sum(F.when(~stopped, F.col("weight"))), F.count_if(stopped)]
+        total, held, rest, n_stopped = listed.agg(*sums).first()
+        if n_stopped == stopped_before or not rest:
+            break
+        stopped_before = n_stopped
+        level = (total - cap * (held or 0)) / rest
+    return listed.select("source", "source_size", F.least(most, F.col("weight") * level).cast("double").alias("target"))
+
+
+def rate(tilt: Column, size: Column, cap: float) -> Column:
+    return F.when(size > 0, F.least(F.lit(cap), F.exp(tilt * size))).otherwise(0.0)
+
+
+def balance(histogram: DataFrame, wanted: DataFrame, cap: float = CAP) -> DataFrame:
+    """(source, source_size, target, tilt): Newton steps on the dual until every source's words meet its target."""
     spark = histogram.sparkSession
-    state, path = write_cut(wanted.filter("target > 0").withColumn("tilt", F.lit(0.0)), "tilt")
-    sums = histogram.groupBy(F.col("source").alias("_source"), "size").agg(F.sum("n").alias("n"))
+    sums = histogram.filter("size > 0").select(F.col("source").alias("_source"), "size", "n")
+    shortest = sums.groupBy("_source").agg(F.min("size").cast("double").alias("_shortest"))
+    begun = wanted.filter("target > 0").join(shortest, F.col("_source").eqNullSafe(F.col("source")))
+    # where even the shortest text has the bound's rate, the words are past the target
+    share = F.col("target") / F.col("source_size")
+    whole = share >= cap * (1 - 1e-12)
+    low = F.when(share < 1, F.log(share) / F.col("_shortest")).otherwise(0.0)
+    high = F.when(share > 1, F.lit(math.log(cap)) / F.col("_shortest")).otherwise(0.0)
+    state = begun.select("source", "source_size", "target", F.when(whole, F.lit(float("inf"))).otherwise(0.0).alias("tilt"), low.alias("low"), high.alias("high"))
+    state, path = write_cut(state, "tilt")
     for _ in range(MOST_STEPS):
-        tokens = F.sum(F.col("n") * F.col("size") * F.exp("tilt"))
-        met = sums.join(state.select("source", "tilt"), F.col("_source").eqNullSafe(F.col("source"))).groupBy("source").agg(tokens.alias("tokens"))
-        met = met.select(F.col("source").alias("_source"), "tokens")
-        # gradient tokens - target, curvature tokens; a step up is held to 1, where exp would run away
-        step = F.least((F.col("target") - F.col("tokens")) / F.col("tokens"), F.lit(1.0))
-        new = state.join(met, F.col("_source").eqNullSafe(F.col("source"))).select("source", "source_size", "target", (F.col("tilt") + step).alias("tilt"), F.abs(step).alias("miss"))
-        new, new_path = write_cut(new, "tilt")
+        r = rate(F.col("tilt"), F.col("size"), cap)
+        words, slope = F.sum(F.col("n") * F.col("size") * r), F.sum(F.when(r < cap, F.col("n") * F.col("size") * F.col("size") * r).otherwise(0.0))
+        met = sums.join(state.select("source", "tilt"), F.col("_source").eqNullSafe(F.col("source")))
+        met = met.groupBy("_source").agg(words.alias("words"), slope.alias("slope"))
+        new = state.join(met, F.col("_source").eqNullSafe(F.col("source")))
+        miss = F.when(F.col("tilt") == float("inf"), 0.0).otherwise(F.abs(F.col("words") / F.col("target") - 1))
+        below = F.col("words") < F.col("target")
+        new = new.withColumn("low", F.when(below, F.col("tilt")).otherwise(F.col("low"))).withColumn("high", F.when(below, F.col("high")).otherwise(F.col("tilt")))
+        to = F.col("tilt") + F.log(F.col("target") / F.col("words")) * F.col("words") / F.col("slope")
+        inside = (to > F.col("low")) & (to < F.col("high"))
+        to = F.when(miss < TOLERANCE, F.col("tilt")).when(inside, to).otherwise((F.col("low") + F.col("high")) / 2)
+        new, new_path = write_cut(new.select("source", "source_size", "target", to.alias("tilt"), "low", "high", miss.alias("miss")), "tilt")
         release(spark, path)
         state, path = new.drop("miss"), new_path
         if (new.agg(F.max("miss")).first()[0] or 0.0) < TOLERANCE:
             break
-    done = state.select(F.col("source").alias("_source"), F.exp("tilt").alias("rate"))
-    return wanted.join(done, F.col("_source").eqNullSafe(F.col("source")), "left").select("source", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"))
+    # sums of another order may differ in the last bits: fewer bits make reruns agree
+    done = state.select(F.col("source").alias("_source"), F.col("tilt").cast("float").cast("double").alias("_tilt"))
+    out = wanted.join(done, F.col("_source").eqNullSafe(F.col("source")), "left")
+    return out.select("source", "source_size", "target", F.coalesce("_tilt", F.lit(float("-inf"))).alias("tilt"))
+
+
+def uniform(hashed: Column) -> Column:
+    return hashed.bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
 
 
-def size_class(size: Column) -> Column:
-    """Classes of about an eighth of a doubling, in the order of sizes."""
-    return F.when(size > 0, F.floor(F.log2(size.cast("double")) * 8)).otherwise(-1).cast("int")
+def rounded(tilt: Column, size: Column, hashed: Column, offset: Column, cap: float) -> Column:
+    """Copies of a row: its rate, rounded by its random number."""
+    u = uniform(hashed) + offset
+    return F.least(F.floor(rate(tilt, size, cap) + (u - F.floor(u))), F.lit(int(cap))).cast("int")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, narrow: bool = False) -> DataFrame:
-    """Add size, source_size, target, rate, copies and taken to every row; ``narrow`` returns doc_id and source alone with them."""
+def parameters(items: DataFrame, cap: float, weights: tuple[float, ...]) -> DataFrame:
+    """A row a source: source_size, target, tilt, offset, and the items (doc_id, hash, size) that take ``step`` more copies.
+
+    ``items`` has a row for each (doc_id, source, size, hash), and their number n.
+    """
+    histogram = cut(items.groupBy("source", "size").agg(F.sum("n").alias("n")), "histogram")
+    totals = cut(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), "sources")
+    tilts = cut(balance(histogram, targets(totals, weights, cap), cap), "tilts")
+    few = totals.count() <= BROADCAST_SOURCES
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.withColumnRenamed("source", "_s")
+        return left.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+
+    shifts = [k / OFFSETS for k in range(OFFSETS)]
+    sized = joined(items.filter("size > 0"), tilts)
+    words = F.col("n") * F.col("size")
+    tries = [F.sum(rounded(F.col("tilt"), F.col("size"), F.col("hash"), F.lit(u), cap) * words).alias(f"_t{k}") for k, u in enumerate(shifts)]
+    tried = sized.groupBy("source").agg(F.max("target").alias("_target"), *tries)
+    best = F.least(*(F.struct(F.abs(F.col(f"_t{k}") - F.col("_target")).alias("by"), F.lit(u).alias("offset"), F.col(f"_t{k}").alias("words")) for k, u in enumerate(shifts)))
+    shifted = cut(joined(tilts, tried.select("source", best.alias("_best"))).select("source", "source_size", "target", "tilt", F.coalesce("_best.offset", F.lit(0.0)).alias("offset"), F.coalesce(F.col("target") - F.col("_best.words"), F.lit(0.0)).alias("miss")), "offsets")
+
+    # one copy more or less of one item of a source, where that leaves less of the miss; and again
+    now = shifted.withColumn("evens", F.array().cast("array<struct<doc_id: long, hash: long, size: long, step: int>>".replace("long", dict(items.dtypes)["doc_id"], 1)))
+    for _ in range(ROUNDS):
+        near = joined(items.filter("size > 0"), now)
+        copies = rounded(F.col("tilt"), F.col("size"), F.col("hash"), F.col("offset"), cap) + evened(F.col("evens"), F.col("doc_id"), F.col("hash"), F.col("size"))
+        step = F.when((F.col("miss") > 0) & (copies < int(cap)), 1).when((F.col("miss") < 0) & (copies > 0), -1)
+        left = F.col("miss") - step * words
+        near = near.withColumn("step", step).withColumn("left", left).filter("step IS NOT NULL").filter(F.abs("left") < F.abs("miss"))
+        one = near.groupBy("source").agg(F.min_by(F.struct("doc_id", "hash", "size", "step", "left"), F.struct(F.abs("left"), "hash", "doc_id")).alias("one"))
+        evens = F.when(F.col("one").isNull(), F.col("evens")).otherwise(F.array_append("evens", F.struct(*(F.col(f"one.{c}").alias(c) for c in ("doc_id", "hash", "size", "step")))))
+        now = cut(joined(now, one).select("source", "source_size", "target", "tilt", "offset", F.coalesce("one.left", "miss").alias("miss"), evens.alias("evens")), "evens")
+    return now.drop("miss")
+
+
+def evened(evens: Column, doc_id: Column, hashed: Column, size: Column) -> Column:
+    """Copies more or less that a row takes to make up for its source."""
+    own = F.filter(evens, lambda e: e["doc_id"].eqNullSafe(doc_id) & (e["hash"] == hashed) & (e["size"] == size))
+    return F.aggregate(own, F.lit(0), lambda total, e: total + e["step"])
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """Add size, source_size, target, rate, copies and taken to every row."""
     docs = docs.drop(*MADE)
-    sized = docs.withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
-    sized = sized.withColumn("_class", size_class(F.col("size"))).withColumn("_hash", F.xxhash64("doc_id", "text"))
-    keys = sized.select("doc_id", "source", "size", "_class", "_hash")
-    keys = cut(keys, "sizes")
-    histogram = cut(keys.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
-    totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    rates = cut(balance(histogram, targets(totals, weights, cap)), "rates")
-    few = rates.count() <= BROADCAST_SOURCES
-
-    largest = keys.groupBy("source", "_class").count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, -(-largest // BLOCK_ROWS) * 4, min(16, largest // 256))
-    keys = keys.withColumn("_block", F.pmod(F.shiftright("_hash", 20), F.lit(blocks)).cast("int"))
-    group = ["source", "_class", "_block"]
-    counted = keys.groupBy(*group).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy("source").orderBy(F.desc("_class"), "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.withColumn("_start", F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    starts = starts.join(rates.withColumnRenamed("source", "_source"), F.col("_source").eqNullSafe(F.col("source")))
-    starts = starts.select(*(F.col(c).alias(f"_of{c}") for c in group), "_start", "source_size", "target", "rate")
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("size"), "_hash", "doc_id"))
-    numbered = keys.withColumn("_in", place)
-    same = (F.col("source").eqNullSafe(F.col("_ofsource"))) & (F.col("_class") == F.col("_of_class")) & (F.col("_block") == F.col("_of_block"))
-    numbered = numbered.join(starts, same).withColumn("_place", F.col("_start") + F.col("_in"))
-    numbered = cut(numbered.select("doc_id", "source", "size", "_hash", "_place", "source_size", "target", "rate"), "places")
-
-    def copies(offset: Column) -> Column:
-        upto = lambda i: F.floor(i * F.col("rate") + offset)
-        return F.when(F.col("size") > 0, F.least(upto(F.col("_place")) - upto(F.col("_place") - 1), F.lit(int(cap)))).otherwise(0)
-
-    tries = [F.sum(copies(F.lit((k + 0.5) / OFFSETS)) * F.col("size")).alias(f"_t{k}") for k in range(OFFSETS)]
-    tried = numbered.groupBy("source").agg(F.max("target").alias("_target"), *tries)
-    misses = [F.struct(F.abs(F.col(f"_t{k}") - F.col("_target")).alias("miss"), F.lit((k + 0.5) / OFFSETS).alias("offset")) for k in range(OFFSETS)]
-    best = tried.select(F.col("source").alias("_source"), F.least(*misses)["offset"].alias("_offset"))
-    chosen = numbered.join(F.broadcast(best) if few else best, F.col("source").eqNullSafe(F.col("_source")))
-    chosen = even_out(chosen.withColumn("copies", copies(F.col("_offset")).cast("int")).drop("_source", "_offset"), cap, few)
-    chosen = chosen.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    if narrow:
-        return chosen.select("doc_id", "source", *MADE)
-    right = chosen.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), F.col("source").alias("_s"), *MADE)
-    left = sized.drop("size")
-    match = left["doc_id"].eqNullSafe(F.col("_id")) & (left["_hash"] == F.col("_h")) & left["source"].eqNullSafe(F.col("_s"))
-    if not keys.groupBy("doc_id", "_hash", "source").count().filter("count > 1").isEmpty():
-        # repeated rows are told apart by their number among themselves
-        right = right.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_h", "_s").orderBy("copies")))
-        left = left.withColumn("_j", F.row_number().over(Window.partitionBy("doc_id", "_hash", "source").orderBy("_class")))
-        match = match & (F.col("_j") == F.col("_k"))
-    return left.join(right, match).select(*docs.columns, *MADE)
-
-
-def even_out(chosen: DataFrame, cap: float, few: bool) -> DataFrame:
-    """One copy more or less of one document of each source: the one whose size leaves the least of the miss."""
-    miss = chosen.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("_miss"))
-    miss = miss.select(F.col("source").alias("_source"), "_miss")
-    open_ = chosen.join(F.broadcast(miss) if few else miss, F.col("source").eqNullSafe(F.col("_source")))
-    step = F.when((F.col("_miss") > 0) & (F.col("copies") < int(cap)), 1).when((F.col("_miss") < 0) & (F.col("copies") > 0), -1)
-    left = F.abs(F.col("_miss") - step * F.col("size"))
-    best = open_.withColumn("_step", step).filter((F.col("_step").isNotNull()) & (left < F.abs("_miss")))
-    best = best.groupBy("source").agg(F.min(F.struct(left.alias("left"), "_place", "_step")).alias("_best"))
-    best = best.select(F.col("source").alias("_source"), F.col("_best._place").alias("_which"), F.col("_best._step").alias("_step"))
-    out = chosen.join(F.broadcast(best) if few else best, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_place") == F.col("_which")), "left")
-    return out.withColumn("copies", F.col("copies") + F.coalesce("_step", F.lit(0))).drop("_source", "_which", "_step")
+    hashed, own = fresh(docs, "hash", "of")
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    sized = docs.withColumns({"size": size, hashed: F.xxhash64("doc_id", "text")})
+    items = cut(sized.groupBy("doc_id", "source", "size", F.col(hashed).alias("hash")).agg(F.count("*").alias("n")), "items")
+    found = cut(parameters(items, cap, weights), "mix")
+    few = found.count() <= BROADCAST_SOURCES
+    found = found.select(F.struct(*found.columns).alias(own))
+    out = sized.join(F.broadcast(found) if few else found, F.col("source").eqNullSafe(F.col(f"{own}.source")))
+    of = lambda c: F.col(f"{own}.{c}")
+    copies = rounded(of("tilt"), F.col("size"), F.col(hashed), of("offset"), cap)
+    copies = F.when(F.col("size") > 0, copies + evened(of("evens"), F.col("doc_id"), F.col(hashed), F.col("size"))).otherwise(0)
+    made = {"source_size": of("source_size"), "target": of("target"), "rate": rate(of("tilt"), F.col("size"), cap), "copies": copies.cast("int")}
+    out = out.withColumns(made).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+    return out.select(*docs.columns, *MADE)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as many times as it is taken, in the columns it came in."""
-    own = {c: f"_own_{c}" for c in docs.columns if c in MADE}
-    out = mix(docs.withColumnsRenamed(own)).filter("copies > 0")
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+    clash = [c for c in docs.columns if c.lower() in MADE]
+    kept = dict(zip(clash, fresh(docs, *clash), strict=True))
+    out = mix(docs.withColumnsRenamed(kept)).filter("copies > 0")
+    (copy,) = fresh(out, "copy")
+    out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*(F.col(kept.get(c, c)).alias(c) for c in docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return mix(docs.select("doc_id", "text", "source"), narrow=True).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")

@@ -117,8 +117,25 @@ def test_mixing(docs):
             break
         stopped |= over
     for s in names:
-        assert target[s] == pytest.approx(want[s]) and taken[s] == pytest.approx(want[s], rel=0.25, abs=60)
-    assert sorted(mixing.query(docs).select("doc_id", "taken").collect()) == sorted((r.doc_id, r.taken) for r in got)
+        assert target[s] == pytest.approx(want[s])
+    again = mixing.query(docs.repartition(5)).select("doc_id", "taken").collect()
+    assert sorted(again) == sorted((r.doc_id, r.taken) for r in got)
+
+    # rates and copies again, in plain numbers: least entropy for the words that are due, the cap included
+    rows = [r for r in mixing.mix(docs).collect() if r.size > 0]
+    for s in names:
+        own = [r for r in rows if r.source == s]
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            tilt = (low + high) / 2
+            words = sum(r.size * min(3.0, math.exp(min(700.0, tilt * r.size))) for r in own)
+            low, high = (tilt, high) if words < want[s] * (1 - 1e-13) else (low, tilt)
+        assert all(r.rate == pytest.approx(min(3.0, math.exp(min(700.0, high * r.size))), rel=1e-4, abs=1e-9) for r in own)
+        assert sum(r.rate * r.size for r in own) == pytest.approx(want[s], rel=1e-5)
+        assert want[s] == 3 * size[s] or len({round(r.rate, 6) for r in own}) > 1
+        off = [r for r in own if not (math.floor(r.rate) <= r.copies <= math.ceil(r.rate))]
+        assert len(off) <= mixing.ROUNDS and all(r.taken == r.copies * r.size for r in own)
+        assert abs(taken[s] - want[s]) <= max(0.02 * want[s], min(r.size for r in own))
 
 
 def test_targets_stop(spark):
