@@ -1,19 +1,23 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Every block of vectors (an Arrow batch of a task) gets its own forest: per tree the vectors' long strings of random
-hyperplane bits, as one sorted array of integers. A query descends to the longest prefix that it shares with any
-string of a tree, then all trees ascend together, one bit at a time, until the ranges of shared prefix hold enough
-candidates; distances to these are exact, in double precision.
-
-The index stays where the table lies: nothing of it is shuffled. Queries are broadcast in blocks of at most
-QUERY_BLOCK rows, and each block of vectors answers with its ten nearest for each query; the least ten of these
-are the result. ``budget`` is the share of a block (counted over trees) that is looked at: neighbours in these
-tables are hardly nearer than chance, so 0.6 over 48 trees (half of the rows) is what a recall above 0.9 takes; tables with structure
+Vectors are dealt into blocks by hash, and every block gets its own forest: per tree the vectors' long strings of
+random hyperplane bits, as one sorted array of integers. A query descends to the longest prefix that it shares with
+any string of a tree, then all trees ascend together, one bit at a time, until the ranges of shared prefix hold
+enough candidates; distances to these are exact, in double precision.
+
+Vectors and queries meet in one exchange: a query goes to every block, and a block's task builds its forest once,
+then streams the queries past it and answers with the ten nearest of the block. The least ten of all blocks are the
+result. Blocks follow from the rows alone, so results do not depend on how the table is split, and neither vectors
+nor queries pass through the driver.
+
+``budget`` is the share of a block (counted over trees) that is looked at: neighbours in these tables are hardly
+nearer than chance, so 0.6 over 48 trees (half of the rows) is what a recall above 0.9 takes; tables with structure
 do with far less.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite
-components take no part, nor do rows without vec_id; candidates with the query's own vec_id are left out; equal
-distances go by vec_id; repeated rows are candidates one by one; an empty table gives no rows.
+components take no part, nor do rows without vec_id; candidates with the query's own vec_id are left out; of several
+vectors of a query's vec_id the smallest asks (in the order of arrays); equal distances go by vec_id; repeated rows
+are candidates one by one; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,14 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-TREES, BITS, BUDGET, K = 48, 24, 0.6, 10
-QUERY_BLOCK = 20_000
+TREES, BITS, BUDGET, K = 48, 32, 0.6, 10
 SEED = 7
+#: Rows of a block: a share of the table, so that blocks spread over the cluster, within these bounds.
+LEAST_ROWS, SHARE, MOST_ROWS = 256, 64, 65_536
+#: Queries that a task takes at a time.
+ROWS = 256
 
 
 def taking_part(vectors: DataFrame, column: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(vec_id, v): rows with a usable vector of the usual length, in double precision."""
-    v = F.col(column).cast("array<double>")
+    """(vec_id, v): rows with a usable vector of the usual length."""
+    v = F.col(column)
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
@@ -52,8 +59,8 @@ def strings(x: np.ndarray, normals: np.ndarray, trees: int) -> np.ndarray:
 
 
 class Forest:
-    def __init__(self, ids: np.ndarray, x: np.ndarray, normals: np.ndarray, trees: int, bits: int):
-        self.ids, self.x, self.normals, self.trees, self.bits = ids, x, normals, trees, bits
+    def __init__(self, ids: np.ndarray, x: np.ndarray, times: np.ndarray, normals: np.ndarray, trees: int, bits: int):
+        self.ids, self.x, self.times, self.normals, self.trees, self.bits = ids, x, times, normals, trees, bits
         self.centre = x.mean(0)
         found = strings(x - self.centre, normals, trees)
         self.order = np.argsort(found, axis=1, kind="stable")
@@ -93,44 +100,53 @@ class Forest:
                 at = at[rough <= edge + 1e-9 * (abs(edge) + norms[at].max() + q[j] @ q[j])]
             exact = np.sqrt(((self.x[at] - q[j]) ** 2).sum(1))
             first = np.lexsort((self.ids[at], exact))[:k]
+            first = np.repeat(first, self.times[at][first])[:k]
             yield query_ids[j], self.ids[at][first], exact[first]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def block_count(rows: int) -> int:
+    return max(1, -(-rows // min(MOST_ROWS, max(LEAST_ROWS, rows // SHARE))))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, bits: int = BITS, budget: float = BUDGET) -> DataFrame:
     """The k nearest of ``vectors`` (vec_id, v) found for each of ``queries`` (vec_id, v): query_id, rank, vec_id, score."""
-    spark = vectors.sparkSession
-    parts = -(-queries.count() // QUERY_BLOCK) or 1
-    if parts > 1:  # blocks by hash fill evenly, and stay below the bound with one part more
-        parts += 1
-    found = None
-    for part in range(parts):
-        block = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).toArrow()
-        if not block.num_rows:
-            continue
-        asked = block.column("v").combine_chunks()
-        shared = spark.sparkContext.broadcast((block.column("vec_id").to_numpy(), matrix(asked)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, q = shared.value
-            normals = planes(q.shape[1], trees, bits)
-            for batch in batches:
-                if batch.num_rows:
-                    forest = Forest(batch.column(0).to_numpy(), matrix(batch.column(1)), normals, trees, bits)
-                    for start in range(0, len(q), 256):
-                        hits = list(forest.nearest(query_ids[start : start + 256], q[start : start + 256], k, budget))
-                        if hits:
-                            of = np.concatenate([np.full(len(i), one, np.int64) for one, i, _ in hits])
-                            columns = [pa.array(of), pa.array(np.concatenate([i for _, i, _ in hits])), pa.array(np.concatenate([d for _, _, d in hits]))]
-                            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
-
-        hits = vectors.mapInArrow(run, "query_id long, vec_id long, score double")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    blocks = block_count(vectors.count())
+    # equal rows are one item, so that no block is filled by them
+    items = vectors.groupBy("vec_id", "v").agg(F.count("*").alias("times"))
+    items = items.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "v", F.least("times", F.lit(k)).alias("times"))
+    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "v", F.lit(0).cast("long").alias("times"))
+    met = items.unionByName(asked).repartitionByRange(blocks, "block").sortWithinPartitions("block", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, forest, normals = None, [], None, None
+        for batch in batches:
+            kind = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.diff(kind, prepend=-1)).tolist()
+            for low, high in zip(starts, [*starts[1:], len(kind)], strict=True):
+                if kind[low] // 2 != block:
+                    block, held, forest = kind[low] // 2, [], None
+                ids, x, times = batch.column(2).slice(low, high - low).to_numpy(), matrix(batch.column(3).slice(low, high - low)), batch.column(4).slice(low, high - low).to_numpy()
+                if kind[low] % 2 == 0:
+                    held.append((ids, x, times))
+                    continue
+                if not held:
+                    continue
+                if forest is None:
+                    normals = planes(x.shape[1], trees, bits) if normals is None else normals
+                    forest = Forest(*(np.concatenate(c) for c in zip(*held, strict=True)), normals, trees, bits)
+                for start in range(0, len(x), ROWS):
+                    hits = list(forest.nearest(ids[start : start + ROWS], x[start : start + ROWS], k, budget))
+                    if hits:
+                        of = np.concatenate([np.full(len(i), one, np.int64) for one, i, _ in hits])
+                        columns = [pa.array(of), pa.array(np.concatenate([i for _, i, _ in hits])), pa.array(np.concatenate([d for _, _, d in hits]))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
+    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
@@ -138,4 +154,4 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
 
 def query(embeddings: DataFrame) -> DataFrame:
     rows = taking_part(embeddings)
-    return search(rows, rows.filter("vec_id % 100 = 0").dropDuplicates(["vec_id"]))
+    return search(rows, rows.filter("vec_id % 100 = 0"))

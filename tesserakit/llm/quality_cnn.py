@@ -4,13 +4,15 @@ Bytes are embedded in 8 numbers; learned filters of 8 bytes slide over the whole
 blocks of 256 bytes, and a chunk is two neighbouring blocks, so chunks overlap by half. Filters are max-pooled
 over each chunk; the largest and the mean of the chunks' values make one probability by a logistic unit.
 
-Training runs on the driver, on a bounded sample (at most SAMPLE rows of each class, the ones of least hash, and
-from texts over TRAIN_BLOCKS blocks as many blocks spread over the whole text). Scoring reads every byte of every
-document, in tasks, without a shuffle.
-
-Defined results: a null text counts as an empty one, which is a block of padding and gets a score too; rows
-without doc_id are scored and count as not held out; labels of a doc_id that disagree count by the largest;
-without labels of both classes every score is 0.5.
+Training runs on the driver, on whole texts of a bounded sample: of each class the labelled rows of least hash, at
+most SAMPLE of them and SAMPLE_BYTES of text together (texts over TEXT_BYTES are not sampled). Scoring reads every
+byte of every document, in tasks, without a shuffle.
+
+Defined results: a null text counts as an empty one, which is a block of padding and gets a score too; texts of any
+length are scored whole; repeated rows get equal scores; rows without doc_id are scored and count as not held out;
+labels of a doc_id that disagree count by the largest; of texts with one doc_id the one of least hash trains; without
+labels of both classes every score is 0.5; an empty table gives no rows; other columns pass through, and a column
+``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 BLOCK, STEP, WIDTH, FILTERS, EMBED = 256, 4, 8, 24, 8
 PAD = 256
-SAMPLE, TRAIN_BLOCKS, EPOCHS, BATCH = 1500, 24, 10, 48
+SAMPLE, EPOCHS, BATCH = 1500, 8, 48
+SAMPLE_BYTES, TEXT_BYTES = 6 << 20, 1 << 20
 SLICE = 2048
 THRESHOLD = 0.3
 
@@ -148,26 +152,18 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[bytes, int]]:
-    """Blocks of at most ``sample`` labelled texts of each class that are not held out."""
-    usable = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """Labelled texts of each class that are not held out, at most ``sample`` and ``most`` bytes of a class."""
+    usable = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     usable = usable.filter(~held_out()).withColumn("h", F.xxhash64("doc_id"))
     chosen = [usable.filter(F.col("quality") == c).orderBy("h", "doc_id").limit(sample) for c in (0, 1)]
-    chosen = chosen[0].union(chosen[1]).select(F.col("doc_id").alias("_id"), "quality")
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for text in batch.column(0).to_pylist():
-                rows = blocks((text or "").encode())
-                if len(rows) > TRAIN_BLOCKS:
-                    rows = rows[np.linspace(0, len(rows) - 1, TRAIN_BLOCKS).astype(int)]
-                kept.append(rows.astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), batch.column(1)], names=["kept", "quality"])
-
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("text", F.col("quality").cast("int"))
-    found = rows.mapInArrow(thin, "kept binary, quality int").limit(4 * sample).collect()  # repeated doc_ids can't flood the driver
-    return sorted((bytes(r.kept), r.quality) for r in found)
+    chosen = chosen[0].union(chosen[1]).select(F.col("doc_id").alias("_id"), "quality", "h")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = rows.filter(F.octet_length("text") <= TEXT_BYTES)
+    one = rows.groupBy("_id", "quality", "h").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("quality").orderBy("h", "_id"))  # at most ``sample`` rows
+    found = one.withColumn("bytes", before).filter(F.col("bytes") <= most).select("h", "_id", "text", "quality").collect()
+    return [(r.text, r.quality) for r in sorted(found)]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | None:
@@ -176,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | None:
     if len(set(y.tolist())) < 2:
         return None
     network = Network()
-    network.fit([np.frombuffer(x, "<i2").reshape(-1, BLOCK) for x, _ in rows], y)
+    network.fit([blocks(text.encode()) for text, _ in rows], y)
     return network
 
 
