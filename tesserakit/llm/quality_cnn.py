@@ -28,7 +28,9 @@ from pyspark.sql.window import Window
 
 BLOCK, STEP, WIDTH, FILTERS, EMBED = 256, 4, 8, 24, 8
 PAD = 256
-SAMPLE, EPOCHS, BATCH = 1500, 8, 48
+SAMPLE, BATCH = 1500, 48
+#: Epochs, and steps that small samples are repeated for.
+EPOCHS, LEAST_STEPS = 8, 200
 SAMPLE_BYTES, TEXT_BYTES = 6 << 20, 1 << 20
 SLICE = 2048
 THRESHOLD = 0.3
@@ -135,8 +137,9 @@ class Network:
 
     def fit(self, texts: list[np.ndarray], y: np.ndarray, seed: int = 2) -> None:
         rng, first, second, t = np.random.default_rng(seed), {}, {}, 0
-        for epoch in range(EPOCHS):
-            rate = 0.01 if epoch < EPOCHS * 2 // 3 else 0.002
+        epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(texts)))
+        for epoch in range(epochs):
+            rate = 0.01 if epoch < epochs * 2 // 3 else 0.002
             order = rng.permutation(len(texts))
             for k in range(0, len(order), BATCH):
                 part, t = order[k : k + BATCH], t + 1
