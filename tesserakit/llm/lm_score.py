@@ -48,8 +48,8 @@ STEPS, PIECE = 48, 200_000
 RATES = (0.03, 0.002)
 #: Words whose counts every task holds; the others are joined.
 LISTED = 100_000
-#: Windows that a task takes at a time, and words that a file of training data should have at most.
-CHUNK = 4096
+#: Windows that a task takes at a time, words that it holds for that, and words that a file of training data should have at most.
+CHUNK, HELD = 2048, 1 << 16
 FILE = 1 << 25
 #: Tasks whose sums the driver adds itself; those of more are added in groups first.
 DIRECT = 64
@@ -117,23 +117,38 @@ class Network:
 
     @staticmethod
     def contexts(classes: np.ndarray) -> np.ndarray:
-        """(words, 4): classes on both sides, CLASSES beyond the ends."""
+        """(4, words): classes on both sides, CLASSES beyond the ends."""
         padded = np.concatenate((np.full(SIDE, CLASSES), classes, np.full(SIDE, CLASSES)))
-        return np.stack([padded[SIDE + o : SIDE + o + len(classes)] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1)
+        return np.stack([padded[SIDE + o : SIDE + o + len(classes)] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))])
 
     def gradients(self, contexts: np.ndarray, classes: np.ndarray, tables: np.ndarray) -> dict[str, np.ndarray]:
         """Sums of the gradients of -log P over windows, those of the tables in place of "embed" and "inner"."""
-        p, n = self.p, len(classes)
-        h = np.tanh(sum(tables[s][contexts[:, s]] for s in range(2 * SIDE)) + p["bias"])
-        d = h @ p["outer"]
-        d += p["level"]
-        d -= d.max(1, keepdims=True)
-        np.exp(d, out=d)
-        d /= d.sum(1, keepdims=True)
-        d[np.arange(n), classes] -= 1
-        dh = np.ascontiguousarray(((d @ p["outer"].T) * (1 - h * h)).T)
-        by_class = np.stack([[np.bincount(contexts[:, s], row, CLASSES + 1) for row in dh] for s in range(2 * SIDE)]).transpose(0, 2, 1)
-        return {"tables": by_class, "bias": dh.sum(1, dtype=np.float64), "outer": h.T @ d, "level": d.sum(0, dtype=np.float64)}
+        h = self.hidden(contexts, tables)
+        d, shift = self.weights(h)
+        total = d.sum(1)
+        d[np.arange(len(d)), classes] -= total  # what stands here is total times the gradient at the logits
+        total = 1 / total
+        dh = np.ascontiguousarray(((d @ self.p["outer"].T) * (total[:, None] * (1 - h[:, :-1] ** 2))).T)
+        by_class = np.stack([[np.bincount(side, row, CLASSES + 1) for row in dh] for side in contexts]).transpose(0, 2, 1)
+        last = (h * total[:, None]).T @ d
+        return {"tables": by_class, "bias": dh.sum(1, dtype=np.float64), "outer": last[:-1], "level": last[-1]}
+
+    def hidden(self, contexts: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Hidden units of windows, and a column of ones for the levels."""
+        h = np.ones((contexts.shape[1], HIDDEN + 1), np.float32)
+        x = tables[0][contexts[0]]
+        for s in range(1, 2 * SIDE):
+            x += tables[s][contexts[s]]
+        np.tanh(x + self.p["bias"], out=h[:, :-1])
+        return h
+
+    def weights(self, h: np.ndarray) -> tuple[np.ndarray, float]:
+        """exp(logit - shift) of all classes; the shift keeps any logit in the range of single precision."""
+        outer = np.concatenate((self.p["outer"], self.p["level"][None]))
+        shift = max(0.0, float((np.abs(self.p["outer"]).sum(0) + self.p["level"]).max()) - 60.0)
+        outer[-1] -= np.float32(shift)
+        d = h @ outer
+        return np.exp(d, out=d), shift
 
     def through_tables(self, gradients: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """Gradients of the weights, in their order, from those with the tables'."""
@@ -157,13 +172,12 @@ class Network:
     def log_probs(self, classes: np.ndarray, tables: np.ndarray) -> np.ndarray:
         out = np.empty(len(classes))
         around = self.contexts(classes)
-        for k in range(0, len(classes), 2048):
-            c = around[k : k + 2048]
-            h = np.tanh(sum(tables[s][c[:, s]] for s in range(2 * SIDE)) + self.p["bias"])
-            z = h @ self.p["outer"] + self.p["level"]
-            z -= z.max(1, keepdims=True)
-            own = z[np.arange(len(c)), classes[k : k + 2048]]
-            out[k : k + 2048] = own - np.log(np.exp(z, out=z).sum(1))
+        for k in range(0, len(classes), CHUNK):
+            own = classes[k : k + CHUNK]
+            h = self.hidden(around[:, k : k + CHUNK], tables)
+            d, shift = self.weights(h)
+            z = np.einsum("nh,hn->n", h[:, :-1], self.p["outer"][:, own]) + self.p["level"][own]
+            out[k : k + CHUNK] = z - shift - np.log(d.sum(1))
         return out
 
 
@@ -229,7 +243,7 @@ def windows(codes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     at = np.flatnonzero(padded != CLASSES)
     for k in range(0, len(at), CHUNK):
         part = at[k : k + CHUNK]
-        yield np.stack([padded[part + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1), padded[part]
+        yield np.stack([padded[part + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))]), padded[part]
 
 
 def train_everywhere(network: Network, coded: DataFrame, n: np.ndarray) -> None:
@@ -256,7 +270,7 @@ def train_everywhere(network: Network, coded: DataFrame, n: np.ndarray) -> None:
                 for k, code in enumerate(batch.column(0), 1):
                     held.append(np.frombuffer(code.as_py(), np.uint8).astype(np.int64))
                     size += len(held[-1])
-                    if size >= CHUNK or k == batch.num_rows:
+                    if size >= HELD or k == batch.num_rows:
                         for contexts, classes in windows(held):
                             for name, g in own.gradients(contexts, classes, tables).items():
                                 total[name] = total.get(name, 0) + g

@@ -335,21 +335,52 @@ def test_gradients():
         assert grads[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-4)
 
 
-def test_language_model_prefers_its_language(spark, docs):
-    scored = {r.doc_id: r for r in lm_score.query(docs).collect()}
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    assert all(r.n_words == len((texts[i] or "").encode().split()) for i, r in scored.items())
-    net, frequent, kinds = lm_score.train(docs, lm_score.word_counts(docs).cache())
+def test_language_model_scores_are_the_network_s(spark, docs):
+    """log_prob of every document again: the network word by word, and words by their share of their class."""
+    rows = docs.limit(60)
+    got = {r.doc_id: r for r in lm_score.query(rows).collect()}
+    texts = {r.doc_id: (r.text or "").encode().split() for r in rows.collect()}
+    n = Counter(w for t in texts.values() for w in t)
+    net, frequent, _ = lm_score.train(rows.select("doc_id", "text"), lm_score.word_counts(rows).cache())
+    assert frequent == sorted(n, key=lambda w: (-n[w], w))[: lm_score.FREQUENT]
     classes = lm_score.Classes(frequent)
-    p = np.exp(net.log_probs(classes.of(b"the of the".split()), net.tables()))
-    x = net.p["embed"][net.contexts(classes.of(b"the of the".split()))].reshape(3, -1)
-    z = np.tanh(x @ net.p["inner"] + net.p["bias"]) @ net.p["outer"] + net.p["level"]
-    full = np.exp(z) / np.exp(z).sum(1, keepdims=True)
-    assert p == pytest.approx(full[np.arange(3), classes.of(b"the of the".split())], rel=1e-3)
-
-
-def test_language_model_learns_every_window(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "SAMPLE", 1)
+    of_class = Counter()
+    for w in n:
+        of_class[classes[w]] += n[w]
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    for i, words in texts.items():
+        around = [lm_score.CLASSES] * 2 + [classes[w] for w in words] + [lm_score.CLASSES] * 2
+        total = 0.0
+        for k, w in enumerate(words):
+            x = np.concatenate([p["embed"][around[k + o]] for o in (0, 1, 3, 4)])
+            z = np.tanh(x @ p["inner"] + p["bias"]) @ p["outer"] + p["level"]
+            total += z[classes[w]] - math.log(np.exp(z).sum()) + math.log(n[w] / of_class[classes[w]])
+        assert got[i].n_words == len(words) and got[i].log_prob == pytest.approx(total, rel=1e-3, abs=0.05)
+
+
+def test_language_model_does_not_depend_on_splits(spark, docs):
+    rows = docs.select("doc_id", "text").union(docs.filter("doc_id = 3").select("doc_id", "text").crossJoin(spark.range(40)).select("doc_id", "text"))
+    a, b = (lm_score.query(rows.repartition(n)).collect() for n in (2, 5))
+    a, b = ({r.doc_id: r.log_prob for r in x} for x in (a, b))
+    assert len(a) == docs.count() and all(b[i] == pytest.approx(x, rel=1e-3) for i, x in a.items())
+
+
+def test_language_model_gradients():
+    net, rng = lm_score.Network(), np.random.default_rng(1)
+    net.p = {k: v.astype(np.float64) * 3 for k, v in net.p.items()}
+    codes = rng.integers(0, lm_score.CLASSES, 60)
+    grads = net.through_tables(net.gradients(*next(lm_score.windows([codes])), net.tables()))
+    for name, g in grads.items():
+        at = (int(codes[3]), 1) if name == "embed" else tuple(0 for _ in g.shape)
+        net.p[name][at] += 1e-3
+        up = -net.log_probs(codes, net.tables()).sum()
+        net.p[name][at] -= 2e-3
+        down = -net.log_probs(codes, net.tables()).sum()
+        net.p[name][at] += 1e-3
+        assert g[at] == pytest.approx((up - down) / 2e-3, abs=1e-3)
+
+
+def test_language_model_learns_every_window(spark):
     rows = [(i, "a b " * 128 + "c d " * 100 if i % 2 else "e f " * 128 + "g h " * 100) for i in range(200)]
     rows += [(1000 + i, f"{x} {y} " * 100) for i, (x, y) in enumerate(("ab", "cd", "ef", "gh"))]
     got = {r.doc_id: r.mean_log_prob for r in lm_score.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
