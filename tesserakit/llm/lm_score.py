@@ -85,18 +85,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Classes(dict):
-    """Class of every word: the frequent ones listed, others by hash; remembers a bounded number."""
+class Words(dict):
+    """Numbers of words: a listed word's place in the list, len(list) + class for others; remembers a bounded number."""
 
-    def __init__(self, frequent: list[bytes]):
+    def __init__(self, listed: list[bytes]):
         super().__init__()
-        self.frequent = {w: i for i, w in enumerate(frequent)}
+        self.listed = {w: i for i, w in enumerate(listed)}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 400_000:
             self.clear()
-        found = self.frequent.get(word)
-        self[word] = found = rare_class(word) if found is None else found
+        found = self.listed.get(word)
+        self[word] = found = len(self.listed) + rare_class(word) if found is None else found
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -197,32 +197,37 @@ class Vocabulary:
             if taken > LISTED:
                 break
             self.edge = r.least
-        self.logs = {bytes(r.word): math.log(r.n) for r in counts.filter(F.col("n") >= self.edge).collect()}
-        self.logs |= dict.fromkeys(self.frequent, 0.0)
+        logs = dict.fromkeys(self.frequent, 0.0)
+        logs |= {w: math.log(n) for r in counts.filter(F.col("n") >= self.edge).collect() if (w := bytes(r.word)) not in known for n in (r.n,)}
+        self.listed = list(logs)
+        #: By number of a word (the classes of unlisted words after the listed ones): its class, and log n where it is listed.
+        self.classes = np.array([*range(len(self.frequent)), *map(rare_class, self.listed[len(self.frequent) :]), *range(CLASSES)], np.uint8)
+        self.logs = np.concatenate((np.fromiter(logs.values(), np.float64, len(logs)), np.full(CLASSES, np.nan)))
         self.kinds = np.where(np.arange(CLASSES) < FREQUENT, 0, np.log(np.maximum(self.n, 1)))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
     """Columns ``keep``, _row, _piece, n_words, _classes (a byte a word), _known (what the listed words add) and _rest (the others)."""
-    frequent, logs, kinds = vocabulary.frequent, vocabulary.logs, vocabulary.kinds
+    listed, class_of, logs, kinds = vocabulary.listed, vocabulary.classes, vocabulary.logs, vocabulary.kinds
     at = len(keep)
     rest = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(frequent)
+        numbers = Words(listed)
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(k, ROWS)
                 sizes, codes, known, hashes, times, ends = [], [], [], [], [], [0]
                 for text in rows.column(at).to_pylist():
                     of = tokens(text)
-                    own = np.fromiter(map(logs.get, of, repeat(math.nan)), np.float64, len(of))
-                    others, code = Counter(of[i] for i in np.flatnonzero(np.isnan(own)).tolist()), classes.of(of)
+                    number = numbers.of(of)
+                    own, code = logs[number], class_of[number]
+                    others = Counter(map(of.__getitem__, np.flatnonzero(number >= len(listed)).tolist()))
                     hashes += map(xxhash.xxh64_intdigest, others, repeat(42))
                     times += others.values()
                     ends.append(len(hashes))
                     sizes.append(len(of))
-                    codes.append(code.astype(np.uint8).tobytes())
+                    codes.append(code.tobytes())
                     known.append(float(np.nansum(own) - kinds[code].sum()))
                 pairs = pa.StructArray.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(times, pa.int32())], fields=list(rest.value_type))
                 made = [rows.column(at + 1), rows.column(at + 2), pa.array(sizes, pa.int64()), pa.array(codes, pa.binary()), pa.array(known, pa.float64())]

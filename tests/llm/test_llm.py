@@ -343,7 +343,8 @@ def test_language_model_scores_are_the_network_s(spark, docs):
     n = Counter(w for t in texts.values() for w in t)
     net, frequent, _ = lm_score.train(rows.select("doc_id", "text"), lm_score.word_counts(rows).cache())
     assert frequent == sorted(n, key=lambda w: (-n[w], w))[: lm_score.FREQUENT]
-    classes = lm_score.Classes(frequent)
+    classes = {w: i for i, w in enumerate(frequent)}
+    classes = {w: classes.get(w, lm_score.rare_class(w)) for w in n}
     of_class = Counter()
     for w in n:
         of_class[classes[w]] += n[w]
