@@ -35,8 +35,8 @@ def _at(spark: SparkSession, path: str) -> tuple:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
-    return f"{_scratch.get() or shared_folder(spark).rstrip('/')}/tesserakit-{name}-{uuid.uuid4().hex}"
+def _new_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    return f"{(folder or _scratch.get() or shared_folder(spark)).rstrip('/')}/tesserakit-{name}-{uuid.uuid4().hex}"
 
 
 @contextmanager
@@ -51,15 +51,16 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         release(spark, path)
 
 
-def write_cut(df: DataFrame, name: str, partition_by: list[str] = ()) -> tuple[DataFrame, str]:
+def write_cut(df: DataFrame, name: str, partition_by: list[str] = (), folder: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors.
 
-    The table goes with the ``scratch`` it was made in, by ``release``, or when the application ends.
+    The table goes with the ``scratch`` it was made in (a ``folder`` puts it elsewhere), by ``release``, or when the
+    application ends.
     """
     spark = df.sparkSession
-    path = _new_path(spark, name)
+    path = _new_path(spark, name, folder)
     df.write.partitionBy(*partition_by).parquet(path)
-    if _scratch.get() is None:
+    if folder or _scratch.get() is None:
         fs, target = _at(spark, path)
         fs.deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path), path
