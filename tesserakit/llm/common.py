@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut, release, scratch, table, write_cut
+from ..sources.storage import cut, release, scratch, shared_folder, table, write_cut
 
-__all__ = ["SPACE", "WORD", "cut", "fresh", "release", "scratch", "shuffle_partitions", "table", "words", "write_cut"]
+__all__ = ["SPACE", "WORD", "cut", "fresh", "release", "scratch", "shared_folder", "shuffle_partitions", "table", "words", "write_cut"]
 
 #: A word is a run of anything but these six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]"

@@ -1,26 +1,32 @@
 """SimHash near-duplicates by pigeonring filtering.
 
-Fingerprints of 64 bits lie on a ring of four segments of 16 bits. If two differ in three bits at most, some
-segment starts a chain in which the first l segments together differ in at most 3 l / 4 bits: 0, 1, 2, 3. So the
-two agree on a whole segment, and on the next one but for one bit. Each fingerprint is filed under every segment
-joined to the following one with one of its four nibbles blanked: 28 exact bits, 16 places. Within a place the
-chain is followed (1, then 2 bits), and only then all 64 bits are compared.
+A fingerprint of 64 bits lies on a ring of segments, more of them than the bits that may differ. If two differ in
+t bits at most, some segment starts a chain in which the first l of m segments together differ in at most l t / m
+bits: none in the first one, so two fingerprints of a chain agree on a whole segment, and on the segments after it but
+for a few bits. Each fingerprint is filed under every segment joined to the following ones with as many of their
+nibbles blanked as bits may differ there. Within a place the chain is followed through all budgets, and only then all
+64 bits are compared. For 3 bits (four segments, budgets 0, 1, 2, 3) a place has 28 exact bits and a fingerprint 16
+places; for 7 bits (eight segments, budgets 0 to 7; two segments follow) it is 16 bits and 48 places.
 
 Equal fingerprints are one node, so exact copies make no pairs. A place is searched breadth first: what is linked
 leaves the place, so that a dense group of k fingerprints makes k - 1 links, not all its pairs. Components of the
 links are found by joins on the cluster.
 
+``group`` links by fingerprints alone. ``similar`` takes such links as candidates and confirms them: texts are near
+copies if their sets of word 5-shingles have a Jaccard similarity of 0.8 or more.
+
 Memory: a place holds its distinct fingerprints only (8 bytes each). The links of all places together connect
 exactly what all links would.
 
-Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows share a
-component; a component without any doc_id has a null component_id; an empty table gives an empty result.
+Defined results: null and empty texts have fingerprint zero and link like any other; texts of any length count whole;
+repeated rows share a component; a component without any doc_id has a null component_id; an empty table gives an empty
+result; ``keep_one`` and ``similar`` return the columns they are given, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +35,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import cut, shuffle_partitions
+from .common import cut, fresh, shuffle_partitions
 
 MAX_BITS = 3
+#: For confirmed near copies: words of a candidate's shingles and its bits; words of confirming shingles and similarity.
+CANDIDATE_WORDS, CANDIDATE_BITS = 2, 7
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
+#: Up to so many fingerprints of a place are compared in all pairs where links are candidates only.
+SMALL_PLACE = 32
 ROWS = 256
 
 
+class Ring:
+    """Segments of a ring for ``bits`` differing bits at most, and how places blank their nibbles."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.segments = next(m for m in (4, 8, 16) if m > bits)
+        self.width = 64 // self.segments
+        self.follow = {4: 1, 8: 2, 16: 3}[self.segments]  # segments after the first one that make up a place
+        self.budgets = [length * bits // self.segments for length in range(1, self.segments + 1)]
+        nibbles = self.follow * self.width // 4
+        self.blanks = list(combinations(range(nibbles), self.budgets[self.follow]))
+        self.masks = [(1 << 4 * nibbles) - 1 - sum(0xF << 4 * k for k in blank) for blank in self.blanks]
+
+
 def fingerprint(text: str | None, n: int = 3) -> int:
     """Majority of the bits of the XXH64 (seed 42) of all word n-shingles."""
     tokens = (text or "").encode().lower().split()  # of bytes: lower and split know ASCII only
@@ -67,36 +92,39 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def places(fps: DataFrame) -> DataFrame:
-    """The 16 places of every distinct fingerprint: (place, fp)."""
-    keys = []
-    for i in range(4):
-        whole = F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)
-        following = F.shiftrightunsigned("fp", 16 * ((i + 1) % 4)).bitwiseAND(0xFFFF)
-        for j in range(4):
-            blanked = following.bitwiseAND(0xFFFF ^ (0xF << 4 * j))
-            keys.append(F.lit((4 * i + j) << 32).bitwiseOR(F.shiftleft(whole, 16)).bitwiseOR(blanked))
+def places(fps: DataFrame, ring: Ring) -> DataFrame:
+    """The places of every distinct fingerprint: (place, fp)."""
+    keys, w, full = [], ring.width, (1 << ring.width) - 1
+    for i in range(ring.segments):
+        whole = F.shiftrightunsigned("fp", w * i).bitwiseAND(full)
+        following = F.lit(0).cast("long")
+        for k in range(ring.follow):
+            part = F.shiftrightunsigned("fp", w * ((i + 1 + k) % ring.segments)).bitwiseAND(full)
+            following = following.bitwiseOR(F.shiftleft(part, w * k))
+        for j, mask in enumerate(ring.masks):
+            number = F.lit((i * len(ring.masks) + j) << 32)
+            keys.append(number.bitwiseOR(F.shiftleft(whole, w * ring.follow)).bitwiseOR(following.bitwiseAND(mask)))
     return fps.select(F.explode(F.array(*keys)).alias("place"), "fp")
 
 
-def near(x: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+def near(x: np.ndarray, place: np.ndarray | int, ring: Ring) -> np.ndarray:
     """Whether differences ``x`` keep the budgets of the chain that starts at the place's segment."""
-    turn = np.asarray((np.asarray(place) >> 34) * 16, np.uint64)
-    ring = np.where(turn == 0, x, (x >> turn) | (x << ((np.uint64(64) - turn) % np.uint64(64))))
-    good = np.bitwise_count(ring & np.uint64(0xFFFFFFFF)) <= 1
-    good[good] = np.bitwise_count(ring[good] & np.uint64(0xFFFFFFFFFFFF)) <= 2
-    good[good] = np.bitwise_count(ring[good]) <= MAX_BITS
+    turn = np.asarray((np.asarray(place) >> 32) // len(ring.masks) * ring.width, np.uint64)
+    turned = np.where(turn == 0, x, (x >> turn) | (x << ((np.uint64(64) - turn) % np.uint64(64))))
+    good = np.ones(turned.shape, bool)
+    for length, budget in enumerate(ring.budgets, 1):
+        good[good] = np.bitwise_count(turned[good] & np.uint64((1 << ring.width * length) - 1)) <= budget
     return good
 
 
-def search(place: int, fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def search(place: int, fps: np.ndarray, ring: Ring) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect all fingerprints of a place which a chain of links connects, one less than they are."""
     links, rest = [], fps
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             one = front.pop()
-            hit = near(rest ^ one, place)
+            hit = near(rest ^ one, place, ring)
             if hit.any():
                 found, rest = rest[hit], rest[~hit]
                 links.append((np.full(len(found), one), found))
@@ -104,17 +132,24 @@ def search(place: int, fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return links
 
 
-def link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of rows (place, fp) that come sorted by place."""
+def pairs(place: int, fps: np.ndarray, ring: Ring) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All links of a small place."""
+    a, b = np.triu_indices(len(fps), 1)
+    hit = near(fps[a] ^ fps[b], place, ring)
+    return [(fps[a[hit]], fps[b[hit]])]
+
+
+def link_runs(batches: Iterator[pa.RecordBatch], ring: Ring, candidates: bool = False) -> Iterator[pa.RecordBatch]:
+    """Links of rows (place, fp) that come sorted by place; of ``candidates`` all pairs where a place is small."""
 
     def done(place: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         size = np.diff(np.append(first, len(place)))
         two = first[size == 2]
-        two = two[near(fp[two] ^ fp[two + 1], place[two])]
+        two = two[near(fp[two] ^ fp[two + 1], place[two], ring)]
         links = [(fp[two], fp[two + 1])]
         for k, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            links += search(int(place[k]), fp[k : k + n])
+            links += (pairs if candidates and n <= SMALL_PLACE else search)(int(place[k]), fp[k : k + n], ring)
         a, b = (np.concatenate(x).view(np.int64) for x in zip(*links, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -135,18 +170,19 @@ def link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept]))
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, bits: int = MAX_BITS, candidates: bool = False) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp), enough of them to connect every component."""
-    filed = places(distinct)
+    ring = Ring(bits)
+    filed = places(distinct, ring)
     filed = filed.repartition(shuffle_partitions(distinct.sparkSession), "place").sortWithinPartitions("place")
-    return filed.mapInArrow(link_runs, "a long, b long")
+    return filed.mapInArrow(lambda batches: link_runs(batches, ring, candidates), "a long, b long")
 
 
-def group(docs: DataFrame) -> DataFrame:
+def group(docs: DataFrame, n: int = 3, bits: int = MAX_BITS) -> DataFrame:
     """doc_id, text_hash, fp, component_id, and whether the row stands for its component (``first``)."""
-    rows = cut(fingerprints(docs), "fingerprints")
+    rows = cut(fingerprints(docs, n), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
-    roots = components(links(distinct.select("fp")))
+    roots = components(links(distinct.select("fp"), bits))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
     named = cut(named, "roots")
     least = named.groupBy("root").agg(F.min("best").alias("least"))
@@ -156,12 +192,75 @@ def group(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_hash", "fp", F.col("least.doc_id").alias("component_id"), first.alias("first"))
 
 
+def _only(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``best`` (doc_id, text_hash) names, of repeated ones one."""
+    hashed, own = fresh(docs, "text_hash", "best")
+    rows = docs.withColumn(hashed, F.xxhash64("text"))
+    best = best.select(F.struct("doc_id", "text_hash").alias(own)).distinct()
+    same = rows["doc_id"].cast("long").eqNullSafe(F.col(f"{own}.doc_id")) & (F.col(hashed) == F.col(f"{own}.text_hash"))
+    return rows.join(best, same).dropDuplicates([own]).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of every component: the one of the smallest doc_id; of repeated rows one."""
-    best = group(docs).filter("first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = rows["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    return rows.join(best, same).dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    """One row of every component of ``group``: the one of the smallest doc_id; of repeated rows one."""
+    return _only(docs, group(docs).filter("first"))
+
+
+def shingles(text: str | None, n: int) -> np.ndarray:
+    """Sorted distinct hashes of the word n-shingles (fewer words: the whole sequence) of a text in lower case."""
+    tokens = (text or "").encode().lower().split()
+    joined = [b" ".join(tokens[i : i + n]) for i in range(max(1, len(tokens) - n + 1))]
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, joined), np.uint64, len(joined)))
+
+
+def confirmed(found: DataFrame, texts: DataFrame, n: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Of the pairs (a, b) of text hashes those whose texts (text_hash, text) are similar enough."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(k, ROWS)
+                made = [shingles(t, n).view(np.int64) for t in rows.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)) if made else pa.array([], pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["text_hash", "shingles"])
+
+    used = found.select(F.col("a").alias("text_hash")).union(found.select("b")).distinct()
+    one = texts.join(used, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text_hash", "text")
+    hashed = cut(one.mapInArrow(sets, "text_hash long, shingles array<long>"), "shingles")
+    sides = {s: hashed.select(F.col("text_hash").alias(s), F.col("shingles").alias(f"of_{s}")) for s in "ab"}
+    both = found.join(sides["a"], "a").join(sides["b"], "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.filter(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """One row of every group that confirmed near copies connect: the one of the smallest doc_id; of repeated rows one.
+
+    Candidates are links of fingerprints of CANDIDATE_WORDS-word shingles within CANDIDATE_BITS bits, and texts of one
+    fingerprint with its first text. In a place of more than SMALL_PLACE fingerprints a spanning tree of the links is
+    confirmed, not all pairs, so a group of so many may fall into parts if links of the tree are not confirmed.
+    """
+    rows = cut(fingerprints(docs, CANDIDATE_WORDS), "fingerprints")
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    of_text = rows.groupBy("fp", "text_hash").agg(F.min(least).alias("best"))
+    firsts = of_text.groupBy("fp").agg(F.min_by("text_hash", F.struct("best", "text_hash")).alias("of"))
+    firsts = cut(firsts, "firsts")
+    near_ = links(firsts.select("fp"), CANDIDATE_BITS, candidates=True).distinct()
+    ends = {s: firsts.select(F.col("fp").alias(s), F.col("of").alias(f"of_{s}")) for s in "ab"}
+    between = near_.join(ends["a"], "a").join(ends["b"], "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    within = of_text.join(firsts, "fp").filter("text_hash <> of").select(F.least("of", "text_hash").alias("a"), F.greatest("of", "text_hash").alias("b"))
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    candidates = cut(between.union(within).distinct(), "candidates")
+    # texts like the first of their group need no other links: those make up for the rest of a group
+    stars = components(candidates).select(F.col("root").alias("a"), F.col("node").alias("b"))
+    stars = cut(confirmed(stars, texts), "stars")
+    homes = {s: stars.select(F.col("b").alias(s), F.col("a").alias(f"home_{s}")) for s in "ab"}
+    rest = candidates.join(homes["a"], "a", "left").join(homes["b"], "b", "left").filter(F.coalesce("home_a", "a") != F.coalesce("home_b", "b"))
+    roots = components(stars.union(confirmed(rest.select("a", "b"), texts)))
+    rooted = of_text.join(roots, F.col("text_hash") == F.col("node"), "left").select("text_hash", "best", F.coalesce("root", "text_hash").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct("best", "text_hash")).alias("one"))
+    return _only(docs, kept.select("one.best.doc_id", "one.text_hash"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 DOCUMENT_OPERATORS = {
     "rules": lambda d: quality_rules.judge(d), "clean": lambda d: quality_rules.clean(d), "simhash": lambda d: simhash.group(d),
-    "keep_one": lambda d: simhash.keep_one(d), "substring": lambda d: substring.deduplicate(d), "strip": lambda d: substring.strip(d),
+    "keep_one": lambda d: simhash.keep_one(d), "similar": lambda d: simhash.similar(d), "substring": lambda d: substring.deduplicate(d), "strip": lambda d: substring.strip(d),
     "mix": lambda d: mixing.mix(d), "mixed": lambda d: mixing.mixed(d), "shards": lambda d: sharding.shuffle_into_shards(d),
     "bpe": lambda d: bpe.encode_decode(d, bpe.vocabulary_path()), "lm": lambda d: lm_score.score(d),
     "cnn": lambda d: quality_cnn.score(d, quality_cnn.Network()),
@@ -45,7 +45,7 @@ def odd(spark):
 def test_edge_cases(odd, name):
     operator = DOCUMENT_OPERATORS[name]
     got = operator(odd).collect()
-    if name not in ("clean", "keep_one", "strip", "mixed"):
+    if name not in ("clean", "keep_one", "similar", "strip", "mixed"):
         assert len(got) == odd.count()
     assert operator(odd.limit(0)).count() == 0
 
@@ -172,7 +172,14 @@ def test_full_sketch_loses_nothing(docs, spark, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.query(docs).collect()} == want
 
 
-def brute_components(rows):
+def brute_similar(rows):
+    """doc_id -> smallest reachable over candidates (7 bits of two-word fingerprints) of five-word similarity 0.8 or more."""
+    sets = [set(zip(*[(t or "").encode().lower().split()[k:] for k in range(5)], strict=False)) or {tuple((t or "").encode().lower().split())} for _, t in rows]
+    close = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    return brute_components([(d, slow_fingerprint(t, 2)) for d, t in rows], 7, close)
+
+
+def brute_components(rows, bits=3, close=lambda i, j: True):
     """doc_id -> smallest reachable, from fingerprints compared with each other in full."""
     fps = np.array([f for _, f in rows], np.uint64)
     root = list(range(len(rows)))
@@ -183,22 +190,23 @@ def brute_components(rows):
         return i
 
     for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3):
-            a, b = sorted((find(i), find(i + 1 + int(j))))
-            root[b] = a
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= bits):
+            if close(i, i + 1 + int(j)):
+                a, b = sorted((find(i), find(i + 1 + int(j))))
+                root[b] = a
     least = defaultdict(lambda: 1 << 60)
     for i, (d, _) in enumerate(rows):
         least[find(i)] = min(least[find(i)], d)
     return {d: least[find(i)] for i, (d, _) in enumerate(rows)}
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, n=3):
     import xxhash
 
     w = (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
     if not w:
         return 0
-    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), seed=42) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + n]), seed=42) for i in range(max(1, len(w) - n + 1))]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
@@ -233,6 +241,28 @@ def test_dense_fingerprints(spark):
     assert {i: find(i) for i in range(len(fps))} == want
 
 
+@pytest.mark.parametrize("bits", [3, 7, 15])
+def test_no_pair_escapes_the_chains(bits):
+    ring, rng = simhash.Ring(bits), random.Random(bits)
+    for _ in range(300):
+        x = sum(1 << b for b in rng.sample(range(64), rng.randrange(0, bits + 1)))
+        at = [(x >> ring.width * i | x << 64 - ring.width * i) & (1 << 64) - 1 for i in range(ring.segments)]
+        hits = [i * len(ring.masks) + j for i, y in enumerate(at) for j, m in enumerate(ring.masks) if not y & (1 << ring.width) - 1 and not (y >> ring.width) & m]
+        assert any(simhash.near(np.array([x], np.uint64), k << 32, ring)[0] for k in hits)
+
+
+def test_similar(spark, docs):
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    base = "one two three four five six seven eight nine ten ".split() * 12
+    base = [f"{w}{i}" for i, w in enumerate(base)]
+    for k in range(40):  # a group larger than a small place's bound is left to trees
+        texts.append((10_000 + k, " ".join([*base[: 3 * k], f"new{k}", *base[3 * k :]])))
+    texts += [(20_000, None), (20_001, ""), (20_002, None), (20_003, " ".join(base).upper())]
+    rows = spark.createDataFrame([(d, t, t) for d, t in texts] + [(5, dict(texts)[5], "again")], "doc_id long, text string, best string")
+    kept = simhash.similar(rows)
+    assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_similar(texts).values()))
+
+
 def test_keep_one(docs):
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert kept == {r.component_id for r in simhash.query(docs).collect()}
@@ -413,7 +443,7 @@ def test_pipeline(spark, docs):
     kept = {r.doc_id for r in quality_rules.query(docs).collect() if r.kept}
     assert {r.doc_id for r in rows} == kept
     now = spark.createDataFrame(rows, docs.schema)
-    components = brute_components([(r.doc_id, slow_fingerprint(r.text)) for r in rows])
+    components = brute_similar([(r.doc_id, r.text) for r in rows])
     rows = stages["near_dedup"](spark, now, SF).collect()
     assert sorted(r.doc_id for r in rows) == sorted(set(components.values()))
     now = spark.createDataFrame(rows, docs.schema)
