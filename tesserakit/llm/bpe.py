@@ -10,8 +10,8 @@ The vocabulary file is read once on the driver, broadcast (it is a file of fixed
 once per Python worker.  Texts flow through in Arrow batches without a shuffle; words met before come from a
 cache of bounded size.
 
-Defined results: a null text counts as an empty one (no ids, decoded text empty); repeated rows repeat their
-result; input columns named like an output column are replaced, all others pass through.
+Defined results: a null text counts as an empty one (no ids, decoded text empty); texts of any length are encoded
+whole; repeated rows repeat their result; an empty table gives no rows; input columns named like an output column are replaced, all others pass through.
 """
 
 from __future__ import annotations

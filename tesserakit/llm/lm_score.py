@@ -321,7 +321,9 @@ def train(docs: DataFrame, counts: DataFrame) -> tuple[Network, list[bytes], np.
 
 def score(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all of them), n_words, log_prob (the sum) and mean_log_prob of every row."""
-    keep = [c for c in (keep or docs.columns) if c not in ("n_words", "log_prob", "mean_log_prob")]
+    named = [c for c in (keep or docs.columns) if c.lower() not in ("n_words", "log_prob", "mean_log_prob")]
+    keep = [f"own{i}" for i in range(len(named))]
+    docs = docs.select(F.col("text"), *(F.col(c).alias(k) for c, k in zip(named, keep, strict=True)))
     counts = cut(word_counts(docs), "words")
     vocabulary = Vocabulary(counts)
     coded = cut(encode(docs, vocabulary, keep), "coded")
@@ -343,7 +345,9 @@ def score(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     added = pairs.join(rarer, "h").groupBy("_row").agg(F.sum(F.col("c") * F.col("log_n")).alias("_more"))
     total = F.col("_sum") + F.col("_known") + F.coalesce("_more", F.lit(0.0))
     mean = F.when(F.col("n_words") > 0, total / F.col("n_words"))
-    return scored.join(added, "_row", "left").select(*keep, "n_words", total.alias("log_prob"), mean.alias("mean_log_prob"))
+    return scored.join(added, "_row", "left").select(
+        *(F.col(k).alias(c) for c, k in zip(named, keep, strict=True)), "n_words", total.alias("log_prob"), mean.alias("mean_log_prob")
+    )
 
 
 def query(docs: DataFrame) -> DataFrame:

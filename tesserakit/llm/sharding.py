@@ -14,8 +14,9 @@ if executors are lost or the input would come back in another order. Seeded hash
 table in the same files gives the same shards. DataFrame operations only; the matrix is drawn with plain Python
 numbers.
 
-Defined results: null texts have size 8 and the checksum of the empty text; repeated rows are shuffled one by
-one; an empty table gives no rows; shards without rows are possible if there are fewer rows than shards.
+Defined results: null texts have size 8 and the checksum of the empty text; texts of any length go whole; repeated
+rows are shuffled one by one; an empty table gives no rows; shards without rows are possible if there are fewer rows
+than shards; other columns pass through, and columns named like the ones added are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, shuffle_partitions
+from .common import cut, fresh, shuffle_partitions
 
 SHARDS = 24
 SEED = 20240229
@@ -88,34 +89,36 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED)
     """Add ``shard`` and ``slot`` to every row; replaces columns of these names."""
     spark = rows.sparkSession
     rows = rows.drop("shard", "slot")
-    plain = [F.col(c) for c, kind in rows.dtypes if not kind.startswith("map")]
-    numbered = rows.withColumn("_part", F.spark_partition_id()).withColumn("_key", random_key(F.lit(seed), *plain))
-    numbered = numbered.sortWithinPartitions("_key").withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    part, key, at, second, block, within = fresh(rows, "part", "key", "at", "second", "block", "within")
+    of, bounds_, of_shard, of_block, start = fresh(rows, "of", "bounds", "of_shard", "of_block", "start")
+    plain = [F.col(c) for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    numbered = rows.withColumn(part, F.spark_partition_id()).withColumn(key, random_key(F.lit(seed), *plain))
+    numbered = numbered.sortWithinPartitions(key).withColumn(at, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     numbered = cut(numbered, "numbered")
-    counts = [(r[0], r[1]) for r in numbered.groupBy("_part").count().collect()]  # one row a partition
+    counts = [(r[0], r[1]) for r in numbered.groupBy(part).count().collect()]  # one row a partition
     drawn = matrix(counts, shards, seed)
-    bounds = spark.createDataFrame(drawn, "_of int, _bounds array<long>")
+    bounds = spark.createDataFrame(drawn, f"{of} int, {bounds_} array<long>")
     if len(drawn) * shards <= BROADCAST_CELLS:
         bounds = F.broadcast(bounds)
-    dealt = numbered.join(bounds, F.col("_part") == F.col("_of"))
-    dealt = dealt.withColumn("shard", F.size(F.filter("_bounds", lambda b: b <= F.col("_at"))))
+    dealt = numbered.join(bounds, F.col(part) == F.col(of))
+    dealt = dealt.withColumn("shard", F.size(F.filter(bounds_, lambda b: b <= F.col(at)))).drop(of, bounds_)
 
     total = sum(n for _, n in counts)
     blocks = max(1, math.ceil(total / shards / BLOCK_ROWS), 4 * shuffle_partitions(spark) // shards)
-    second = random_key(F.lit(seed + 1), "_part", "_at")
-    dealt = dealt.withColumn("_second", second).withColumn("_block", F.pmod(F.shiftright("_second", 20), F.lit(blocks)).cast("int"))
-    sizes = dealt.groupBy("shard", "_block").count()
-    before = F.sum("count").over(Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(F.col("shard").alias("_s"), F.col("_block").alias("_b"), F.coalesce(before, F.lit(0)).alias("_start"))
+    dealt = dealt.withColumn(second, random_key(F.lit(seed + 1), part, at)).withColumn(block, F.pmod(F.shiftright(second, 20), F.lit(blocks)).cast("int"))
+    sizes = dealt.groupBy("shard", block).count()
+    before = F.sum("count").over(Window.partitionBy("shard").orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("shard").alias(of_shard), F.col(block).alias(of_block), F.coalesce(before, F.lit(0)).alias(start))
     if shards * blocks <= BROADCAST_CELLS:
         starts = F.broadcast(starts)
-    within = F.row_number().over(Window.partitionBy("shard", "_block").orderBy("_second", "_part", "_at"))
-    placed = dealt.withColumn("_within", within).join(starts, (F.col("shard") == F.col("_s")) & (F.col("_block") == F.col("_b")))
-    return placed.withColumn("slot", F.col("_start") + F.col("_within") - 1).select(*rows.columns, "shard", "slot")
+    order = F.row_number().over(Window.partitionBy("shard", block).orderBy(second, part, at))
+    placed = dealt.withColumn(within, order).join(starts, (F.col("shard") == F.col(of_shard)) & (F.col(block) == F.col(of_block)))
+    return placed.withColumn("slot", F.col(start) + F.col(within) - 1).select(*rows.columns, "shard", "slot")
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """The documents themselves go to their shards; sizes and checksums are those of the texts that arrived."""
+    out = shuffle_into_shards(docs.select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
-    narrow = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = shuffle_into_shards(narrow)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(text) + 8).cast("long"), F.crc32(text.cast("binary"))
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -13,8 +13,9 @@ list of its windows that a smaller one has, and marks their words.
 The merged sketch is the only thing on the driver and in broadcasts. Its size follows the input up to MAX_CELLS
 (two rows of one bit a cell, 128 MB at most); beyond it only prunes less, and the grouping has more to do.
 
-Defined results: null and empty texts have no words; rows without doc_id neither lose words nor make others lose
-any; rows of one doc_id never remove each other's words; other columns pass through.
+Defined results: null and empty texts have no words; texts of any length are taken whole; rows without doc_id neither
+lose words nor make others lose any; rows of one doc_id (repeated ones too) never remove each other's words; an empty
+table gives no rows; other columns pass through, and columns named like the ones added are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions
+from .common import cut, fresh, shuffle_partitions
 
 WINDOW = 50
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 29
@@ -215,7 +216,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, gone): the hashes of the windows of each doc_id that a smaller one has too."""
     bits = choose_bits(docs, window)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(docs, bits, window))
-    found = suspects(docs, shared, bits, window)
+    found = cut(suspects(docs, shared, bits, window), "suspects")  # read twice: texts are taken apart once
     least = found.groupBy("g1", "g2").agg(F.min("doc_id").alias("least"))
     least = least.select(F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), "least")
     late = found.join(least, (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2")) & (F.col("doc_id") > F.col("least")))
@@ -225,8 +226,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Add n_words, n_removed and kept_text (the kept words joined by one space) to every row."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    gone = repeats(docs.select("doc_id", "text"), window).select(F.col("doc_id").alias("_id"), "gone")
-    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left").select(*docs.columns, F.col("gone").alias("_gone"))
+    own, listed = fresh(docs, "id", "gone")
+    gone = repeats(docs.select("doc_id", "text"), window).select(F.col("doc_id").alias(own), F.col("gone").alias(listed))
+    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col(own), "left").select(*docs.columns, listed)
     text_at, gone_at = docs.columns.index("text"), len(docs.columns)
     names = [*docs.columns, "n_words", "n_removed", "kept_text"]
 
@@ -258,11 +260,13 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without their repeated words; texts that lose none stay as they are, emptied ones go."""
-    out = deduplicate(docs, window).filter("n_removed = 0 OR n_removed < n_words")
+    clash = [c for c in docs.columns if c.lower() in ("n_words", "n_removed", "kept_text")]
+    own = dict(zip(clash, fresh(docs, *clash), strict=True))
+    out = deduplicate(docs.withColumnsRenamed(own), window).filter("n_removed = 0 OR n_removed < n_words")
     out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:

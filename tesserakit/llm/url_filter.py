@@ -9,8 +9,9 @@ Prefix lengths of the path are the lengths that occur among the rules, so that "
 character and an URL makes (labels of the host) x (lengths in the rules) expressions at most.
 
 Defined results: null URLs and those without ``://`` have an empty host and path, no rule, and the default
-verdict; repeated rows all get the same verdict; extra columns pass through; an empty rule table gives every
-page the default verdict.
+verdict; URLs of any length are judged whole; repeated rows all get the same verdict; extra columns pass through,
+whatever their names, and columns named like the ones added are replaced; an empty rule table gives every page the
+default verdict, and an empty table of pages no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules are broadcast up to this many; more are joined by a shuffle.
@@ -65,11 +68,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     best = F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), "host_length", "rule"))
     hits = (
         expressions(urls, lengths or [0]).join(listed, F.col("short") == F.col("rule_short")).filter("full = rule_full")
-        .groupBy("url").agg(best.alias("hit")).select(F.col("url").alias("_url"), "hit")
+        .groupBy("url").agg(best.alias("hit"))
     )
-    pages = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
-    out = pages.join(hits, F.col("url") == F.col("_url"), "left")
-    return out.withColumn("rule", F.col("hit.rule")).withColumn("verdict", F.coalesce("hit.rule_verdict", F.lit(default))).drop("_url", "hit")
+    pages = pages.drop("host", "path", "rule", "verdict")
+    key, of, hit = fresh(pages, "key", "url_of", "hit")
+    hits = hits.select(F.col("url").alias(of), F.col("hit").alias(hit))
+    # null URLs find nothing; keys of their own spread them
+    spread = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    pages = pages.withColumns({"host": host, "path": path, key: F.coalesce("url", spread)})
+    out = pages.join(hits, F.col(key) == F.col(of), "left")
+    return out.withColumn("rule", F.col(f"{hit}.rule")).withColumn("verdict", F.coalesce(F.col(f"{hit}.rule_verdict"), F.lit(default))).drop(key, of, hit)
 
 
 def query(pages: DataFrame) -> DataFrame:

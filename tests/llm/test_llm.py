@@ -30,34 +30,112 @@ def docs(spark):
     return table(spark, SF, "documents")
 
 
+#: Columns named like those that operators add or may use on their way.
+NAMES = """size shard slot score kept component_id n_words decoded copies hash of gone id hit url_of key part at within start block text_hash
+best words grams lines once marked own0 own_text n_removed copy _row _piece _classes fp place rate target base_failed log_prob ids_le""".split()
+LONG = "long " * 30_000
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
-    """Nulls everywhere, empty and long texts, repeated rows, and columns named like the ones that operators add."""
+    """Nulls everywhere, empty and long texts, repeated rows, and columns named like the ones that operators use."""
     rows = [(1, "a b c", "en", "s", 5), (2, "", None, None, 0), (3, None, "en", "t", None), (None, "w " * 60, "en", "s", 1), (None, None, None, None, None)]
-    rows += [(5, "w " * 60 + "end", "de", "s", 9)] * 3 + [(6, "long " * 30_000, "en", "t", 1), (7, "x" * 40_000, "en", "t", 1), (8, "w " * 60 + "end", "en", "s", 3)]
-    frame = spark.createDataFrame(rows, DOCS)
-    for name in ("size", "shard", "slot", "score", "kept", "component_id", "n_words", "decoded", "copies"):
-        frame = frame.withColumn(name, F.lit("own"))
-    return frame.cache()
+    rows += [(5, "w " * 60 + "end", "de", "s", 9)] * 3 + [(6, LONG, "en", "t", 1), (7, "x" * 40_000, "en", "t", 1), (8, "w " * 60 + "end", "en", "s", 3)]
+    return spark.createDataFrame(rows, DOCS).select("*", *(F.lit("own").alias(n) for n in NAMES)).cache()
+
+
+#: What operators give for doc_ids of ``odd``: a column and its values.
+DEFINED = {
+    "rules": ("n_words", {1: 3, 2: 0, 3: 0, 5: 61, 6: 30_000, 7: 1, 8: 61}), "substring": ("n_removed", {1: 0, 2: 0, 3: 0, 5: 0, 6: 0, 7: 0, 8: 61}),
+    "simhash": ("component_id", {2: 2, 3: 2, 5: 5, 6: 6, 8: 5}), "mix": ("size", {1: 3, 2: 0, 3: 0, 5: 61, 6: 30_000, 7: 1, 8: 61}),
+    "bpe": ("n_tokens", {2: 0, 3: 0, 6: 30_000}), "lm": ("n_words", {1: 3, 2: 0, 3: 0, 5: 61, 6: 30_000, 7: 1, 8: 61}),
+}
 
 
 @pytest.mark.parametrize("name", list(DOCUMENT_OPERATORS))
 def test_edge_cases(odd, name):
     operator = DOCUMENT_OPERATORS[name]
-    got = operator(odd).collect()
-    if name not in ("clean", "keep_one", "similar", "strip", "mixed"):
+    out = operator(odd)
+    got = out.collect()
+    if name in ("clean", "keep_one", "similar", "strip", "mixed"):
+        assert out.columns == odd.columns and all(r[n] == "own" for r in got for n in NAMES)
+    else:
         assert len(got) == odd.count()
+    if name == "simhash":
+        assert out.columns == ["doc_id", "text_hash", "fp", "component_id", "first"]
+    else:
+        given = odd.drop(*set(out.columns) - set(odd.columns)).columns
+        assert set(given) <= set(out.columns) and (not got or sum(r[n] == "own" for n in NAMES for r in got[:1]) >= len(NAMES) - 9)
+    column, want = DEFINED.get(name, ("doc_id", {}))
+    for r in got:
+        if r.doc_id in want:
+            assert r[column] == want[r.doc_id]
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+    if name in ("keep_one", "similar"):
+        assert set(by) - {None} == {1, 2, 5, 6, 7} and len(by[5]) == 1
+    if name == "strip":
+        assert set(by) == {1, 2, 3, 5, 6, 7, None} and len(by[5]) == 3 and by[3][0].text is None and by[6][0].text == LONG
+    if name == "mix":
+        assert len({(r.copies, r.taken) for r in by[5]}) == 1 and by[2][0].copies == by[3][0].copies == 0 and by[2][0].source_size == 0
+    if name == "mixed":
+        assert not {2, 3} & set(by)
+    if name == "lm":
+        assert by[2][0].log_prob == 0 and by[3][0].mean_log_prob is None and len({round(r.log_prob, 6) for r in by[5]}) == 1
+    if name == "shards":
+        assert sorted(r.slot for r in got if r.shard == 0) == list(range(sum(r.shard == 0 for r in got))) and len(set(Counter(r.shard for r in got).values())) == 1
+    if name == "cnn":
+        assert by[2][0].score == pytest.approx(by[3][0].score) and len({round(r.score, 5) for r in by[5]}) == 1 and all(0 <= r.score <= 1 for r in got)
+    if name == "clean":
+        assert not got  # too short, or the same words again and again
     assert operator(odd.limit(0)).count() == 0
 
 
+def test_edge_cases_of_urls(spark):
+    long_url = "http://example.org/en/1" + "x" * 100_000
+    rows = [(1, None), (2, ""), (3, long_url), (4, "http://a.com/de/"), (4, "http://a.com/de/"), (None, "http://org/"), *((10 + i, None) for i in range(20))]
+    pages = spark.createDataFrame(rows, "page_id long, url string").select("*", *(F.lit("own").alias(n) for n in NAMES), F.lit("old").alias("rule"))
+    out = url_filter.judge(pages, url_filter.rule_table(spark))
+    got = [(r.page_id, r.rule, r.verdict) for r in out.collect()]
+    want = [(1, None, "allow"), (2, None, "allow"), (3, "example.org/en/1", "block"), (4, "com/de/", "block"), (4, "com/de/", "block"), (None, "org/", "allow")]
+    assert sorted(got, key=str) == sorted(want + [(10 + i, None, "allow") for i in range(20)], key=str)
+    assert all(r[n] == "own" for r in out.collect() for n in NAMES)
+    assert url_filter.query(pages.limit(0)).count() == 0
+
+
+def test_no_labels_no_opinion(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (None, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, quality int")
+    assert [r.score for r in quality_cnn.query(docs, labels).collect()] == [0.5] * 3
+
+
+def test_network_of_bytes_by_plain_loops():
+    net, rng = quality_cnn.Network(), np.random.default_rng(5)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["out"] = rng.normal(0, 1, len(net.p["out"]))
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (0, 40, 256, 1500)]
+    got = net.score([quality_cnn.blocks(t) for t in texts])
+    for text, found in zip(texts, got, strict=True):
+        padded = list(text) + [quality_cnn.PAD] * (256 - len(text) % 256)
+        values = []  # largest filter values of each block; windows reach four bytes into the next one
+        for b in range(0, len(padded), 256):
+            reach = (padded + [quality_cnn.PAD] * 4)[b : b + 260]
+            windows = [np.concatenate([net.p["embed"][c] for c in reach[k : k + 8]]) for k in range(0, 256, 4)]
+            values.append(np.maximum(np.max([w @ net.p["filters"] + net.p["bias"] for w in windows], 0), 0))
+        chunks = [np.maximum(x, y) for x, y in zip(values, values[1:], strict=False)] or values
+        u = np.concatenate((np.max(values, 0), np.mean(chunks, 0)))
+        assert found == pytest.approx(1 / (1 + math.exp(-(u @ net.p["out"] + net.p["shift"][0]))), rel=1e-6)
+
+
 def test_rules(spark):
     good = "Plain words make a fine sentence here today. " * 3 + "\n"
     clean = "\n".join(f"Sentence {i} says {i * 7} things about {i * 3} topics, and it ends." for i in range(12))
     nav = " | ".join(f"item{i}" for i in range(60))
-    rows = [(1, clean), (2, nav), (3, "too short"), (4, good * 10), (5, clean + "\nAll rights reserved.\nHome | About | Contact | Shop"), (6, None), (7, clean + "\n" + "\n".join(f"BUY{i}!! NOW{i}!!" for i in range(300)))]
+    rows = [(1, clean), (2, nav), (3, "too short"), (4, good * 10), (5, clean + "\nAll rights reserved.\nAlle Rechte vorbehalten!\nHome | About | Contact | Shop.\nA heading without an end \n"), (6, None), (7, clean + "\n" + "\n".join(f"BUY{i}!! NOW{i}!!" for i in range(300)))]
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].kept for i in range(1, 8)] == [True, False, False, False, True, False, False]
-    assert got[5].clean_text == clean and got[4].base_failed and got[6].n_words == 0
+    assert got[5].clean_text == clean + "\n" and got[4].base_failed and got[6].n_words == 0
 
 
 def test_repeated_words(spark):
