@@ -115,17 +115,12 @@ class Network:
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
         self.first, self.second, self.t = {}, {}, 0
 
-    @staticmethod
-    def contexts(classes: np.ndarray) -> np.ndarray:
-        """(4, words): classes on both sides, CLASSES beyond the ends."""
-        padded = np.concatenate((np.full(SIDE, CLASSES), classes, np.full(SIDE, CLASSES)))
-        return np.stack([padded[SIDE + o : SIDE + o + len(classes)] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))])
-
-    def gradients(self, contexts: np.ndarray, classes: np.ndarray, tables: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, contexts: np.ndarray, classes: np.ndarray, ready: tuple) -> dict[str, np.ndarray]:
         """Sums of the gradients of -log P over windows, those of the tables in place of "embed" and "inner"."""
+        tables, outer, _ = ready
         h = self.hidden(contexts, tables)
-        d, shift = self.weights(h)
-        total = d.sum(1)
+        d = h @ outer
+        total = np.exp(d, out=d).sum(1)
         d[np.arange(len(d)), classes] -= total  # what stands here is total times the gradient at the logits
         total = 1 / total
         dh = np.ascontiguousarray(((d @ self.p["outer"].T) * (total[:, None] * (1 - h[:, :-1] ** 2))).T)
@@ -142,13 +137,12 @@ class Network:
         np.tanh(x + self.p["bias"], out=h[:, :-1])
         return h
 
-    def weights(self, h: np.ndarray) -> tuple[np.ndarray, float]:
-        """exp(logit - shift) of all classes; the shift keeps any logit in the range of single precision."""
+    def ready(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """The tables, the weights of logits with the levels (less a shift), and the shift that keeps exp in range."""
         outer = np.concatenate((self.p["outer"], self.p["level"][None]))
         shift = max(0.0, float((np.abs(self.p["outer"]).sum(0) + self.p["level"]).max()) - 60.0)
         outer[-1] -= np.float32(shift)
-        d = h @ outer
-        return np.exp(d, out=d), shift
+        return self.tables(), outer, shift
 
     def through_tables(self, gradients: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """Gradients of the weights, in their order, from those with the tables'."""
@@ -169,16 +163,12 @@ class Network:
         """What each class on each side adds to the hidden units: (4, CLASSES + 1, HIDDEN)."""
         return np.einsum("ce,seh->sch", self.p["embed"], self.p["inner"].reshape(2 * SIDE, EMBED, HIDDEN))
 
-    def log_probs(self, classes: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        out = np.empty(len(classes))
-        around = self.contexts(classes)
-        for k in range(0, len(classes), CHUNK):
-            own = classes[k : k + CHUNK]
-            h = self.hidden(around[:, k : k + CHUNK], tables)
-            d, shift = self.weights(h)
-            z = np.einsum("nh,hn->n", h[:, :-1], self.p["outer"][:, own]) + self.p["level"][own]
-            out[k : k + CHUNK] = z - shift - np.log(d.sum(1))
-        return out
+    def log_probs(self, contexts: np.ndarray, classes: np.ndarray, ready: tuple) -> np.ndarray:
+        tables, outer, _ = ready
+        h = self.hidden(contexts, tables)
+        d = h @ outer
+        own = d[np.arange(len(d)), classes].astype(np.float64)
+        return own - np.log(np.exp(d, out=d).sum(1))
 
 
 class Vocabulary:
@@ -269,7 +259,7 @@ def train_everywhere(network: Network, coded: DataFrame, n: np.ndarray) -> None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, seen = Network(), 0
             own.p = weights
-            tables, total = own.tables(), {}
+            ready, total = own.ready(), {}
             for batch in batches:
                 held, size = [], 0
                 for k, code in enumerate(batch.column(0), 1):
@@ -277,7 +267,7 @@ def train_everywhere(network: Network, coded: DataFrame, n: np.ndarray) -> None:
                     size += len(held[-1])
                     if size >= HELD or k == batch.num_rows:
                         for contexts, classes in windows(held):
-                            for name, g in own.gradients(contexts, classes, tables).items():
+                            for name, g in own.gradients(contexts, classes, ready).items():
                                 total[name] = total.get(name, 0) + g
                         seen, held, size = seen + size, [], 0
             if seen:
@@ -331,11 +321,14 @@ def score(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     train_everywhere(network, coded, vocabulary.n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = network.tables()
+        ready = network.ready()
         for batch in batches:
-            codes = (np.frombuffer(c.as_py(), np.uint8).astype(np.int64) for c in batch.column(0))
-            sums = [float(network.log_probs(of, tables).sum()) if len(of) else 0.0 for of in codes]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sums, pa.float64())], names=[*batch.schema.names[1:], "_sum"])
+            for k in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(k, ROWS)
+                codes = [np.frombuffer(c.as_py(), np.uint8).astype(np.int64) for c in rows.column(0)]
+                found = [network.log_probs(contexts, classes, ready) for contexts, classes in windows(codes)]
+                sums = np.cumsum(np.concatenate((np.zeros(1), *found)))[np.cumsum([0, *map(len, codes)])]
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(np.diff(sums))], names=[*rows.schema.names[1:], "_sum"])
 
     rows = coded.select("_classes", *keep, "_row", "n_words", "_known")
     scored = rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("_sum", T.DoubleType())]))
