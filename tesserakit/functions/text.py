@@ -17,3 +17,16 @@ def describe_filter(min_size: Column, fill: Column) -> Column:
 def run_identifier(path: Column, step: Column, route: Column) -> Column:
     """``<last part of the path>.step<N>.<route>``."""
     return F.concat(F.element_at(F.split(path, "/"), -1), F.lit(".step"), step.cast("string"), F.lit("."), route)
+
+
+def is_route(name: Column) -> Column:
+    """Whether a name can be a route's: lower-case letters, digits and underscores, a letter first."""
+    return name.rlike(r"^[a-z][a-z0-9_]*\z")
+
+
+def renamed(name: Column, now: dict[str, str]) -> Column:
+    """Older names as they are now; others stay."""
+    out = name
+    for old, new in now.items():
+        out = F.when(name == old, new).otherwise(out)
+    return out

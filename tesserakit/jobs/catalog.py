@@ -637,3 +637,6 @@ def board_drift(spark, sf_dir):
     old = rows.withColumn("place", arrival).select(*columns)
     sides = [a.exceptAll(b).select(F.lit(n).alias("side"), *columns) for n, a, b in (("new", now, old), ("old", old, now))]
     return sides[0].unionByName(sides[1])
+
+
+from . import scoring as _scoring  # noqa: E402, F401  (its queries join the catalogue)

@@ -18,6 +18,16 @@ def candidates(sizes: list[int], logits: list[int] = (None,)) -> list[tuple[int,
     return [(i, logit, size) for i, (logit, size) in enumerate(grid)]
 
 
+def settings(logits: list[int], sizes: list[int], fills: list[int | str]) -> list[tuple[int, int, int, str]]:
+    """(ordinal, logit, min_size, fill) of the grid: sorted, without repeats, the logit outermost; "all" fills last."""
+    numbers = [f for f in fills if f != "all"]
+    if not fills or any(f < 0 for f in numbers):
+        raise ValueError("fill distances must be given and not be negative")
+    fills = [*map(str, sorted(set(numbers))), *(["all"] if "all" in fills else [])]
+    grid = [(logit, size, fill) for _, logit, size in candidates(sizes, logits) for fill in fills]
+    return [(i, *row) for i, row in enumerate(grid)]
+
+
 def sweep_sizes(table: DataFrame, sizes: list[int], by: list[str]) -> DataFrame:
     """The contingency table under every minimum size of predicted objects: ordinal, min_size, by, truth, pred, n.
 

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserakit.jobs import catalog
-from tesserakit.operators import board, components, graph, labels, metrics, mws, skeletons
-from tesserakit.sources import storage
+from tesserakit.operators import board, components, graph, labels, metrics, mws, scoring, skeletons
+from tesserakit.sources import records, storage
 from tesserakit.streaming import contingency as stream
 
 
@@ -242,3 +242,56 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         storage.shared_folder(Session())
+
+
+def test_truth_and_prediction_must_fit(spark):
+    truth, pred = volume(spark, [(1, 1)] * 3), volume(spark, [(1, 1)] * 2)
+    sides = [t.withColumn("volume", F.lit(0)) for t in (truth.drop("pred"), pred.drop("truth"))]
+    with pytest.raises(Exception, match="differ in size"):
+        scoring.met(*sides, ["volume", "lin"]).count()
+    names = spark.createDataFrame([("a",), ("b",)], "name string")
+    with pytest.raises(Exception, match="no artifact for volume b"):
+        scoring.bound(names, spark.createDataFrame([("a", 1), ("c", 2)], "name string, at int")).collect()
+    assert scoring.bound(names, spark.createDataFrame([("a", 1), ("b", 2), ("c", 2)], "name string, at int")).count() == 2
+
+
+def test_boards_refuse_other_tasks(spark):
+    rows = lambda *r: spark.createDataFrame(r, "task string, identity string, region string")
+    old = rows(("t", "x", "r1"), ("t", "x", "r2"))
+    assert scoring.admitted(old, rows(("t", "x", "r2"), ("t", "x", "r1"), ("new", "y", "r9"))).count() == 3
+    with pytest.raises(Exception, match="another task"):
+        scoring.admitted(old, rows(("t", "z", "r1"), ("t", "z", "r2"))).collect()
+    with pytest.raises(Exception, match="other regions"):
+        scoring.admitted(old, rows(("t", "x", "r1"))).collect()
+
+
+def test_records_are_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([("t", "a", "r", "pq", 0.5), ("t", "a", "r", "voi", None)], "task string, identifier string, region string, metric string, value double")
+    folder = f"file://{tmp_path}/records"
+    records.add(rows, folder)
+    records.add(rows.withColumn("identifier", F.lit("b")), folder)
+    assert records.load(spark, folder, "t").count() == 4
+    with pytest.raises(ValueError, match="exist already"):
+        records.add(rows, folder)
+    with pytest.raises(Exception, match="another task"):
+        records.load(spark, folder, "u").collect()
+    spark.createDataFrame([('{"version": 2, "task": "t"}',)], "value string").write.mode("append").text(folder)
+    with pytest.raises(Exception, match="version 2"):
+        records.load(spark, folder).collect()
+
+
+def test_ignored_sizes(spark):
+    nodes = [(1, i, 7) for i in range(6)] + [(2, 10 + i, 7) for i in range(3)]
+    nodes = spark.createDataFrame(nodes, "skel long, node long, seg long")
+    edges = [(1, i, i + 1, 2.0, 7, 7) for i in range(5)] + [(2, 10 + i, 11 + i, 1.0, 7, 7) for i in range(2)]
+    edges = spark.createDataFrame(edges, "skel long, u long, v long, length double, seg_u long, seg_v long")
+    got = one(scoring.score_skeletons(nodes, edges, (2, 3, float("inf"))))
+    assert (got["nerl"], got["nerl_2"], got["nerl_3"], got["nerl_inf"]) == (0.0, 0.0, 1.0, 1.0)
+    assert (got["n_nodes"], got["n_edges"], got["n_mergers"], got["max_erl_um"]) == (9, 7, 2, round(104 / 12, 6))
+
+
+def test_settings_fill_everything_last():
+    assert board.settings([1], [0], ["all", 3, 1, 3]) == [(0, 1, 0, "1"), (1, 1, 0, "3"), (2, 1, 0, "all")]
+    for bad in ([], [-1]):
+        with pytest.raises(ValueError):
+            board.settings([1], [0], bad)
