@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.text import describe_filter, run_identifier
 from ..operators import board, graph, grids, labels, metrics, mws, skeletons
 from ..sources import volumes as v
-from ..sources.storage import table
+from ..sources.storage import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,6 +32,11 @@ CONT = f"{VOX}, cont AS (SELECT truth, pred, count(*) AS n FROM vox GROUP BY tru
 CONT_V = f"{VOX}, cont AS (SELECT volume, truth, pred, count(*) AS n FROM vox GROUP BY volume, truth, pred)"
 
 
+def _contingency(voxels: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The contingency table, made once: metrics read it several times, and voxels no more."""
+    return cut(metrics.contingency(voxels, by), "contingency")
+
+
 # -- contingency and instance metrics -------------------------------------------------------------------------
 @query(f"WITH {VOX} SELECT volume, truth, pred, count(*) AS n FROM vox GROUP BY volume, truth, pred")
 def contingency(spark, sf_dir):
@@ -58,19 +63,19 @@ SELECT round(split, 9) AS voi_split, round(merge, 9) AS voi_merge, round(split +
 
 @query(_voi_sql("WHERE truth <> 0"))
 def voi(spark, sf_dir):
-    return metrics.variation_of_information(metrics.contingency(v.voxels(spark, sf_dir)))
+    return metrics.variation_of_information(_contingency(v.voxels(spark, sf_dir)))
 
 
 @query(_voi_sql(""))
 def voi_with_background(spark, sf_dir):
-    return metrics.variation_of_information(metrics.contingency(v.voxels(spark, sf_dir)), background=None)
+    return metrics.variation_of_information(_contingency(v.voxels(spark, sf_dir)), background=None)
 
 
 @query(f"""WITH {CONT}, c AS (SELECT * FROM cont WHERE truth <> 0), t AS (SELECT sum(s * s::DOUBLE) AS tt FROM (SELECT sum(n)::BIGINT AS s FROM c GROUP BY truth)),
 p AS (SELECT sum(s * s::DOUBLE) AS pp FROM (SELECT sum(n)::BIGINT AS s FROM c GROUP BY pred)), q AS (SELECT sum(n * n::DOUBLE) AS nn FROM c)
 SELECT round(1 - 2 * nn / (tt + pp), 9) AS adapted_rand_error FROM t, p, q""")
 def adapted_rand(spark, sf_dir):
-    return metrics.adapted_rand(metrics.contingency(v.voxels(spark, sf_dir)))
+    return metrics.adapted_rand(_contingency(v.voxels(spark, sf_dir)))
 
 
 def _pq_sql(by: str, thresholds: str, last: str) -> str:
@@ -89,19 +94,19 @@ r AS (SELECT {b}threshold, CAST(tp AS BIGINT) AS tp, CAST(np - tp AS BIGINT) AS
 
 @query(_pq_sql("", "(0.5::DOUBLE)", "SELECT * FROM r"))
 def panoptic_quality(spark, sf_dir):
-    return metrics.panoptic_quality(metrics.contingency(v.voxels(spark, sf_dir)))
+    return metrics.panoptic_quality(_contingency(v.voxels(spark, sf_dir)))
 
 
 @query(_pq_sql("volume", "(0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)", "SELECT * FROM r"))
 def pq_threshold_sweep(spark, sf_dir):
-    return metrics.panoptic_quality(metrics.contingency(v.voxels(spark, sf_dir), ["volume"]), [0.25, 0.5, 0.75], ["volume"])
+    return metrics.panoptic_quality(_contingency(v.voxels(spark, sf_dir), ["volume"]), [0.25, 0.5, 0.75], ["volume"])
 
 
 @query(f"""WITH {CONT}, t AS (SELECT truth, sum(n) AS t FROM cont GROUP BY truth), p AS (SELECT pred, sum(n) AS p FROM cont GROUP BY pred),
 m AS (SELECT truth, pred FROM cont JOIN t USING (truth) JOIN p USING (pred) WHERE truth <> 0 AND pred <> 0 AND n / (t + p - n) > 0.5)
 SELECT 'fn' AS side, truth AS id FROM t WHERE truth <> 0 AND truth NOT IN (SELECT truth FROM m) UNION ALL SELECT 'fp', pred FROM p WHERE pred <> 0 AND pred NOT IN (SELECT pred FROM m)""")
 def unmatched_instances(spark, sf_dir):
-    return metrics.unmatched(metrics.contingency(v.voxels(spark, sf_dir)))
+    return metrics.unmatched(_contingency(v.voxels(spark, sf_dir)))
 
 
 @query(
@@ -111,7 +116,7 @@ def unmatched_instances(spark, sf_dir):
     )
 )
 def metrics_by_volume_mean(spark, sf_dir):
-    scored = metrics.panoptic_quality(metrics.contingency(v.voxels(spark, sf_dir), ["volume"]), by=["volume"])
+    scored = metrics.panoptic_quality(_contingency(v.voxels(spark, sf_dir), ["volume"]), by=["volume"])
     long = scored.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), (F.col(k) if k != "sq" else F.when(F.col("tp") > 0, F.col("sq"))).alias("value")) for k in ("pq", "rq", "sq")))).alias("m")).select("m.*")
     return long.filter("value IS NOT NULL").groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("volumes_scored"))
 
@@ -139,13 +144,13 @@ def size_filter(spark, sf_dir):
 @query(f"""WITH {CONT_V}, s AS (SELECT volume, pred, sum(n) AS size FROM cont GROUP BY volume, pred), g(min_size) AS (VALUES (0), (20), (40), (60))
 SELECT min_size, CAST(sum(n) FILTER (pred <> 0 AND size >= min_size) AS BIGINT) AS voxels, count(DISTINCT (volume, pred)) FILTER (pred <> 0 AND size >= min_size) AS objects FROM cont JOIN s USING (volume, pred), g GROUP BY min_size""")
 def size_filter_sweep(spark, sf_dir):
-    swept = board.sweep_sizes(metrics.contingency(v.voxels(spark, sf_dir), ["volume"]), [0, 20, 40, 60], ["volume"]).filter("pred <> 0")
+    swept = board.sweep_sizes(_contingency(v.voxels(spark, sf_dir), ["volume"]), [0, 20, 40, 60], ["volume"]).filter("pred <> 0")
     return swept.groupBy("min_size").agg(F.sum("n").alias("voxels"), F.countDistinct("volume", "pred").alias("objects"))
 
 
-@query(f"WITH {VOX} SELECT lin, x, y, z, truth, pred FROM vox WHERE x >= 2 AND x < 12 AND y >= 5 AND y < 20 AND z >= 3 AND z < 17")
+@query(f"WITH {VOX} SELECT lin, x, y, z, truth, pred FROM vox WHERE x >= 2 AND x < (SELECT max(x) FROM vox) AND y >= 5 AND y < 20 AND z >= 3 AND z < 17")
 def region_crop(spark, sf_dir):
-    return labels.crop(v.voxels(spark, sf_dir), {"x": 2, "y": 5, "z": 3}, {"x": 12, "y": 20, "z": 17}).select("lin", "x", "y", "z", "truth", "pred")
+    return labels.crop(v.voxels(spark, sf_dir), {"x": 2, "y": 5, "z": 3}, {"x": v.planes(spark, sf_dir) - 1, "y": 20, "z": 17}).select("lin", "x", "y", "z", "truth", "pred")
 
 
 @query(f"""WITH {BOX} SELECT box, {', '.join(f'greatest(lo{i}, 100) AS low{i}, least(hi{i}, 900) AS high{i}' for i in range(3))},
@@ -211,12 +216,12 @@ sc AS (SELECT {b}name, CAST(coalesce(hit, 0) AS BIGINT) AS hit, CAST(actual AS B
 
 @query(f"WITH {_scores_sql('')} SELECT *, round(hit / (actual + predicted - hit), 9) AS iou, round(2 * hit / (actual + predicted), 9) AS dice FROM sc")
 def semantic_composites(spark, sf_dir):
-    return metrics.class_scores(metrics.confusion(v.class_map(spark, sf_dir), 8), v.CLASSES)
+    return metrics.class_scores(cut(metrics.confusion(v.class_map(spark, sf_dir), 8), "confusion"), v.CLASSES)
 
 
 @query(f"WITH {_scores_sql('volume')} SELECT volume, round(avg(hit / (actual + predicted - hit)), 6) AS mean_iou, round(avg(2 * hit / (actual + predicted)), 6) AS mean_dice, count(*) AS n_classes FROM sc GROUP BY volume")
 def semantic_iou(spark, sf_dir):
-    scores = metrics.class_scores(metrics.confusion(v.class_map(spark, sf_dir), 8, by=["volume"]), v.CLASSES, ["volume"])
+    scores = metrics.class_scores(cut(metrics.confusion(v.class_map(spark, sf_dir), 8, by=["volume"]), "confusion"), v.CLASSES, ["volume"])
     exact = {"iou": F.col("hit") / (F.col("actual") + F.col("predicted") - F.col("hit")), "dice": 2 * F.col("hit") / (F.col("actual") + F.col("predicted"))}
     return scores.groupBy("volume").agg(*(F.round(F.avg(e), 6).alias(f"mean_{k}") for k, e in exact.items()), F.count("*").alias("n_classes"))
 
@@ -448,7 +453,7 @@ s AS (SELECT greatest(-sum(n / a * log2(n / t)), 0.0) AS split, greatest(-sum(n
 SELECT round(split, 9) AS voi_split, round(merge, 9) AS voi_merge, round(split + merge, 9) AS voi_sum FROM s""")
 def skeleton_voi(spark, sf_dir):
     nodes = v.skeleton_nodes(spark, sf_dir).select(F.col("skel").alias("truth"), F.col("seg").alias("pred"))
-    return metrics.variation_of_information(metrics.contingency(nodes))
+    return metrics.variation_of_information(_contingency(nodes))
 
 
 def _kinds_sql(size: int = 0) -> str:
@@ -516,7 +521,7 @@ SELECT ordinal, min_size, round(avg(pq), 9) AS mean FROM q GROUP BY ordinal, min
 
 @query(SWEEP_SQL)
 def fit_argmax(spark, sf_dir):
-    swept = board.sweep_sizes(metrics.contingency(v.voxels(spark, sf_dir), ["volume"]), [0, 20, 40, 60], ["volume"])
+    swept = board.sweep_sizes(_contingency(v.voxels(spark, sf_dir), ["volume"]), [0, 20, 40, 60], ["volume"])
     scored = metrics.panoptic_quality(swept, by=["ordinal", "min_size", "volume"])
     return board.best_candidate(scored, "pq")
 

@@ -25,10 +25,12 @@ def size_filter(labels: DataFrame, label: str, min_size: int, by: list[str] = ()
     """Labels of fewer than ``min_size`` voxels become background; others keep their ids."""
     if min_size <= 0:
         return labels
-    sizes = labels.filter(F.col(label) != BACKGROUND).groupBy(*by, label).count()
+    known = F.col(label) != BACKGROUND
+    sizes = labels.filter(known).groupBy(*by, label).count()
     kept = sizes.filter(F.col("count") >= min_size).select(*by, label).withColumn("_kept", F.lit(True))
-    out = labels.join(kept, [*by, label], "left").withColumn(label, F.when(F.col("_kept"), F.col(label)).otherwise(BACKGROUND))
-    return out.select(*labels.columns)
+    out = labels.filter(known).join(kept, [*by, label], "left").withColumn(label, F.when(F.col("_kept"), F.col(label)).otherwise(BACKGROUND))
+    # background has nothing to look up: it passes by the join, where it would be one hot key
+    return labels.filter(~F.coalesce(known, F.lit(False))).unionByName(out.select(*labels.columns))
 
 
 def crop(voxels: DataFrame, low: dict[str, int], high: dict[str, int]) -> DataFrame:

@@ -19,6 +19,20 @@ def running_contingency(voxels: DataFrame) -> DataFrame:
     return voxels.groupBy("volume", "truth", "pred").agg(F.count("*").alias("n"))
 
 
-def start(spark: SparkSession, folder: str, name: str, checkpoint: str) -> StreamingQuery:
+def start(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Keep the table up to date in ``out``: each batch writes the pairs that it changed, under its own number.
+
+    A batch that comes again after a failure replaces its own files, so nothing counts twice.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
     counts = running_contingency(arriving(spark, folder))
-    return counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, out: str) -> DataFrame:
+    """volume, truth, pred, n as of the last batch."""
+    changes = spark.read.parquet(out)
+    return changes.groupBy("volume", "truth", "pred").agg(F.max_by("n", "batch").alias("n"))

@@ -151,6 +151,8 @@ def test_components_of_random_graphs(spark):
         parent[b] = a
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {n: find(n) for n in {x for p in pairs if p[0] != p[1] for x in p} if find(n) != n}
+    blocks = components.block_components(spark.createDataFrame(pairs, "a long, b long"), lambda c: F.floor(c / 50).cast("long"))
+    assert {r.node: r.root for r in blocks.collect()} == {n: r for n, r in got.items()}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -197,9 +199,12 @@ def test_watershed_volumes_hold_every_offset(spark):
 def test_stream_counts_like_the_batch(spark, tmp_path):
     v = volume(spark, [(1, 1), (1, 2), (2, 2), (2, 2)]).withColumn("volume", F.lit(0).cast("long"))
     v.select("volume", "lin", "x", "y", "z", "truth", "pred").repartition(3).write.parquet(str(tmp_path / "in"))
-    q = stream.start(spark, str(tmp_path / "in"), "counts", str(tmp_path / "checkpoint"))
+    q = stream.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, metrics.contingency(v, ["volume"]).collect()))
+    v.select("volume", "lin", "x", "y", "z", "truth", "pred").write.mode("append").parquet(str(tmp_path / "in"))
+    stream.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination(120)
+    want = metrics.contingency(v.union(v), ["volume"]).collect()
+    assert sorted(map(tuple, stream.current(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, want))
 
 
 def test_artifacts_are_checked(spark, tmp_path):
