@@ -510,7 +510,8 @@ def test_language_model_tells_rare_words_apart(spark, monkeypatch):
     for i, w in enumerate(rare):
         by_class[lm_score.rare_class(w.encode())].append((n[w], got[5000 + i]))
     for found in by_class.values():  # alone in their texts, the words of a class have one chance for the class
-        assert len({round(p - math.log(k), 6) for k, p in found}) == 1
+        chances = [p - math.log(k) for k, p in found]
+        assert max(chances) - min(chances) < 1e-5  # single precision
 
 
 def test_pipeline(spark, docs):
