@@ -184,17 +184,17 @@ def fill_bounded(spark, sf_dir):
     return labels.fill(v.voxels(spark, sf_dir), "pred", 2).select("lin", "pred")
 
 
-SCORES_SQL = "emb AS (SELECT vec_id, embedding[1:10] AS s FROM embeddings)"
+SCORES_SQL = "emb AS (SELECT vec_id, embedding AS s FROM embeddings)"
 
 
 @query(f"WITH {SCORES_SQL} SELECT vec_id, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS class FROM emb")
 def argmax_class(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", labels.argmax(F.slice("embedding", 1, 10)).alias("class"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", labels.argmax(F.col("embedding")).alias("class"))
 
 
 @query(f"WITH {SCORES_SQL} SELECT vec_id, CASE WHEN list_max(s) >= 0.25 THEN CAST(list_position(s, list_max(s)) - 1 AS INTEGER) ELSE -1 END AS class FROM emb")
 def per_class_threshold(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", labels.class_above(F.slice("embedding", 1, 10), 0.25, -1).alias("class"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", labels.class_above(F.col("embedding"), 0.25, -1).alias("class"))
 
 
 # -- class maps -----------------------------------------------------------------------------------------------
@@ -435,7 +435,7 @@ def box_overlaps(spark, sf_dir):
     return grids.overlaps(v.boxes(spark, sf_dir), 128)
 
 
-@query(f"WITH RECURSIVE {OVERLAP_SQL}, sy AS (SELECT a, b FROM ov UNION ALL SELECT b, a FROM ov), re AS (SELECT box AS node, box AS root FROM box UNION SELECT b, root FROM re JOIN sy ON node = a WHERE root < b) SELECT node AS box, min(root) AS leader FROM re GROUP BY node")
+@query(f"WITH RECURSIVE {OVERLAP_SQL}, sy AS (SELECT a, b FROM ov UNION ALL SELECT b, a FROM ov), re AS (SELECT box AS node, box AS root FROM box UNION SELECT b, root FROM re JOIN sy ON node = a WHERE root < b) SELECT node AS box, min(root) AS leader, dense_rank() OVER (ORDER BY min(root)) AS number FROM re GROUP BY node")
 def overlap_groups(spark, sf_dir):
     return grids.overlap_groups(v.boxes(spark, sf_dir), 128)
 

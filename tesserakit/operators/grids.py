@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..sources.storage import cut
+from .components import components, dense_ids
 
 #: Slack that sends a centre on a border to the upper voxel in spite of rounding.
 SLACK = 1e-6
@@ -37,6 +38,7 @@ def overlaps(boxes: DataFrame, cell: int) -> DataFrame:
 
 
 def overlap_groups(boxes: DataFrame, cell: int) -> DataFrame:
-    """box, leader: groups of boxes that overlaps connect, named by the least box."""
+    """box, leader, number: groups of boxes that overlaps connect, named by the least box and numbered from 1 in its order."""
     found = boxes.select("box").join(components(overlaps(boxes, cell)).withColumnRenamed("node", "box"), "box", "left")
-    return found.select("box", F.coalesce("root", "box").alias("leader"))
+    found = cut(found.select("box", F.coalesce("root", "box").alias("leader")), "groups")
+    return found.join(dense_ids(found, "leader", "number"), "leader").select("box", "leader", "number")

@@ -44,3 +44,17 @@ def read(spark: SparkSession, path: str, declared: Declaration, low: int | None
     for bound, keep in ((low, F.col("lin") >= F.lit(low)), (high, F.col("lin") < F.lit(high))):
         df = df if bound is None else df.filter(keep)
     return df
+
+
+def narrowest(df: DataFrame, label: str) -> DataFrame:
+    """``df`` with its labels in the narrowest whole-number type that holds them all; negative labels are refused."""
+    low, high = df.agg(F.min(label), F.max(label)).first()
+    if low is not None and low < 0:
+        raise ValueError(f"{label} holds the negative label {low}")
+    kind = next(k for k, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)) if (high or 0) < 1 << bits)
+    return df.withColumn(label, F.col(label).cast(kind))
+
+
+def keep_scored(df: DataFrame, path: str, declared: Declaration, by: str = "volume") -> None:
+    """Keep a labelling that was scored: a folder a volume, in the narrowest type."""
+    write(narrowest(df, declared.column), path, declared, [by])

@@ -300,3 +300,16 @@ def test_settings_fill_everything_last():
     for bad in ([], [-1]):
         with pytest.raises(ValueError):
             board.settings([1], [0], bad)
+
+
+def test_scored_labellings_are_kept_narrow(spark, tmp_path):
+    from tesserakit.sources.artifacts import Declaration, keep_scored, read
+
+    declared = Declaration("instances", "pred")
+    for most, kind in ((127, "tinyint"), (128, "smallint"), (40_000, "int"), (1 << 40, "bigint")):
+        rows = volume(spark, [(0, 0), (0, most)]).withColumn("volume", F.lit(3))
+        keep_scored(rows, str(tmp_path / kind), declared)
+        again = read(spark, str(tmp_path / kind), declared)
+        assert dict(again.dtypes)["pred"] == kind and again.agg(F.max("pred")).first()[0] == most
+    with pytest.raises(ValueError, match="negative"):
+        keep_scored(volume(spark, [(0, -1)]).withColumn("volume", F.lit(3)), str(tmp_path / "n"), declared)
