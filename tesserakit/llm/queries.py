@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_forest, bpe, lm_score, mixing, quality_cnn, quality_rules, sharding, simhash, substring, url_filter
+from . import alignment, ann_forest, bpe, language_pieces, lm_score, mixing, quality_cnn, quality_rules, reversed_search, sharding, simhash, substring, url_filter
 from .common import table
 
 QUERIES = {
@@ -16,5 +16,8 @@ QUERIES = {
     "op8_quality_rules": lambda spark, sf_dir: quality_rules.query(table(spark, sf_dir, "documents")),
     "op9_quality_cnn": lambda spark, sf_dir: quality_cnn.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_simhash": lambda spark, sf_dir: simhash.query(table(spark, sf_dir, "documents")),
+    "op11_language_pieces": lambda spark, sf_dir: language_pieces.query(table(spark, sf_dir, "documents")),
+    "op12_reversed_search": lambda spark, sf_dir: reversed_search.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op13_alignment": lambda spark, sf_dir: alignment.query(table(spark, sf_dir, "documents")),
 }
-ORACLE_SQL = {"op6_url_filter": url_filter.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
+ORACLE_SQL = {"op6_url_filter": url_filter.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op12_reversed_search": reversed_search.ORACLE}
