@@ -184,6 +184,24 @@ def fill_bounded(spark, sf_dir):
     return labels.fill(v.voxels(spark, sf_dir), "pred", 2).select("lin", "pred")
 
 
+def _fill_far_sql(within: str, same: str) -> str:
+    d2 = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+    return f"""WITH {VOX}, f AS (SELECT a.lin, arg_min(b.pred, {d2} * 1000000000 + b.lin) AS near FROM vox a JOIN vox b ON {same} WHERE a.pred = 0 AND b.pred <> 0 AND {d2} <= {within} GROUP BY a.lin)
+SELECT lin, coalesce(near, pred) AS pred FROM vox LEFT JOIN f USING (lin)"""
+
+
+@query(_fill_far_sql("1e18", "a.volume = b.volume"))
+def fill_all(spark, sf_dir):
+    """Every background voxel takes its volume's nearest segment."""
+    return labels.fill(v.voxels(spark, sf_dir), "pred", "all", by=["volume"]).select("lin", "pred")
+
+
+@query(_fill_far_sql("20.25", "b.x BETWEEN a.x - 4 AND a.x + 4 AND b.y BETWEEN a.y - 4 AND a.y + 4"))
+def fill_far(spark, sf_dir):
+    """As ``fill_bounded``, at a distance for which lines are swept."""
+    return labels.fill(v.voxels(spark, sf_dir), "pred", 4.5).select("lin", "pred")
+
+
 SCORES_SQL = "emb AS (SELECT vec_id, embedding AS s FROM embeddings)"
 
 

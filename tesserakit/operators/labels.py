@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .distance import nearest
+
 BACKGROUND = 0
 
 
@@ -43,21 +45,31 @@ def mask(voxels: DataFrame, label: str, inside: Column) -> DataFrame:
     return voxels.withColumn(label, F.when(inside, F.col(label)).otherwise(BACKGROUND))
 
 
-def ball(distance: int) -> list[tuple[int, int, int, int]]:
+def ball(distance: float) -> list[tuple[int, int, int, int]]:
     """Offsets (dx, dy, dz, squared length) up to ``distance``, without the centre."""
-    span = range(-distance, distance + 1)
+    span = range(-int(distance), int(distance) + 1)
     squares = ((x, y, z, x * x + y * y + z * z) for x in span for y in span for z in span)
     return [o for o in squares if 0 < o[3] <= distance * distance]
 
 
-def fill(voxels: DataFrame, label: str, distance: int, key: tuple[str, str, str] = ("x", "y", "z"), by: list[str] = ()) -> DataFrame:
-    """Background within ``distance`` of a segment takes the nearest segment's id, the lowest ``lin`` of equally near ones.
+#: Up to this distance a ball of offsets around every background voxel is looked at; beyond it, lines are swept.
+BALL = 3
+
+
+def fill(voxels: DataFrame, label: str, distance: float | str, key: tuple[str, str, str] = ("x", "y", "z"), by: list[str] = ()) -> DataFrame:
+    """Background within ``distance`` ("all": any) of a segment takes the nearest segment's id, the lowest ``lin`` of equally near ones.
 
-    Background voxels look at a ball of offsets around them and meet the segments in an equi-join on position, so the
-    work is (background) x (offsets) rows, whatever the size of the volume.
+    Small distances: background voxels look at a ball of offsets around them and meet the segments in an equi-join on
+    position, so the work is (background) x (offsets) rows. Others take three passes over lines (``distance.nearest``),
+    whatever the distance.
     """
+    distance = float("inf") if distance == "all" else distance
     if distance <= 0:
         return voxels
+    if distance > BALL:
+        near = nearest(voxels.withColumnsRenamed(dict(zip(key, "xyz", strict=True))), label, by).filter(F.col("d2") <= F.lit(float(distance) ** 2))
+        out = voxels.join(near.drop("d2"), [*by, "lin"], "left")
+        return out.withColumn(label, F.coalesce("near", label)).select(*voxels.columns)
     offsets = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(o, ("dx", "dy", "dz", "d2"), strict=True))) for o in ball(distance)))
     empty = voxels.filter(F.col(label) == BACKGROUND).select(*by, "lin", *key, F.explode(offsets).alias("o"))
     empty = empty.select(*by, F.col("lin").alias("_to"), *((F.col(a) + F.col(f"o.d{n}")).alias(a) for a, n in zip(key, "xyz", strict=True)), "o.d2")
