@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import describe_filter, run_identifier
-from ..operators import board, graph, grids, labels, metrics, mws, skeletons
+from ..operators import board, graph, grids, labels, metrics, mws, skeletons, tiling
 from ..sources import volumes as v
 from ..sources.storage import cut, table
 
@@ -426,12 +426,42 @@ def mws_blockwise(spark, sf_dir):
     return mws.blockwise(_deep_lattice(spark, sf_dir).select("volume", "lin", "y", "z"), _volume_edges(spark, sf_dir), _block())
 
 
-@query(f"""WITH {_edges_sql()}, l AS (SELECT lin, volume, y, z, truth AS cluster, volume * 4 + y // 13 * 2 + z // 10 AS block FROM vox),
-c AS (SELECT e.volume, least(p.cluster, q.cluster) AS low, greatest(p.cluster, q.cluster) AS high, priority, "offset", src, attractive FROM edge e JOIN l p ON src = p.lin JOIN l q ON dst = q.lin WHERE p.block <> q.block AND p.volume = q.volume)
+@query(f"""WITH {_edges_sql()}, l AS (SELECT lin, x // {v.DEPTH} AS volume, y, z, truth AS cluster, x // {v.DEPTH} * 4 + y // 13 * 2 + z // 10 AS block FROM vox),
+c AS (SELECT p.volume, least(p.cluster, q.cluster) AS low, greatest(p.cluster, q.cluster) AS high, priority, "offset", src, attractive FROM edge e JOIN l p ON src = p.lin JOIN l q ON dst = q.lin WHERE p.block <> q.block AND p.volume = q.volume)
 SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY volume, low, high ORDER BY priority DESC, "offset", src) = 1""")
 def face_pairs(spark, sf_dir):
-    placed = v.voxels(spark, sf_dir).select("lin", F.col("truth").alias("cluster"), _block().alias("block"))
-    return mws.face_pairs(_volume_edges(spark, sf_dir, v.SLAB), placed)  # the slabs of its SQL
+    placed = v.voxels(spark, sf_dir).withColumn("volume", v.div("x", v.DEPTH)).select("lin", F.col("truth").alias("cluster"), _block().alias("block"))
+    return mws.face_pairs(_volume_edges(spark, sf_dir), placed)
+
+
+def _deep_boxes(spark, sf_dir) -> DataFrame:
+    box = [f(a).alias(f"{e}{a}") for a in "xyz" for e, f in (("low", F.min), ("last", F.max))]
+    return _deep_lattice(spark, sf_dir).groupBy("volume").agg(*box).select("volume", *(c for a in "xyz" for c in (f"low{a}", (F.col(f"last{a}") + 1).alias(f"high{a}"))))
+
+
+TILES = {"x": 10, "y": 12, "z": 10}
+BLOCKS_SQL = f"""{VOX}, bx AS (SELECT x // {v.DEPTH} AS volume, {', '.join(f'min({a}) AS low{a}, max({a}) + 1 AS high{a}' for a in 'xyz')} FROM vox GROUP BY ALL),
+{', '.join(f'k{a} AS (SELECT volume, unnest(range(0, CAST(ceil((high{a} - low{a}) / {n}.0) AS BIGINT))) AS i{a} FROM bx)' for a, n in TILES.items())},
+bl AS (SELECT volume, (ix * {1 << tiling.BITS} + iy) * {1 << tiling.BITS} + iz AS block, ix, iy, iz, {', '.join(f'low{a} + i{a} * {n} AS low{a}, least(low{a} + i{a} * {n} + {n}, high{a}) AS high{a}' for a, n in TILES.items())} FROM bx JOIN kx USING (volume) JOIN ky USING (volume) JOIN kz USING (volume))"""
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT * FROM bl")
+def block_tiling(spark, sf_dir):
+    """The blocks of every volume, multiples of a stride and a grain of 2."""
+    return tiling.blocks(_deep_boxes(spark, sf_dir), tuple(TILES.values()), stride=2, grain=2)
+
+
+@query(f"""WITH {BLOCKS_SQL} SELECT p.volume, p.block, axis, q.block AS "next" FROM bl p CROSS JOIN (VALUES ('x', 1, 0, 0), ('y', 0, 1, 0), ('z', 0, 0, 1)) s(axis, dx, dy, dz) JOIN bl q ON q.volume = p.volume AND q.ix = p.ix + dx AND q.iy = p.iy + dy AND q.iz = p.iz + dz""")
+def block_neighbours(spark, sf_dir):
+    return tiling.neighbours(tiling.blocks(_deep_boxes(spark, sf_dir), tuple(TILES.values()), stride=2, grain=2))
+
+
+@query()
+def mws_tiled(spark, sf_dir):
+    """Mutex watershed of volumes of twenty planes, by blocks and up the tree of blocks."""
+    edges = _edges(spark, sf_dir, keep=("volume", "x", "y", "z")).withColumn("volume", v.div("x", v.DEPTH))
+    edges = edges.filter(v.div("dst", v.DEPTH * v.STRIDES["x"]) == F.col("volume"))
+    return mws.tiled(_deep_lattice(spark, sf_dir).select("volume", "lin", "x", "y", "z"), edges, tuple(TILES.values()), lows={"x": F.col("volume") * v.DEPTH})
 
 
 # -- grids and boxes ------------------------------------------------------------------------------------------
@@ -662,4 +692,5 @@ def board_drift(spark, sf_dir):
     return sides[0].unionByName(sides[1])
 
 
-from . import scoring as _scoring  # noqa: E402, F401  (its queries join the catalogue)
+from . import plans as _plans  # noqa: E402, F401  (their queries join the catalogue)
+from . import scoring as _scoring  # noqa: E402, F401

@@ -41,10 +41,10 @@ def edges(voxels: DataFrame, shape: dict[str, int | Column], strides: dict[str,
 BLOCK = 1 << 16
 
 
-def _slab(shape: dict[str, int | Column], strides: dict[str, int]):
-    """Blocks of whole planes of the slowest axis, of about BLOCK voxels."""
-    plane = max(strides.values())
-    size = plane * max(1, BLOCK // plane)
+def slab(strides: dict[str, int]):
+    """Blocks of about BLOCK voxels that follow each other in ``lin``: planes of the slowest axis, or rows where a plane is larger."""
+    step = max((s for s in strides.values() if s <= BLOCK), default=1)
+    size = step * max(1, BLOCK // step)
     return lambda lin: F.floor(lin / size).cast("long")
 
 
@@ -65,7 +65,7 @@ def threshold_components(voxels: DataFrame, logit: float, shape: dict[str, int |
     axes = list(shape)
     ends = [F.when(above[i] & (F.col(a) + 1 < shape[a]), F.col("lin") + strides[a]) for i, a in enumerate(axes)]
     links = voxels.select(F.col("lin").alias("a"), F.explode(F.array_compact(F.array(*ends))).alias("b"))
-    roots = block_components(links, _slab(shape, strides))
+    roots = block_components(links, slab(strides))
     seeds = voxels.filter(above[0] | above[1] | above[2]).select(F.col("lin").alias("node"))
     nodes = seeds.union(links.select("b")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     labels = nodes.join(dense_ids(nodes, "root", "label"), "root").select(F.col("node").alias("lin"), "label")
@@ -79,5 +79,5 @@ def same_label_components(voxels: DataFrame, label: str, shape: dict[str, int |
     near = labelled.select(F.col("lin").alias("a"), F.col(label).alias("_own"), F.explode(F.array_compact(F.array(*ends))).alias("b"))
     other = labelled.select(F.col("lin").alias("b"), F.col(label).alias("_other"))
     links = near.join(other, "b").filter("_own = _other").select("a", "b")
-    found = labelled.select("lin", label).join(block_components(links, _slab(shape, strides)).withColumnRenamed("node", "lin"), "lin", "left")
+    found = labelled.select("lin", label).join(block_components(links, slab(strides)).withColumnRenamed("node", "lin"), "lin", "left")
     return found.select("lin", label, F.coalesce("root", "lin").alias("piece"))

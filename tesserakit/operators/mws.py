@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import cut
+from . import tiling
 from .components import dense_ids
 
 ORDER = ["priority", "offset", "src"]
@@ -94,20 +95,22 @@ def mutex_watershed(nodes: DataFrame, edges: DataFrame, by: str = "volume") -> D
     return nodes.groupBy(by).cogroup(edges.groupBy(by)).applyInPandas(run, f"{by} {kind}, lin long, segment long")
 
 
-def block_clusters(nodes: DataFrame, edges: DataFrame, block: str = "block") -> DataFrame:
+def block_clusters(nodes: DataFrame, edges: DataFrame, block: list[str] = ("block",)) -> DataFrame:
     """Rows (block, lin, cluster) and, with null lin, (block, cluster, other) for clusters that a mutex keeps apart."""
+    block = list(block)
 
     def run(key: tuple, node: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
         if not len(node):
-            return pd.DataFrame({block: [], "lin": [], "cluster": [], "other": []})
+            return pd.DataFrame({c: [] for c in (*block, "lin", "cluster", "other")})
         lin, least, apart = _segments(node["lin"].to_numpy(np.int64), edge)
-        none = pd.array([pd.NA], "Int64")
-        voxels = pd.DataFrame({block: key[0], "lin": pd.array(lin, "Int64"), "cluster": pd.array(least, "Int64"), "other": none.repeat(len(lin))})
-        kept = pd.DataFrame({block: key[0], "lin": none.repeat(len(apart)), "cluster": pd.array(apart[:, 0], "Int64"), "other": pd.array(apart[:, 1], "Int64")})
+        none, home = pd.array([pd.NA], "Int64"), dict(zip(block, key, strict=True))
+        voxels = pd.DataFrame(home | {"lin": pd.array(lin, "Int64"), "cluster": pd.array(least, "Int64"), "other": none.repeat(len(lin))})
+        kept = pd.DataFrame(home | {"lin": none.repeat(len(apart)), "cluster": pd.array(apart[:, 0], "Int64"), "other": pd.array(apart[:, 1], "Int64")})
         return pd.concat((voxels, kept))
 
-    kind = dict(nodes.dtypes)[block]
-    return nodes.groupBy(block).cogroup(edges.groupBy(block)).applyInPandas(run, f"{block} {kind}, lin long, cluster long, other long")
+    kinds = dict(nodes.dtypes)
+    head = ", ".join(f"{c} {kinds[c]}" for c in block)
+    return nodes.groupBy(*block).cogroup(edges.groupBy(*block)).applyInPandas(run, f"{head}, lin long, cluster long, other long")
 
 
 def face_pairs(edges: DataFrame, labels: DataFrame, by: str = "volume") -> DataFrame:
@@ -148,6 +151,90 @@ def blockwise(nodes: DataFrame, edges: DataFrame, block: Column, by: str = "volu
     kind = dict(nodes.dtypes)[by]
     joined = pairs.unionByName(kept).groupBy(by).applyInPandas(stitch, f"{by} {kind}, cluster long, _root long")
     named = cut(labels.join(joined, [by, "cluster"], "left").select(by, "lin", F.coalesce("_root", "cluster").alias("_root")), "segments")
+    return _numbered(named, by)
+
+
+def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the edges between two clusters the first in the watershed's order; the others cannot change anything."""
+    first = F.min_by(F.struct(*ORDER, "attractive"), F.struct(-F.col("priority"), "offset", "src"))
+    return rows.groupBy(*keys, "low", "high").agg(first.alias("e"), F.first("home").alias("home")).select(*keys, "low", "high", "home", "e.*")
+
+
+def _stitched(pairs: DataFrame, held: DataFrame, by: str) -> DataFrame:
+    """by, a, b, apart: in every group, each cluster and its root, and the roots that are kept apart."""
+    kind = dict(pairs.dtypes)[by]
+    empty = {"priority": F.lit(0.0), "offset": F.lit(0), "src": F.lit(0).cast("long"), "attractive": F.lit(False), "held": F.lit(True)}
+    fields = [by, "_group", "low", "high", *empty]
+    rows = pairs.withColumn("held", F.lit(False)).select(*fields).unionByName(held.withColumns(empty).select(*fields))
+
+    def run(key: tuple, edge: pd.DataFrame) -> pd.DataFrame:
+        rest = edge[~edge["held"]]
+        nodes, least, apart = _segments(rest[["low", "high"]].to_numpy(np.int64).ravel(), rest, edge[edge["held"]])
+        both = np.concatenate((np.stack((nodes, least), 1), apart))
+        return pd.DataFrame({by: key[0], "a": both[:, 0], "b": both[:, 1], "apart": np.arange(len(both)) >= len(nodes)})
+
+    return rows.groupBy(by, "_group").applyInPandas(run, f"{by} {kind}, a long, b long, apart boolean")
+
+
+def _renamed(rows: DataFrame, roots: DataFrame, by: str) -> DataFrame:
+    """Both ends by their roots, the lower one first."""
+    for end in ("low", "high"):
+        rows = rows.join(roots.select(by, F.col("a").alias(end), F.col("b").alias(f"_{end}")), [by, end], "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+    return rows.withColumn("_low", F.least("low", "high")).withColumn("high", F.greatest("low", "high")).withColumn("low", F.col("_low")).drop("_low")
+
+
+def tiled(voxels: DataFrame, edges: DataFrame, block: tuple[int, int, int], stride: int = 1, lows: dict[str, Column | int] | None = None, by: str = "volume") -> DataFrame:
+    """by, lin, segment: the watershed block by block, then up a tree of blocks that merges two halves along an axis at a time.
+
+    ``voxels``: by, lin, x, y, z (those missing are masked); ``edges`` as ``graph.edges`` gives them, with ``by``, x, y and z of
+    their source; ``lows``: where a volume begins along its axes. The result is that of one watershed whose edges are
+    ordered by the level of the tree at which both ends are first together, then by priority: with one block it is the
+    exact watershed. A merge holds the clusters that touch the face between its halves, the first edge of each two of them and
+    the mutexes among them, so no group holds more than a block or a face. Segments are numbered from 1 in each
+    volume, in raster order of their first voxels; ``lin`` is unique in a volume.
+    """
+    tiling.check(block, stride)
+    home = tiling.home(block, lows)
+    placed = voxels.select(by, "lin", home({a: F.col(a) for a in "xyz"}).alias("home"))
+    wired = edges.select(by, *ORDER, "dst", "attractive", home({a: F.col(a) for a in "xyz"}).alias("home"), home(tiling.ends()).alias("_other"))
+    inner = wired.filter("home = _other").drop("_other")
+    parts = cut(block_clusters(placed, inner, [by, "home"]), "blocks")
+    named = parts.filter("lin IS NOT NULL").select(by, "lin", "cluster")
+    ends = {e: named.select(by, F.col("lin").alias(e), F.col("cluster").alias(n)) for e, n in (("src", "low"), ("dst", "high"))}
+    crossing = wired.filter("home <> _other").withColumn("level", tiling.level(F.col("home"), F.col("_other")))
+    crossing = crossing.join(ends["src"], [by, "src"]).join(ends["dst"], [by, "dst"])
+    ordered = crossing.withColumn("_low", F.least("low", "high")).withColumn("high", F.greatest("low", "high")).withColumn("low", F.col("_low"))
+    cross = cut(_first(ordered, [by, "level"]), "faces")
+    held = parts.filter("lin IS NULL").select(by, F.col("cluster").alias("low"), F.col("other").alias("high"))
+    total = None
+    for level in sorted(r[0] for r in cross.select("level").distinct().collect()):  # at most three times the bits of a block's number
+        now = cross.filter(F.col("level") == level).withColumn("_group", tiling.above(F.col("home"), level))
+        nodes = now.select(by, "_group", F.col("low").alias("node")).union(now.select(by, "_group", "high")).distinct()
+        side = {e: nodes.select(by, F.col("node").alias(e), F.col("_group").alias(f"_of_{e}")) for e in ("low", "high")}
+        placed_held = held.join(side["low"], [by, "low"], "left").join(side["high"], [by, "high"], "left")
+        within = F.col("_of_low").isNotNull() & F.col("_of_high").isNotNull()
+        step = cut(_stitched(now, placed_held.filter(within).withColumn("_group", F.col("_of_low")), by), "stitch")
+        roots = step.filter("NOT apart").select(by, "a", "b")
+        cross = cut(_first(_renamed(cross.filter(F.col("level") > level), roots, by), [by, "level"]), "faces")
+        alive = cross.select(by, F.col("low").alias("node")).union(cross.select(by, "high")).distinct()
+        kept = _renamed(placed_held.filter(~within).select(by, "low", "high"), roots, by).union(step.filter("apart").select(by, "a", "b")).distinct()
+        for end in ("low", "high"):  # the others meet no edge any more
+            kept = kept.join(alive.withColumnRenamed("node", end), [by, end], "left_semi")
+        held = cut(kept.select(by, "low", "high"), "mutexes")
+        if total is None:
+            total = roots
+        else:
+            later = roots.select(by, F.col("a").alias("b"), F.col("b").alias("_later"))
+            new = roots.join(total.select(by, "a"), [by, "a"], "left_anti")
+            total = total.join(later, [by, "b"], "left").select(by, "a", F.coalesce("_later", "b").alias("b")).union(new)
+        total = cut(total, "roots")
+    if total is not None:
+        named = named.join(total.select(by, F.col("a").alias("cluster"), F.col("b").alias("_root")), [by, "cluster"], "left")
+        named = named.select(by, "lin", F.coalesce("_root", "cluster").alias("cluster"))
+    return _numbered(cut(named.withColumnRenamed("cluster", "_root"), "segments"), by)
+
+
+def _numbered(named: DataFrame, by: str) -> DataFrame:
     numbers = dense_ids(named, [by, "_root"], "_number")
     offsets = numbers.groupBy(by).agg(F.min("_number").alias("_least"))
     return named.join(numbers, [by, "_root"]).join(offsets, by).select(by, "lin", (F.col("_number") - F.col("_least") + 1).alias("segment"))
