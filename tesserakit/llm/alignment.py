@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -40,6 +40,8 @@ HOT = 1 << 19
 #: A pair of ids as one number.
 BASE = 1 << 24
 ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
+#: How byte-level BPE parts texts before merging: a fixed value of the format.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NAMES = [column.split()[0] for column in ALIGNED.split(", ")]
 
 
@@ -48,19 +50,9 @@ class Tokenizer:
 
     def __init__(self, path: str):
         if path.endswith(".json"):
-            from tokenizers import Tokenizer as Library
-
             with open(path, encoding="utf-8") as f:
                 raw = f.read()
-            library = Library.from_str(raw)
-            library.encode_special_tokens = True
-            back = {ord(c): b for b, c in byte_alphabet().items()}
-            vocab = json.loads(raw)["model"]["vocab"]
-            size = 1 + max(vocab.values())
-            table: list[bytes] = [b""] * size
-            for token, i in vocab.items():
-                table[i] = bytes(back.get(ord(c), 0) for c in token)
-            self.encode = lambda texts: [e.ids for e in library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            table, self.encode = _byte_level(raw)
         else:
             import sentencepiece
 
@@ -81,6 +73,31 @@ class Tokenizer:
         return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.bytes.take(flat)), b"")
 
 
+def _byte_level(raw: str) -> tuple[list[bytes], Callable[[list[str]], list[list[int]]]]:
+    """Bytes of the ids of a byte-level BPE file, and its encoder of texts with a space before them.
+
+    Where ids follow the order of merges, a token's id is its rank too, and the faster library of ranks gives the same ids.
+    """
+    file = json.loads(raw)
+    model, back = file["model"], {c: b for b, c in byte_alphabet().items()}
+    vocab = model["vocab"]
+    table = [b""] * (1 + max(vocab.values()))
+    for token, i in vocab.items():
+        table[i] = bytes(back.get(c, 0) for c in token)
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    usual = file["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if usual and file["normalizer"] is None and made == sorted(set(made)) and min(made) >= 256 and len(made) + 256 == len(vocab):
+        import tiktoken
+
+        ranks = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks={t: i for i, t in enumerate(table)}, special_tokens={})
+        return table, lambda texts: [ranks.encode_ordinary(" " + t) for t in texts]
+    from tokenizers import Tokenizer as Library
+
+    library = Library.from_str(raw)
+    library.encode_special_tokens = True
+    return table, lambda texts: [e.ids for e in library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+
 @lru_cache(maxsize=2)
 def tokenizers(a: str, b: str) -> tuple[Tokenizer, Tokenizer]:
     import os

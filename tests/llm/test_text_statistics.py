@@ -237,3 +237,14 @@ def test_batches_do_not_change_rows(small, monkeypatch):
     monkeypatch.setattr(alignment, "ROWS", 7)
     parts = [pa.table(alignment._rows(texts[s:e], a, b), names=alignment.NAMES).drop_columns(["pairs", "times"]) for s, e in alignment._batches([t or "" for t in texts])]
     assert pa.concat_tables(parts).to_pydict() == whole.to_pydict()
+
+
+def test_ranks_are_the_library(small):
+    """The library of ranks gives what the file's own library gives."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATHS[0])
+    library.encode_special_tokens = True
+    texts = [r["text"] for r in small.collect()] + [r[1] for r in ODD if r[1]] + ["é\u0301 ½²Ⅷ ０１２ \u2028 \u00a0x\u3000y 'S'll I'LL \x85 \x1c a" + " " * 300 + "b", "\u200d👩\u200d🚀 क्षि ﷺ ǆ ª"]
+    own = alignment.tokenizers(*PATHS)[0].encode(texts)
+    assert own == [e.ids for e in library.encode_batch([" " + t for t in texts], add_special_tokens=False)]
