@@ -113,7 +113,7 @@ def nearest(voxels: DataFrame, label: str, by: list[str] = (), asking=None) -> D
     def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ask, given = rows[rows["ask"]], rows[~rows["ask"]]
         if not len(ask) or not len(given):
-            return pd.DataFrame({c: [] for c in (*by, "lin", "d2", "near")})
+            return pd.DataFrame()
         low = int(rows["at"].min())
         lines, d2, _, near = _pass(given, low, int(rows["at"].max()) - low + 1)
         of = np.searchsorted(lines, wanted := ask["line"].to_numpy(np.int64))

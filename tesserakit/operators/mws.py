@@ -87,7 +87,7 @@ def mutex_watershed(nodes: DataFrame, edges: DataFrame, by: str = "volume") -> D
 
     def run(key: tuple, node: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
         if not len(node):
-            return pd.DataFrame({by: [], "lin": [], "segment": []})
+            return pd.DataFrame()
         lin, least, _ = _segments(node["lin"].to_numpy(np.int64), edge)
         return pd.DataFrame({by: key[0], "lin": lin, "segment": np.unique(least, return_inverse=True)[1] + 1})
 
@@ -101,12 +101,14 @@ def block_clusters(nodes: DataFrame, edges: DataFrame, block: list[str] = ("bloc
 
     def run(key: tuple, node: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
         if not len(node):
-            return pd.DataFrame({c: [] for c in (*block, "lin", "cluster", "other")})
+            return pd.DataFrame()
         lin, least, apart = _segments(node["lin"].to_numpy(np.int64), edge)
-        none, home = pd.array([pd.NA], "Int64"), dict(zip(block, key, strict=True))
-        voxels = pd.DataFrame(home | {"lin": pd.array(lin, "Int64"), "cluster": pd.array(least, "Int64"), "other": none.repeat(len(lin))})
-        kept = pd.DataFrame(home | {"lin": none.repeat(len(apart)), "cluster": pd.array(apart[:, 0], "Int64"), "other": pd.array(apart[:, 1], "Int64")})
-        return pd.concat((voxels, kept))
+        n, m = len(lin), len(apart)
+        known, pairs = np.arange(n + m) < n, np.concatenate((np.stack((lin, least), 1), apart))
+        column = lambda values, where: pd.arrays.IntegerArray(values.copy(), ~where)
+        return pd.DataFrame(dict(zip(block, key, strict=True)) | {
+            "lin": column(pairs[:, 0], known), "cluster": np.where(known, pairs[:, 1], pairs[:, 0]), "other": column(pairs[:, 1], ~known),
+        })
 
     kinds = dict(nodes.dtypes)
     head = ", ".join(f"{c} {kinds[c]}" for c in block)

@@ -204,7 +204,7 @@ class Mws(Filtered):
     def based(self, voxels: DataFrame, lattice: Lattice, bases: list[dict[str, Any]]) -> DataFrame:
         parts = []
         for i, b in enumerate(bases):
-            edges = graph.edges(voxels, lattice.ends, lattice.strides, b["repulsive_stride"], ["volume"])
+            edges = graph.edges(voxels, lattice.ends, lattice.strides, b["repulsive_stride"], ["volume", "x", "y", "z"])
             found = mws.tiled(voxels.select("volume", "lin", "x", "y", "z"), edges, self.block, b["repulsive_stride"])
             parts.append(voxels.select(*VOXEL).join(found, ["volume", "lin"]).select(F.lit(i).alias("_base"), *VOXEL, F.col("segment").alias("label")))
         return reduce(DataFrame.unionByName, parts)
