@@ -36,13 +36,14 @@ def bound(volumes: DataFrame, artifacts: DataFrame, name: str = "name") -> DataF
 def met(truth: DataFrame, prediction: DataFrame, by: list[str]) -> DataFrame:
     """Truth and prediction voxel by voxel (by, truth, pred); a voxel of one side only, or twice on a side, fails the job.
 
-    One shuffle: both sides are rows of one grouping by position, which tells repeated positions as well.
+    Each side is grouped by position, which shows repeated voxels, and joined as it is partitioned then: one shuffle a
+    side, and none for tables that are bucketed by ``by``.
     """
-    sides = truth.select(*by, F.col("truth").alias("_t"), F.lit(None).alias("_p"), F.lit(1).alias("_side")), prediction.select(*by, F.lit(None).alias("_t"), F.col("pred").alias("_p"), F.lit(2).alias("_side"))
-    count = lambda side: F.count_if(F.col("_side") == side)
-    both = sides[0].unionByName(sides[1]).groupBy(*by).agg(F.max("_t").alias("truth"), F.max("_p").alias("pred"), count(1).alias("_n1"), count(2).alias("_n2"))
-    both = refuse(both, (F.col("_n1") > 1) | (F.col("_n2") > 1), F.lit("a voxel is there twice"))
-    return refuse(both, (F.col("_n1") == 0) | (F.col("_n2") == 0), F.lit("truth and prediction differ in size")).select(*by, "truth", "pred")
+    a = truth.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.max("truth").alias("truth"), F.count("*").alias("_n1"))
+    b = prediction.groupBy(*by).agg(F.max("pred").alias("pred"), F.count("*").alias("_n2"))
+    same = reduce(lambda p, q: p & q, (F.col(c) == F.col(f"_{c}") for c in by))
+    both = refuse(a.join(b, same, "full_outer"), (F.col("_n1") > 1) | (F.col("_n2") > 1), F.lit("a voxel is there twice"))
+    return refuse(both, F.col("_n1").isNull() | F.col("_n2").isNull(), F.lit("truth and prediction differ in size")).select(*by, "truth", "pred")
 
 
 def instance_metrics(table: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:

@@ -51,6 +51,15 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         release(spark, path)
 
 
+def owned_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes with the ``scratch`` it was made in or with the application."""
+    path = _new_path(spark, name)
+    if _scratch.get() is None:
+        fs, target = _at(spark, path)
+        fs.deleteOnExit(target)
+    return path
+
+
 def write_cut(df: DataFrame, name: str, partition_by: list[str] = (), folder: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors.
 
