@@ -9,13 +9,15 @@ The multipliers solve the convex dual, whose gradient and curvature are sums ove
 size^2 * rate. Newton steps, on logarithms and held inside brackets, take these sums from a histogram (source,
 size, number), which one aggregation makes. The cap is part of the dual, so moments are met with it.
 
-Rates become copies by rounding with a random number of the row: floor(rate + u). Of OFFSETS shifts of these numbers
-the one that misses a source's target least is taken, and ROUNDS documents of a source make up for what is left. All of
-this is a function of the row and of its source's parameters, so texts are read and never shuffled.
+Rates become copies by rounding with a random number: rows equal in doc_id, source and text are one item of n rows that
+takes floor(n * rate + u) copies, as evenly as its rows can share them. Of OFFSETS shifts of these numbers the one that
+misses a source's target least is taken, and ROUNDS documents of a source make up for what is left. All of this is a
+function of the row and of its source's parameters, so texts are read and not shuffled; only rows that are repeated are
+set aside and numbered.
 
 Defined results: null and empty texts have size 0 and no copies; a text of any length counts whole; null sources are
-one source, the last; rows equal in doc_id, source and text are one item that gets the same copies each; of documents
-that make up equally well the one of least hash is taken; a source without words has target 0; an empty table gives no
+one source, the last; equal rows share their item's copies, so that they differ by one at most; of documents that make
+up equally well the one of least hash is taken; a source without words has target 0; an empty table gives no
 rows; other columns pass through, and columns named like the ones added are replaced.
 """
 
@@ -25,6 +27,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.components import dense_ids
 from .common import WORD, cut, fresh, release, write_cut
@@ -37,6 +40,8 @@ OFFSETS, ROUNDS = 64, 3
 MADE = ["size", "source_size", "target", "rate", "copies", "taken"]
 #: Tables of a row a source are broadcast up to so many sources; of more they are shuffled.
 BROADCAST_SOURCES = 100_000
+#: Items of several rows that are broadcast, at most: all of them, or else the largest.
+BROADCAST_ITEMS = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -107,10 +112,10 @@ def uniform(hashed: Column) -> Column:
     return hashed.bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
 
 
-def rounded(tilt: Column, size: Column, hashed: Column, offset: Column, cap: float) -> Column:
-    """Copies of a row: its rate, rounded by its random number."""
+def rounded(tilt: Column, size: Column, hashed: Column, offset: Column, cap: float, n: Column) -> Column:
+    """Copies of an item of n rows: their rates' sum, rounded by its random number."""
     u = uniform(hashed) + offset
-    return F.least(F.floor(rate(tilt, size, cap) + (u - F.floor(u))), F.lit(int(cap))).cast("int")
+    return F.least(F.floor(rate(tilt, size, cap) * n + (u - F.floor(u))), n * int(cap)).cast("long")
 
 
 def parameters(items: DataFrame, cap: float, weights: tuple[float, ...]) -> DataFrame:
@@ -129,8 +134,7 @@ def parameters(items: DataFrame, cap: float, weights: tuple[float, ...]) -> Data
 
     shifts = [k / OFFSETS for k in range(OFFSETS)]
     sized = joined(items.filter("size > 0"), tilts)
-    words = F.col("n") * F.col("size")
-    tries = [F.sum(rounded(F.col("tilt"), F.col("size"), F.col("hash"), F.lit(u), cap) * words).alias(f"_t{k}") for k, u in enumerate(shifts)]
+    tries = [F.sum(rounded(F.col("tilt"), F.col("size"), F.col("hash"), F.lit(u), cap, F.col("n")) * F.col("size")).alias(f"_t{k}") for k, u in enumerate(shifts)]
     tried = sized.groupBy("source").agg(F.max("target").alias("_target"), *tries)
     best = F.least(*(F.struct(F.abs(F.col(f"_t{k}") - F.col("_target")).alias("by"), F.lit(u).alias("offset"), F.col(f"_t{k}").alias("words")) for k, u in enumerate(shifts)))
     shifted = cut(joined(tilts, tried.select("source", best.alias("_best"))).select("source", "source_size", "target", "tilt", F.coalesce("_best.offset", F.lit(0.0)).alias("offset"), F.coalesce(F.col("target") - F.col("_best.words"), F.lit(0.0)).alias("miss")), "offsets")
@@ -139,9 +143,9 @@ def parameters(items: DataFrame, cap: float, weights: tuple[float, ...]) -> Data
     now = shifted.withColumn("evens", F.array().cast("array<struct<doc_id: long, hash: long, size: long, step: int>>".replace("long", dict(items.dtypes)["doc_id"], 1)))
     for _ in range(ROUNDS):
         near = joined(items.filter("size > 0"), now)
-        copies = rounded(F.col("tilt"), F.col("size"), F.col("hash"), F.col("offset"), cap) + evened(F.col("evens"), F.col("doc_id"), F.col("hash"), F.col("size"))
-        step = F.when((F.col("miss") > 0) & (copies < int(cap)), 1).when((F.col("miss") < 0) & (copies > 0), -1)
-        left = F.col("miss") - step * words
+        copies = rounded(F.col("tilt"), F.col("size"), F.col("hash"), F.col("offset"), cap, F.col("n")) + evened(F.col("evens"), F.col("doc_id"), F.col("hash"), F.col("size"))
+        step = F.when((F.col("miss") > 0) & (copies < F.col("n") * int(cap)), 1).when((F.col("miss") < 0) & (copies > 0), -1)
+        left = F.col("miss") - step * F.col("size")
         near = near.withColumn("step", step).withColumn("left", left).filter("step IS NOT NULL").filter(F.abs("left") < F.abs("miss"))
         one = near.groupBy("source").agg(F.min_by(F.struct("doc_id", "hash", "size", "step", "left"), F.struct(F.abs("left"), "hash", "doc_id")).alias("one"))
         evens = F.when(F.col("one").isNull(), F.col("evens")).otherwise(F.array_append("evens", F.struct(*(F.col(f"one.{c}").alias(c) for c in ("doc_id", "hash", "size", "step")))))
@@ -150,25 +154,58 @@ def parameters(items: DataFrame, cap: float, weights: tuple[float, ...]) -> Data
 
 
 def evened(evens: Column, doc_id: Column, hashed: Column, size: Column) -> Column:
-    """Copies more or less that a row takes to make up for its source."""
+    """Copies more or less that an item takes to make up for its source."""
     own = F.filter(evens, lambda e: e["doc_id"].eqNullSafe(doc_id) & (e["hash"] == hashed) & (e["size"] == size))
     return F.aggregate(own, F.lit(0), lambda total, e: total + e["step"])
 
 
+def numbered(rows: DataFrame, items: DataFrame, hashed: str, rows_of: str, place: str) -> DataFrame:
+    """Add how many rows a row's item has, and its place among them, from 0.
+
+    Items of several rows are few or are split: the largest are broadcast, so that what is shuffled has no hot key.
+    Their rows are set aside with the partition that they came from and numbered within it, behind the rows of those before.
+    """
+    part, own = fresh(rows, "part", "own")
+    several = items.filter("n > 1").select(F.struct("doc_id", "source", "hash").alias(own), F.col("n").alias(rows_of))
+    number = several.limit(BROADCAST_ITEMS + 1).count()
+    one = [F.lit(1).cast("long").alias(rows_of), F.lit(0).cast("long").alias(place)]
+    if not number:
+        return rows.select(*rows.columns, *one)
+    same = F.col("doc_id").eqNullSafe(F.col(f"{own}.doc_id")) & F.col("source").eqNullSafe(F.col(f"{own}.source")) & (F.col(hashed) == F.col(f"{own}.hash"))
+    large = several
+    if number > BROADCAST_ITEMS:
+        total = several.agg(F.sum(rows_of)).first()[0]
+        large = several.filter(F.col(rows_of) * BROADCAST_ITEMS > total)
+    met = rows.withColumn(part, F.spark_partition_id()).join(F.broadcast(large), same, "left")
+    if number > BROADCAST_ITEMS:
+        rest = met.filter(F.col(own).isNull()).drop(own, rows_of).join(several.join(F.broadcast(large.select(own)), own, "left_anti"), same, "left")
+        met = met.filter(F.col(own).isNotNull()).unionByName(rest)
+    aside = cut(met.filter(F.col(own).isNotNull()), "repeated")
+    counts = aside.groupBy(own, part).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(own).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(own).alias("_own"), F.col(part).alias("_part"), before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy(own, part).orderBy(F.lit(0))) - 1
+    told = aside.withColumn(place, within).join(starts, (F.col(own) == F.col("_own")) & (F.col(part) == F.col("_part")))
+    told = told.withColumn(place, F.col(place) + F.col("_before"))
+    return met.filter(F.col(own).isNull()).select(*rows.columns, *one).unionByName(told.select(*rows.columns, rows_of, place))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """Add size, source_size, target, rate, copies and taken to every row."""
     docs = docs.drop(*MADE)
-    hashed, own = fresh(docs, "hash", "of")
+    hashed, own, rows_of, place = fresh(docs, "hash", "of", "rows_of", "place")
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     sized = docs.withColumns({"size": size, hashed: F.xxhash64("doc_id", "text")})
     items = cut(sized.groupBy("doc_id", "source", "size", F.col(hashed).alias("hash")).agg(F.count("*").alias("n")), "items")
     found = cut(parameters(items, cap, weights), "mix")
     few = found.count() <= BROADCAST_SOURCES
     found = found.select(F.struct(*found.columns).alias(own))
-    out = sized.join(F.broadcast(found) if few else found, F.col("source").eqNullSafe(F.col(f"{own}.source")))
+    told = numbered(sized, items, hashed, rows_of, place)
+    out = told.join(F.broadcast(found) if few else found, F.col("source").eqNullSafe(F.col(f"{own}.source")))
     of = lambda c: F.col(f"{own}.{c}")
-    copies = rounded(of("tilt"), F.col("size"), F.col(hashed), of("offset"), cap)
-    copies = F.when(F.col("size") > 0, copies + evened(of("evens"), F.col("doc_id"), F.col(hashed), F.col("size"))).otherwise(0)
+    total = rounded(of("tilt"), F.col("size"), F.col(hashed), of("offset"), cap, F.col(rows_of)) + evened(of("evens"), F.col("doc_id"), F.col(hashed), F.col("size"))
+    spare = F.when(F.col(place) < total % F.col(rows_of), 1).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.floor(total / F.col(rows_of)) + spare).otherwise(0)
     made = {"source_size": of("source_size"), "target": of("target"), "rate": rate(of("tilt"), F.col("size"), cap), "copies": copies.cast("int")}
     out = out.withColumns(made).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
     return out.select(*docs.columns, *MADE)

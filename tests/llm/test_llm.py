@@ -216,6 +216,28 @@ def test_mixing(docs):
         assert abs(taken[s] - want[s]) <= max(0.02 * want[s], min(r.size for r in own))
 
 
+@pytest.mark.parametrize("broadcast_items", [mixing.BROADCAST_ITEMS, 1])
+def test_repeated_rows_meet_the_target(spark, monkeypatch, broadcast_items):
+    """Six hundred equal rows in place of one text each, a pair of rows, and rows without a doc_id."""
+    monkeypatch.setattr(mixing, "BROADCAST_ITEMS", broadcast_items)
+    rows = [(7, "w " * 40, "a")] * 600 + [(None, "v " * 9, "b")] * 30 + [(9, "pair here", "b")] * 2
+    rows += [(100 + i, "x " * (5 + i % 50), s) for i in range(400) for s in ("b", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("place", F.lit("own"))
+    sums = {}
+    for splits in (3, 8):
+        got = mixing.mix(docs.repartition(splits))
+        found = got.collect()
+        assert len(found) == len(rows) and {r.place for r in found} == {"own"}
+        for s in "abc":
+            own = [r for r in found if r.source == s]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 40 and own[0].source_size == sum(r.size for r in own)
+        for i in (7, None, 9):
+            assert max(c := [r.copies for r in found if r.doc_id == i]) - min(c) <= 1
+        assert all(r.copies <= 3 for r in found)
+        sums[splits] = sorted((str(r.doc_id), r.source, r.size, r.copies) for r in found)
+    assert sums[3] == sums[8]
+
+
 def test_targets_stop(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 1000), ("d", 5), (None, 100)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
