@@ -41,10 +41,17 @@ def digest(expression: Column) -> Column:
     return F.sha2(expression, 256)
 
 
-def expressions(urls: DataFrame, lengths: list[int]) -> DataFrame:
-    """One row for each (url, host suffix, path prefix) with its digest and short hash prefix."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels) - i), "."))
+def label_count(host: str) -> Column:
+    return F.length(host) - F.length(F.replace(F.col(host), F.lit("."))) + 1
+
+
+def expressions(urls: DataFrame, lengths: list[int], labels: list[int]) -> DataFrame:
+    """One row for each (url, host suffix, path prefix) with its digest and short hash prefix.
+
+    Suffixes and prefixes have as many labels and characters as some rule has, so a host of any length makes few.
+    """
+    counts = F.filter(F.array(*map(F.lit, labels)), lambda n: n <= label_count("host"))
+    suffixes = F.transform(counts, lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     sizes = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
     out = urls.filter("host <> ''").select("url", "path", F.explode(suffixes).alias("suffix"), sizes.alias("sizes"))
     out = out.select("url", "suffix", "path", F.explode("sizes").alias("n"))
@@ -57,17 +64,17 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """Add host, path, rule and verdict to every page by its ``url``."""
     listed = rules.select(
         F.concat("rule_host", "rule_path").alias("rule"), F.length("rule_host").alias("host_length"), "rule_verdict",
-        F.length("rule_path").alias("path_length"),
+        F.length("rule_path").alias("path_length"), label_count("rule_host").alias("labels"),
     ).withColumn("rule_full", digest(F.col("rule"))).withColumn("rule_short", F.substring("rule_full", 1, 8))
-    # the lengths of rules' paths: as many as a rule's path has characters at most
-    lengths = sorted(r[0] for r in listed.select("path_length").distinct().collect() if r[0] is not None)
+    # the lengths of rules' paths and hosts: as many as a rule has characters or labels at most
+    lengths, labels = (sorted(r[0] for r in listed.select(c).distinct().collect() if r[0] is not None) for c in ("path_length", "labels"))
     if listed.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         listed = F.broadcast(listed)
     host, path = host_and_path(F.col("url"))
     urls = pages.select("url").filter("url IS NOT NULL").distinct().select("url", host.alias("host"), path.alias("path"))
     best = F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), "host_length", "rule"))
     hits = (
-        expressions(urls, lengths or [0]).join(listed, F.col("short") == F.col("rule_short")).filter("full = rule_full")
+        expressions(urls, lengths or [0], labels or [1]).join(listed, F.col("short") == F.col("rule_short")).filter("full = rule_full")
         .groupBy("url").agg(best.alias("hit"))
     )
     pages = pages.drop("host", "path", "rule", "verdict")

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -351,6 +353,18 @@ def test_no_pair_escapes_the_chains(bits):
         assert any(simhash.near(np.array([x], np.uint64), k << 32, ring)[0] for k in hits)
 
 
+def test_places_do_not_depend_on_the_order_of_rows(spark):
+    """A place of more fingerprints than are compared in pairs gives the same links whatever the splits."""
+    draw = random.Random(5)
+    fps = [(0x0123456789ABCDEF ^ sum(1 << draw.randrange(40) for _ in range(3)),) for _ in range(120)]
+    found = []
+    for seed, splits in ((1, 1), (2, 7)):
+        random.Random(seed).shuffle(fps)
+        frame = spark.createDataFrame(fps, "fp long").distinct().repartition(splits)
+        found.append(sorted(map(tuple, simhash.links(frame, simhash.CANDIDATE_BITS, candidates=True).distinct().collect())))
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
 def test_similar(spark, docs):
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     base = "one two three four five six seven eight nine ten ".split() * 12
@@ -422,6 +436,19 @@ def test_neighbours_do_not_depend_on_splits(spark):
     assert [(r.rank, r.vec_id) for r in sorted(copies, key=lambda r: r.rank)] == [(i, 900_001) for i in range(1, 11)]
 
 
+def test_memory_of_a_full_block():
+    rows, dimension = ann_forest.MOST_ROWS, 64
+    x = np.random.default_rng(1).normal(size=(rows, dimension))
+    normals = ann_forest.planes(dimension)
+    tracemalloc.start()
+    forest = ann_forest.Forest(np.arange(rows), x, np.ones(rows, np.int64), normals, ann_forest.TREES, ann_forest.BITS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    some = slice(5_000, 5_100)
+    np.testing.assert_array_equal(ann_forest.strings(x[some] - forest.centre, normals, ann_forest.TREES), ann_forest.strings(x - forest.centre, normals, ann_forest.TREES)[:, some])
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [0.0, 1.0]), (100, [1.0, 0.0]), (8, [float("inf"), 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -441,6 +468,15 @@ def test_urls(spark):
     assert none.first().verdict == "allow"
 
 
+def test_hosts_of_many_labels(spark):
+    host = "a." * 50_000 + "example.org"
+    pages = spark.createDataFrame([(1, f"http://{host}/es/"), (2, f"http://{host}/en/2"), (3, "http://" + "." * 1_000 + "/de/"), (4, "http://.com/de/")], "page_id long, url string")
+    rules, began = url_filter.rule_table(spark), time.time()
+    got = {r.page_id: r.rule for r in url_filter.judge(pages, rules).collect()}
+    assert got == {1: "example.org/es/", 2: "org/", 3: None, 4: "com/de/"}
+    assert time.time() - began < 20  # most of it is the job's own
+
+
 def test_classifier_learns(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     rows = quality_cnn.query(docs, labels).join(labels, "doc_id").collect()
