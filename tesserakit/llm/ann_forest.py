@@ -34,8 +34,8 @@ TREES, BITS, BUDGET, K = 48, 32, 0.6, 10
 SEED = 7
 #: Rows of a block: a share of the table, so that blocks spread over the cluster, within these bounds.
 LEAST_ROWS, SHARE, MOST_ROWS = 256, 64, 65_536
-#: Queries that a task takes at a time.
-ROWS = 256
+#: Queries that a task takes at a time, and rows that it hashes at a time.
+ROWS, SLICE = 256, 2_048
 
 
 def taking_part(vectors: DataFrame, column: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -53,9 +53,13 @@ def planes(dimension: int, trees: int = TREES, bits: int = BITS, seed: int = SEE
 
 
 def strings(x: np.ndarray, normals: np.ndarray, trees: int) -> np.ndarray:
-    """Hash strings as integers (trees, rows), the first bit the highest."""
-    bits = (x @ normals > 0).reshape(len(x), trees, -1)
-    return (bits @ (1 << np.arange(bits.shape[2])[::-1])).T.astype(np.int64)
+    """Hash strings as integers (trees, rows), the first bit the highest; SLICE rows at a time."""
+    out = np.empty((trees, len(x)), np.int64)
+    for start in range(0, len(x), SLICE):
+        part = x[start : start + SLICE]
+        bits = (part @ normals > 0).reshape(len(part), trees, -1)
+        out[:, start : start + SLICE] = (bits @ (1 << np.arange(bits.shape[2])[::-1])).T
+    return out
 
 
 class Forest:
