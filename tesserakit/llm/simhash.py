@@ -140,7 +140,7 @@ def pairs(place: int, fps: np.ndarray, ring: Ring) -> list[tuple[np.ndarray, np.
 
 
 def link_runs(batches: Iterator[pa.RecordBatch], ring: Ring, candidates: bool = False) -> Iterator[pa.RecordBatch]:
-    """Links of rows (place, fp) that come sorted by place; of ``candidates`` all pairs where a place is small."""
+    """Links of rows (place, fp) that come sorted; of ``candidates`` all pairs where a place is small."""
 
     def done(place: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
@@ -174,7 +174,7 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, candidates: bool = False) -
     """(a, b): links between distinct fingerprints (column fp), enough of them to connect every component."""
     ring = Ring(bits)
     filed = places(distinct, ring)
-    filed = filed.repartition(shuffle_partitions(distinct.sparkSession), "place").sortWithinPartitions("place")
+    filed = filed.repartition(shuffle_partitions(distinct.sparkSession), "place").sortWithinPartitions("place", "fp")
     return filed.mapInArrow(lambda batches: link_runs(batches, ring, candidates), "a long, b long")
 
 
