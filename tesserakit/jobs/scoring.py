@@ -12,7 +12,7 @@ from ..functions import text
 from ..operators import board, metrics, scoring, skeletons
 from ..sources import layout, records
 from ..sources import volumes as v
-from ..sources.storage import table
+from ..sources.storage import owned_path, table
 from .catalog import BOX, CLS, CONF, CONT_V, SKEL, SUB, VOX, _pq_sql, query
 
 # -- volumes --------------------------------------------------------------------------------------------------
@@ -142,19 +142,21 @@ def perfect_run_length(spark, sf_dir):
 
 
 # -- boards, records, guards ----------------------------------------------------------------------------------
-def _submitted(spark, sf_dir) -> DataFrame:
-    rows = v.submissions(spark, sf_dir)
-    return rows.withColumn("identity", F.sha2("task", 256))
+#: A board's rows come from one half of the submissions, those that arrive from the other; of one task in three the identity is another.
+ADMISSION_SQL = f"""{SUB}, rw AS (SELECT *, CASE WHEN metric = 'pq' THEN 'old' ELSE 'new' END AS half FROM sub),
+bd AS (SELECT task, list_sort(list(DISTINCT region)) AS regions FROM rw WHERE half = 'old' AND task <> 'AFRICA' GROUP BY task), ar AS (SELECT task, list_sort(list(DISTINCT region)) AS own FROM rw WHERE half = 'new' GROUP BY task)
+SELECT rw.task, region, submission, ordinal, CASE WHEN bd.task IS NULL THEN NULL WHEN length(rw.task) % 3 = 0 THEN 'another task by the name of ' || rw.task WHEN own <> regions THEN 'other regions were scored for ' || rw.task END AS refused
+FROM rw JOIN ar USING (task) LEFT JOIN bd USING (task) WHERE half = 'new'"""
 
 
-@query(f"WITH {SUB} SELECT task, region, submission, ordinal, metric, value FROM sub WHERE ordinal % 2 = 0 AND task IN (SELECT task FROM sub WHERE ordinal % 2 = 1)")
+@query(f"WITH {ADMISSION_SQL}")
 def admission(spark, sf_dir):
-    """Submissions that arrive (the even ones) at boards that exist, by task identity and regions: a difference fails the job."""
-    rows = _submitted(spark, sf_dir)
-    named = rows.groupBy("task").agg(F.min("region").alias("region"))  # regions of a board: its first, for both sides
-    board_rows = rows.filter("ordinal % 2 = 1").drop("region").join(named, "task")
-    arriving = rows.filter("ordinal % 2 = 0").withColumnRenamed("region", "_home").join(named, "task").join(board_rows.select("task").distinct(), "task", "left_semi")
-    return scoring.admitted(board_rows, arriving).select("task", F.col("_home").alias("region"), "submission", "ordinal", "metric", "value")
+    """Submissions that arrive at boards, and why some are refused; a board that is new takes any."""
+    rows = v.submissions(spark, sf_dir).withColumn("identity", F.sha2("task", 256))
+    board_rows = rows.filter("metric = 'pq' AND task <> 'AFRICA'")
+    changed = F.when(F.length("task") % 3 == 0, F.sha2(F.concat("task", F.lit("'")), 256)).otherwise(F.col("identity"))
+    arriving = rows.filter("metric = 'voi'").withColumn("identity", changed)
+    return scoring.admissible(board_rows, arriving).select("task", "region", "submission", "ordinal", "refused")
 
 
 @query(f"WITH {SUB} SELECT task, submission AS identifier, region, metric, value FROM sub")
@@ -178,14 +180,30 @@ def listed_volumes(spark, sf_dir):
     return own.union(table(spark, sf_dir, "nation").filter("n_regionkey < 2").select("n_name")).distinct()
 
 
-@query("SELECT n.n_name AS inner_name, r.r_name AS outer_name FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_regionkey IS NULL OR n.n_nationkey IN (SELECT n_nationkey FROM nation GROUP BY n_nationkey HAVING count(*) > 1)")
+@query("""WITH m AS (SELECT DISTINCT o_orderpriority AS "group", o_custkey AS leaf FROM orders), h AS (SELECT leaf, list_sort(list(DISTINCT "group") FILTER ("group" NOT IN ('1-URGENT', '5-LOW'))) AS groups FROM m GROUP BY leaf)
+SELECT leaf, coalesce(array_to_string(groups, ','), '') AS groups FROM h WHERE coalesce(len(groups), 0) <> 1""")
 def nesting(spark, sf_dir):
-    """Members that no group holds or that several hold: none may be left."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    joined = n.join(r, n["n_regionkey"] == r["r_regionkey"], "left")
-    several = n.groupBy("n_nationkey").count().filter("count > 1").select("n_nationkey").withColumn("_several", F.lit(True))
-    bad = joined.join(several, "n_nationkey", "left").filter("r_regionkey IS NULL OR _several")
-    return bad.select(F.col("n_name").alias("inner_name"), F.col("r_name").alias("outer_name"))
+    """Leaves (customers) that no declared group (priorities, two of them undeclared) holds, or that several hold."""
+    members = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("group"), F.col("o_custkey").alias("leaf")).distinct()
+    found = scoring.misplaced(members, members.select("group").distinct().filter("group NOT IN ('1-URGENT', '5-LOW')"))
+    return found.select("leaf", F.array_join("groups", ",").alias("groups"))
+
+
+@query(f"WITH {SUB}, c AS (SELECT region, submission, CASE WHEN ordinal % 2 = 0 THEN 'fit' ELSE 'test' END AS split FROM sub) SELECT submission, split, region FROM c")
+def guarded_splits(spark, sf_dir):
+    """Submissions by split, each in one only, with regions that are all declared: rows pass guards that would fail the job."""
+    rows = v.submissions(spark, sf_dir).select("submission", F.when(F.col("ordinal") % 2 == 0, "fit").otherwise("test").alias("split"), "region")
+    declared = table(spark, sf_dir, "nation").select(F.col("n_name").alias("region"))
+    return scoring.known(scoring.disjoint(rows, "submission", "split"), "region", declared)
+
+
+@query(f"WITH {SUB} SELECT task, region AS identifier, submission AS region, metric, value FROM sub")
+def record_files(spark, sf_dir):
+    """Records written once, an identifier a folder, and scanned again."""
+    rows = v.submissions(spark, sf_dir).select("task", F.col("region").alias("identifier"), F.col("submission").alias("region"), "metric", "value")
+    folder = owned_path(spark, "records")
+    records.add(rows, folder)
+    return records.load(spark, folder)
 
 
 @query(f"WITH {SUB}, o AS (SELECT task, metric, submission, ordinal, value, row_number() OVER (PARTITION BY task, metric ORDER BY CASE WHEN metric = 'pq' THEN -coalesce(value, 0) ELSE coalesce(value, 0) END, ordinal) AS position FROM sub) SELECT task, metric, submission, position FROM o")

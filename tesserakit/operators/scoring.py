@@ -102,14 +102,53 @@ def score_skeletons(nodes: DataFrame, edges: DataFrame, sizes: tuple[float, ...]
     )
 
 
-def admitted(existing: DataFrame, arriving: DataFrame) -> DataFrame:
-    """``arriving`` (task, identity, region, ...) unless its tasks' identity or regions differ from the existing rows'."""
+def admissible(existing: DataFrame, arriving: DataFrame) -> DataFrame:
+    """``arriving`` (task, identity, region, ...) with ``refused``: why a row is not admitted; null where it is.
+
+    A task that is known keeps its identity and its set of regions; one that is new is admitted.
+    """
     known = existing.groupBy("task").agg(F.min("identity").alias("_identity"), F.array_sort(F.collect_set("region")).alias("_regions"))
     own = arriving.groupBy("task").agg(F.array_sort(F.collect_set("region")).alias("_own"))
     both = arriving.join(known, "task", "left").join(own, "task")
-    both = refuse(both, F.col("identity") != F.col("_identity"), F.concat(F.lit("another task by the name of "), F.col("task")))
-    both = refuse(both, F.col("_own") != F.col("_regions"), F.concat(F.lit("other regions were scored for "), F.col("task")))
-    return both.select(*arriving.columns)
+    why = F.when(F.col("identity") != F.col("_identity"), F.concat(F.lit("another task by the name of "), F.col("task")))
+    why = why.when(F.col("_own") != F.col("_regions"), F.concat(F.lit("other regions were scored for "), F.col("task")))
+    return both.select(*arriving.columns, why.alias("refused"))
+
+
+def admitted(existing: DataFrame, arriving: DataFrame) -> DataFrame:
+    """``arriving`` unless a row of it is refused, which fails the job."""
+    judged = admissible(existing, arriving)
+    return refuse(judged, F.col("refused").isNotNull(), F.col("refused")).drop("refused")
+
+
+def disjoint(rows: DataFrame, name: str, split: str) -> DataFrame:
+    """``rows`` unless a name is in several splits, which fails the job: what was fitted on must not be tested on."""
+    splits = rows.groupBy(F.col(name).alias("_name")).agg(F.array_sort(F.collect_set(split)).alias("_splits"))
+    both = rows.join(splits, F.col(name).eqNullSafe(F.col("_name")))
+    message = F.concat(F.col(name).cast("string"), F.lit(" is in "), F.array_join("_splits", " and "))
+    return refuse(both, F.size("_splits") > 1, message).select(*rows.columns)
+
+
+def known(rows: DataFrame, name: str, declared: DataFrame) -> DataFrame:
+    """``rows`` unless one has a name that is not ``declared`` (a column of that name), which fails the job."""
+    listed = declared.select(F.col(name).alias("_name")).distinct()
+    both = rows.join(listed, F.col(name) == F.col("_name"), "left")
+    return refuse(both, F.col("_name").isNull(), F.concat(F.lit("unknown name "), F.coalesce(F.col(name).cast("string"), F.lit("null")))).select(*rows.columns)
+
+
+def misplaced(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(leaf, groups): leaves of ``members`` (group, leaf) that no declared group holds or several hold."""
+    held = members.join(groups.select(F.col("group").alias("_group")).distinct(), F.col("group") == F.col("_group"), "left")
+    found = held.groupBy("leaf").agg(F.array_sort(F.collect_set("_group")).alias("groups"))
+    return found.filter(F.size("groups") != 1)
+
+
+def nested(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``members`` unless a leaf is misplaced, which fails the job."""
+    bad = misplaced(members, groups).select(F.col("leaf").alias("_leaf"), "groups")
+    both = members.join(bad, F.col("leaf") == F.col("_leaf"), "left")
+    message = F.concat(F.col("leaf").cast("string"), F.lit(" is held by "), F.when(F.size("groups") == 0, F.lit("no group")).otherwise(F.array_join("groups", " and ")))
+    return refuse(both, F.col("_leaf").isNotNull(), message).select(*members.columns)
 
 
 def symmetric_difference(found: DataFrame, expected: DataFrame) -> DataFrame:

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scoring import refuse, require_none
+from .storage import release
 
 VERSION = 3
 SCHEMA = "version int, task string, identifier string, region string, metric string, value double"
 
 
-def lines(rows: DataFrame) -> DataFrame:
-    """The records (task, identifier, region, metric, value) as JSON lines in ``value``."""
-    return rows.select(F.to_json(F.struct(F.lit(VERSION).alias("version"), "task", "identifier", "region", "metric", "value")).alias("value"))
+def lines(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """The records (task, identifier, region, metric, value) as JSON lines in ``value``, and ``keys`` beside them."""
+    line = F.to_json(F.struct(F.lit(VERSION).alias("version"), "task", "identifier", "region", "metric", "value")).alias("value")
+    return rows.select(line, *(F.col(k).alias(f"of_{k}") for k in keys))
 
 
 def parsed(found: DataFrame, task: str | None = None) -> DataFrame:
     """Records of JSON lines; a line that is none, another version, or another task than asked for fails the job."""
-    rows = found.select(F.from_json("value", SCHEMA).alias("r")).select("r.*")
+    return _checked(found.select(F.from_json("value", SCHEMA).alias("r")).select("r.*"), task)
+
+
+def _checked(rows: DataFrame, task: str | None) -> DataFrame:
     rows = refuse(rows, ~F.col("version").eqNullSafe(F.lit(VERSION)), F.concat(F.lit("a record of version "), F.coalesce(F.col("version").cast("string"), F.lit("unknown"))))
     if task is not None:
         rows = refuse(rows, ~F.col("task").eqNullSafe(F.lit(task)), F.lit(f"a record of another task than {task}"))
@@ -26,15 +34,50 @@ def parsed(found: DataFrame, task: str | None = None) -> DataFrame:
 
 
 def load(spark: SparkSession, folder: str, task: str | None = None) -> DataFrame:
-    return parsed(spark.read.text(folder), task)
+    """Records of the files in ``folder``; a line that is no record fails the job, as does what ``parsed`` refuses."""
+    found = spark.read.schema(f"{SCHEMA}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(folder)
+    found = refuse(found, F.col("_corrupt").isNotNull(), F.concat(F.lit("no record: "), F.substring("_corrupt", 1, 80)))
+    return _checked(found.drop("_corrupt"), task)
 
 
 def add(rows: DataFrame, folder: str) -> None:
-    """Append records; an identifier that the folder or the rows themselves hold already is refused."""
-    require_none(rows.groupBy("task", "identifier", "region", "metric").count().filter("count > 1"), "records given twice")
+    """Add records: a folder for each task and identifier, which comes into being whole or not at all.
+
+    They are written aside and renamed to their place, which only one of several writers of an identifier can do; the
+    others take back what they have placed and fail. A submission is a handful of identifiers, and these are renamed one
+    by one.
+    """
+    keys = ["task", "identifier"]
+    require_none(rows.groupBy(*keys, "region", "metric").count().filter("count > 1"), "records given twice")
+    require_none(rows.filter("task IS NULL OR identifier IS NULL").select(*keys), "records without a task or an identifier")
     spark = rows.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        known = load(spark, folder).select("task", "identifier").distinct()
-        require_none(rows.select("task", "identifier").distinct().join(known, ["task", "identifier"], "left_semi"), "identifiers exist already")
-    lines(rows).write.mode("append").text(folder)
+    aside = f"{folder.rstrip('/')}/_{uuid.uuid4().hex}"  # scans leave names like this out
+    lines(rows, keys).write.partitionBy(*(f"of_{k}" for k in keys)).text(aside)
+    try:
+        _place(spark, aside, folder)
+    finally:
+        release(spark, aside)
+
+
+def _place(spark: SparkSession, aside: str, folder: str) -> None:
+    jvm = spark._jvm
+    fs, path = jvm.org.apache.hadoop.fs, jvm.org.apache.hadoop.fs.Path
+    at = path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    context = fs.FileContext.getFileContext(files.makeQualified(at).toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    none[0] = getattr(fs, "Options$Rename").NONE  # never over another one
+    placed = []
+    try:
+        for task in files.listStatus(path(aside)):
+            if not task.isDirectory():
+                continue
+            files.mkdirs(path(at, task.getPath().getName()))
+            for one in files.listStatus(task.getPath()):
+                target = path(path(at, task.getPath().getName()), one.getPath().getName())
+                context.rename(files.makeQualified(one.getPath()), files.makeQualified(target), none)
+                placed.append(target)
+    except Py4JJavaError as e:
+        for target in placed:
+            files.delete(target, True)
+        raise ValueError(f"identifiers exist already: {target.getParent().getName()}/{target.getName()}") from e

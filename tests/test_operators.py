@@ -1,6 +1,7 @@
 """Operators on cases with known answers."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -280,11 +281,58 @@ def test_records_are_written_once(spark, tmp_path):
         records.add(rows, folder)
     with pytest.raises(Exception, match="another task"):
         records.load(spark, folder, "u").collect()
+    with pytest.raises(ValueError, match="exist already"):  # one of two is there: neither is added
+        records.add(rows.unionByName(rows.withColumn("identifier", F.lit("0"))), folder)
+    assert records.load(spark, folder).select("identifier").distinct().count() == 2
+    for bad, says in ((rows.union(rows), "given twice"), (rows.withColumn("identifier", F.lit(None).cast("string")), "without")):
+        with pytest.raises(ValueError, match=says):
+            records.add(bad, folder)
+    spark.createDataFrame([("{no json",)], "value string").write.text(f"{folder}/broken")
+    with pytest.raises(Exception, match="no record: {no json"):
+        records.load(spark, folder).collect()
+    storage.release(spark, f"{folder}/broken")
     spark.createDataFrame([('{"version": 2, "task": "t"}',)], "value string").write.mode("append").text(folder)
     with pytest.raises(Exception, match="version 2"):
         records.load(spark, folder).collect()
 
 
+def test_of_many_writers_one_adds(spark, tmp_path):
+    folder, went = f"file://{tmp_path}/records", []
+
+    def write(k):
+        rows = spark.createDataFrame([("t", "same name", f"r{k}", "pq", float(k)), ("t", f"own{k}", "r", "pq", 1.0)], "task string, identifier string, region string, metric string, value double")
+        try:
+            records.add(rows, folder)
+            went.append(k)
+        except ValueError as e:
+            assert "exist already" in str(e)
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    found = sorted((r["identifier"], r["region"]) for r in records.load(spark, folder).collect())
+    assert len(went) == 1 and found == [(f"own{went[0]}", "r"), ("same name", f"r{went[0]}")]
+
+
+def test_guards_fail(spark):
+    rows = spark.createDataFrame([("a", "fit"), ("b", "test"), ("b", "test")], "name string, split string")
+    assert scoring.disjoint(rows, "name", "split").count() == 3
+    with pytest.raises(Exception, match="b is in fit and test"):
+        scoring.disjoint(rows.union(rows.filter("name = 'b'").withColumn("split", F.lit("fit"))), "name", "split").collect()
+    declared = rows.select("name")
+    assert scoring.known(rows, "name", declared).count() == 3
+    with pytest.raises(Exception, match="unknown name a"):
+        scoring.known(rows, "name", declared.filter("name <> 'a'")).collect()
+    members = spark.createDataFrame([("g", 1), ("g", 2), ("h", 3)], "group string, leaf int")
+    assert scoring.nested(members, members).count() == 3
+    with pytest.raises(Exception, match="2 is held by g and h"):
+        scoring.nested(members.union(spark.createDataFrame([("h", 2)], members.schema)), members).collect()
+    with pytest.raises(Exception, match="3 is held by no group"):
+        scoring.nested(members, members.filter("group = 'g'")).collect()
+
+
 def test_ignored_sizes(spark):
     nodes = [(1, i, 7) for i in range(6)] + [(2, 10 + i, 7) for i in range(3)]
     nodes = spark.createDataFrame(nodes, "skel long, node long, seg long")
