@@ -692,6 +692,7 @@ def board_drift(spark, sf_dir):
     return sides[0].unionByName(sides[1])
 
 
-from . import geometry as _geometry  # noqa: E402, F401  (their queries join the catalogue)
+from . import checks as _checks  # noqa: E402, F401  (their queries join the catalogue)
+from . import geometry as _geometry  # noqa: E402, F401
 from . import plans as _plans  # noqa: E402, F401
 from . import scoring as _scoring  # noqa: E402, F401

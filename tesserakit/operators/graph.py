@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,18 +56,39 @@ def threshold_of(logit: float) -> float:
     return 1 / (1 + math.exp(-0.2 * logit))
 
 
-def threshold_components(voxels: DataFrame, logit: float, shape: dict[str, int | Column], strides: dict[str, int]) -> DataFrame:
+#: Types that affinities are stored in, and how numbers are rounded to them.
+STORED = {"double": np.float64, "float": np.float32, "half": np.float16}
+
+
+def above(affinity: Column, logit: float, stored: str = "double") -> Column:
+    """Whether an affinity that was ``stored`` in a type is above a logit's threshold, which is rounded to that type first.
+
+    So a value that the rounded threshold meets is not above it, though it may be above the threshold in double
+    precision.
+    """
+    return affinity.cast("double") > F.lit(float(STORED[stored](threshold_of(logit))))
+
+
+def half(bits: Column) -> Column:
+    """The number that 16 bits hold in half precision (a sign, five bits of exponent, ten of fraction); infinite and NaN as such."""
+    sign = F.when(bits.bitwiseAND(0x8000) != 0, -1.0).otherwise(1.0)
+    exponent, fraction = F.shiftright(bits, 10).bitwiseAND(0x1F), bits.bitwiseAND(0x3FF)
+    finite = F.when(exponent == 0, fraction * F.lit(2.0**-24)).otherwise((1 + fraction / F.lit(1024.0)) * F.pow(F.lit(2.0), exponent - 15))
+    return sign * F.when(exponent < 31, finite).when(fraction == 0, float("inf")).otherwise(float("nan"))
+
+
+def threshold_components(voxels: DataFrame, logit: float, shape: dict[str, int | Column], strides: dict[str, int], stored: str = "double") -> DataFrame:
     """lin, label: six-neighbour components of affinities above the threshold, numbered in raster order; 0 elsewhere.
 
     A voxel is foreground if any of its three outgoing affinities is above, even where the edge leaves the volume,
     or if an edge reaches it.
     """
-    above = [F.col(f"a{i}") > threshold_of(logit) for i in range(3)]
+    taken = [above(F.col(f"a{i}"), logit, stored) for i in range(3)]
     axes = list(shape)
-    ends = [F.when(above[i] & (F.col(a) + 1 < shape[a]), F.col("lin") + strides[a]) for i, a in enumerate(axes)]
+    ends = [F.when(taken[i] & (F.col(a) + 1 < shape[a]), F.col("lin") + strides[a]) for i, a in enumerate(axes)]
     links = voxels.select(F.col("lin").alias("a"), F.explode(F.array_compact(F.array(*ends))).alias("b"))
     roots = block_components(links, slab(strides))
-    seeds = voxels.filter(above[0] | above[1] | above[2]).select(F.col("lin").alias("node"))
+    seeds = voxels.filter(taken[0] | taken[1] | taken[2]).select(F.col("lin").alias("node"))
     nodes = seeds.union(links.select("b")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     labels = nodes.join(dense_ids(nodes, "root", "label"), "root").select(F.col("node").alias("lin"), "label")
     return voxels.select("lin").join(labels, "lin", "left").select("lin", F.coalesce("label", F.lit(0)).cast("long").alias("label"))

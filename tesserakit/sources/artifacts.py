@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .verify import publish
+
 #: Kinds of predictions, and whether they are finished labellings.
 KINDS = {"affinities": False, "scores": False, "instances": True, "classes": True}
 
@@ -29,12 +31,12 @@ class Declaration:
 
 
 def write(df: DataFrame, path: str, declared: Declaration, partition_by: list[str] = ()) -> None:
-    """Write once (an existing path is an error), read back, and compare numbers of rows and a checksum."""
+    """Write once (an existing path is an error), read back, and compare numbers of rows and a checksum; labels that are null or negative are refused."""
     declared.check(df)
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
-    mark = [F.count("*"), F.sum(F.xxhash64("lin", declared.column).cast("decimal(38,0)"))]
-    if df.agg(*mark).first() != df.sparkSession.read.parquet(path).agg(*mark).first():
-        raise OSError(f"{path} does not hold what was written")
+    guards = {"a voxel without a number": F.col("lin").isNull()}
+    if KINDS[declared.kind]:
+        guards |= {"a null label": F.col(declared.column).isNull(), "a negative label": (F.col(declared.column) < 0) & (F.col(declared.column) != declared.background)}
+    publish(df, path, guards, partition_by, ["lin", declared.column])
 
 
 def read(spark: SparkSession, path: str, declared: Declaration, low: int | None = None, high: int | None = None) -> DataFrame:

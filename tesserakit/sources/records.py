@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scoring import refuse, require_none
-from .storage import release
+from .storage import release, rename_new
 
 VERSION = 3
 SCHEMA = "version int, task string, identifier string, region string, metric string, value double"
@@ -60,24 +60,15 @@ def add(rows: DataFrame, folder: str) -> None:
 
 
 def _place(spark: SparkSession, aside: str, folder: str) -> None:
-    jvm = spark._jvm
-    fs, path = jvm.org.apache.hadoop.fs, jvm.org.apache.hadoop.fs.Path
-    at = path(folder)
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    context = fs.FileContext.getFileContext(files.makeQualified(at).toUri(), spark._jsc.hadoopConfiguration())
-    none = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
-    none[0] = getattr(fs, "Options$Rename").NONE  # never over another one
-    placed = []
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(aside).getFileSystem(spark._jsc.hadoopConfiguration())
+    placed, target = [], ""
     try:
         for task in files.listStatus(path(aside)):
-            if not task.isDirectory():
-                continue
-            files.mkdirs(path(at, task.getPath().getName()))
-            for one in files.listStatus(task.getPath()):
-                target = path(path(at, task.getPath().getName()), one.getPath().getName())
-                context.rename(files.makeQualified(one.getPath()), files.makeQualified(target), none)
+            for one in files.listStatus(task.getPath()) if task.isDirectory() else []:
+                target = f"{task.getPath().getName()}/{one.getPath().getName()}"
+                rename_new(spark, one.getPath().toString(), f"{folder.rstrip('/')}/{target}")
                 placed.append(target)
     except Py4JJavaError as e:
-        for target in placed:
-            files.delete(target, True)
-        raise ValueError(f"identifiers exist already: {target.getParent().getName()}/{target.getName()}") from e
+        release(spark, *(f"{folder.rstrip('/')}/{t}" for t in placed))
+        raise ValueError(f"identifiers exist already: {target}") from e

@@ -60,6 +60,18 @@ def owned_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def rename_new(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder to a place where nothing is yet; one of several that try at once does."""
+    options = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    none = spark.sparkContext._gateway.new_array(options, 1)
+    none[0] = options.NONE  # never over another one
+    files, to = _at(spark, target)
+    to = files.makeQualified(to)
+    files.mkdirs(to.getParent())
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(files.makeQualified(_at(spark, source)[1]), to, none)
+
+
 def write_cut(df: DataFrame, name: str, partition_by: list[str] = (), folder: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors.
 
