@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
 from ..functions.text import describe_filter, run_identifier
 from ..operators import board, graph, grids, labels, metrics, mws, skeletons, tiling
 from ..sources import volumes as v
@@ -624,7 +625,7 @@ def unknown_names(spark, sf_dir):
     return n.select(F.col("n_name").alias("region")).exceptAll(known.distinct()).distinct()
 
 
-@query("""SELECT p_partkey AS part, 'identity(' || CASE WHEN p_size % 3 = 0 AND p_size % 4 = 0 THEN 'no filter' ELSE array_to_string(list_filter([CASE WHEN p_size % 3 > 0 THEN 'min_size=' || (p_size % 3) END, CASE WHEN p_size % 4 > 0 THEN 'fill=' || (p_size % 4) END], lambda x: x IS NOT NULL), ', ') END || ')' AS described,
+@query("""SELECT p_partkey AS part, 'identity(' || CASE WHEN p_size % 3 = 0 AND p_size % 4 = 0 THEN 'no filter' ELSE array_to_string(list_filter([CASE WHEN p_size % 3 > 0 THEN 'min_size=' || (p_size % 3) END, CASE WHEN p_size % 4 > 0 THEN 'fill_distance=' || (p_size % 4) END], lambda x: x IS NOT NULL), ', ') END || ')' AS described,
 string_split('runs/' || p_brand, '/')[-1] || '.step' || p_size || '.' || lower(p_type) AS identifier FROM part""")
 def setting_strings(spark, sf_dir):
     rows = table(spark, sf_dir, "part")
@@ -632,13 +633,46 @@ def setting_strings(spark, sf_dir):
     return rows.select(F.col("p_partkey").alias("part"), describe_filter(F.col("p_size") % 3, F.col("p_size") % 4).alias("described"), name.alias("identifier"))
 
 
+@query("""WITH p AS (SELECT *, p_size % 3 AS m, p_size % 4 AS f, p_size % 12 - 2 AS g FROM part)
+SELECT p_partkey AS part, CASE p_size % 3 WHEN 0 THEN 'cc_threshold(logit=' || CASE WHEN g < 0 THEN '' ELSE '+' END || g || ', thr=' || printf('%.4f', 1 / (1 + exp(-0.2 * g))) || CASE WHEN m > 0 THEN ', min_size=' || m ELSE '' END || CASE WHEN f > 0 THEN ', fill_distance=' || f ELSE '' END || ')'
+WHEN 1 THEN 'mws(repulsive_stride=' || (g + 3) || CASE WHEN m > 0 THEN ', min_size=' || m ELSE '' END || CASE WHEN f > 0 THEN ', fill=' || f ELSE '' END || ')'
+ELSE 'mws_blockwise(repulsive_stride=' || (g + 3) || ', block=[' || (g + 3) * 8 || ', 64, ' || p_size || ']' || CASE WHEN m > 0 THEN ', min_size=' || m ELSE '' END || ')' END AS described,
+CASE WHEN p_size % 7 = 0 THEN p_brand ELSE CASE WHEN p_size % 5 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 'submission' ELSE lower(p_type) END ELSE p_brand END || CASE WHEN p_size % 11 = 0 THEN '' ELSE '.step' || p_size END || '.' || CASE WHEN p_size % 13 = 0 THEN 'unknown' ELSE 'route' END END AS identifier FROM p""")
+def route_strings(spark, sf_dir):
+    """Settings of every route in words, and identifiers where the run, the step or the route is not known."""
+    size = F.col("p_size")
+    m, f, g = size % 3, size % 4, size % 12 - 2
+    described = F.when(size % 3 == 0, text.describe_threshold(g, m, f)).when(size % 3 == 1, text.describe_watershed(g + 3, F.lit(None).cast("array<int>"), m, f)).otherwise(text.describe_watershed(g + 3, F.array((g + 3) * 8, F.lit(64), size), m, f))
+    run = F.when(size % 5 != 0, F.concat(F.lit("runs/"), "p_brand", F.lit("/")))
+    name = text.run_identifier(
+        run, F.when(size % 11 != 0, size), F.when(size % 13 != 0, "route"), F.when(size % 7 == 0, F.col("p_brand")), F.when(size % 2 != 0, F.concat(F.lit("a/b/"), F.lower("p_type"))), F.lit("")
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), described.alias("described"), name.alias("identifier"))
+
+
+@query(f"""WITH {SUB}, k AS (SELECT task, region, count(*) AS n, min(ordinal) AS first FROM sub GROUP BY ALL)
+SELECT task, string_agg(region || ' ' || CASE WHEN n % 4 = 0 THEN '?' ELSE n || 'x' || first END || CASE WHEN n % 3 = 0 THEN '' ELSE ' (sub-region)' END, '; ' ORDER BY region) AS key,
+sha256('{{"volumes":[' || string_agg('{{"name":"' || region || '","label_key":' || CASE WHEN n % 2 = 0 THEN 'null' ELSE '"l' || n || '"' END || ',"bounding_box":[[0,' || n || '],[1,' || first || ']]}}', ',' ORDER BY region) || '],"metric":"voxel_instance","key":"pq","settings":{{"iou_threshold":0.5,"ignore":null}}}}') AS identity FROM k GROUP BY task""")
+def task_records(spark, sf_dir):
+    """Of every task the key of its regions and their extents, and the digest of its canonical identity."""
+    rows = v.submissions(spark, sf_dir).groupBy("task", "region").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))
+    shape = F.when(F.col("n") % 4 != 0, F.array("n", F.col("first").cast("long")))
+    regions = F.collect_list(F.struct(F.col("region").alias("name"), shape.alias("shape"), (F.col("n") % 3 == 0).alias("whole")))
+    box = F.array(F.array(F.lit(0).cast("long"), "n"), F.array(F.lit(1).cast("long"), F.col("first").cast("long")))
+    truths = F.collect_list(F.struct(F.col("region").alias("name"), F.when(F.col("n") % 2 != 0, F.concat(F.lit("l"), F.col("n").cast("string"))).alias("label_key"), box.alias("bounding_box")))
+    found = rows.groupBy("task").agg(regions.alias("regions"), truths.alias("truths"))  # regions of a task
+    settings = F.struct(F.lit(0.5).alias("iou_threshold"), F.lit(None).cast("int").alias("ignore"))
+    identity = text.task_identity(F.col("truths"), F.lit("voxel_instance"), F.lit("pq"), settings)
+    return found.select("task", text.region_key(F.col("regions")).alias("key"), F.sha2(identity, 256).alias("identity"))
+
+
 @query(f"WITH {SUB} SELECT task, sha256(string_agg(region || ' ' || n, '; ' ORDER BY region)) AS identity FROM (SELECT task, region, count(*) AS n FROM sub GROUP BY ALL) GROUP BY task")
 def task_identity(spark, sf_dir):
     """A digest of a task's sorted regions and how many rows each has: equal tasks have equal digests."""
     counts = v.submissions(spark, sf_dir).groupBy("task", "region").agg(F.count("*").alias("n"))
     sorted_ = F.array_sort(F.collect_list(F.struct("region", "n")))
-    text = F.array_join(F.transform(sorted_, lambda r: F.concat_ws(" ", r["region"], r["n"].cast("string"))), "; ")
-    return counts.groupBy("task").agg(F.sha2(text, 256).alias("identity"))
+    shown = F.array_join(F.transform(sorted_, lambda r: F.concat_ws(" ", r["region"], r["n"].cast("string"))), "; ")
+    return counts.groupBy("task").agg(F.sha2(shown, 256).alias("identity"))
 
 
 # -- names, grids of settings, drift --------------------------------------------------------------------------

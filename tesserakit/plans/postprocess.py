@@ -84,6 +84,13 @@ def sizes(values: tuple) -> list[int]:
     return sorted(set(values))
 
 
+def add_ons(settings: dict[str, Any], fill: str = "fill_distance") -> list[str]:
+    """A minimum size and a fill distance as descriptions show them, where they are on."""
+    shown = [f"min_size={settings['min_size']}"] if settings["min_size"] else []
+    far = settings["fill"]
+    return shown + ([f"{fill}={far}" if far == "all" else f"{fill}={far:g}"] if far else [])
+
+
 class Filtered(Postprocessor):
     """Labellings (``bases``), and of each of them every minimum size and fill distance.
 
@@ -147,6 +154,9 @@ class Identity(Filtered):
     def __init__(self, min_sizes: tuple[int, ...] = (0,), fill_distances: tuple[int | float | str, ...] = (0,)):
         self.min_sizes, self.fills = sizes(min_sizes), distances(fill_distances)
 
+    def describe(self, settings: dict[str, Any]) -> str:
+        return f"identity({', '.join(add_ons(settings)) or 'no filter'})"
+
     def based(self, voxels: DataFrame, lattice: Lattice, bases: list[dict[str, Any]]) -> DataFrame:
         return voxels.select(F.lit(0).alias("_base"), *VOXEL, F.col("pred").cast("long").alias("label"))
 
@@ -167,10 +177,7 @@ class CcThreshold(Filtered):
         return [{"logit": v} for v in self.logits]
 
     def describe(self, settings: dict[str, Any]) -> str:
-        shown = [f"logit={settings['logit']:+g}", f"thr={graph.threshold_of(settings['logit']):.4f}"]
-        shown += [f"min_size={settings['min_size']}"] if settings["min_size"] else []
-        shown += [f"fill={settings['fill']}" if settings["fill"] == "all" else f"fill={settings['fill']:g}"] if settings["fill"] else []
-        return f"cc_threshold({', '.join(shown)})"
+        return f"cc_threshold({', '.join([f'logit={settings['logit']:+g}', f'thr={graph.threshold_of(settings['logit']):.4f}', *add_ons(settings)])})"
 
     def based(self, voxels: DataFrame, lattice: Lattice, bases: list[dict[str, Any]]) -> DataFrame:
         """One search for components holds all thresholds: a voxel is a node for each of them."""
@@ -201,6 +208,9 @@ class Mws(Filtered):
     def bases(self) -> list[dict[str, Any]]:
         return [{"repulsive_stride": s} for s in self.repulsive_strides]
 
+    def describe(self, settings: dict[str, Any]) -> str:
+        return f"mws_blockwise({', '.join([f'repulsive_stride={settings['repulsive_stride']}', f'block={list(self.block)}', *add_ons(settings, 'fill')])})"
+
     def based(self, voxels: DataFrame, lattice: Lattice, bases: list[dict[str, Any]]) -> DataFrame:
         parts = []
         for i, b in enumerate(bases):

@@ -88,7 +88,10 @@ def test_candidates_are_in_order():
     part = POSTPROCESSORS.build("cc_threshold", logits=(5, 3, 5), min_sizes=(9, 0), fill_distances=("all", 2, 0))
     assert [tuple(c.values()) for c in part.candidates()] == [(g, s, f) for g in (3.0, 5.0) for s in (0, 9) for f in (0.0, 2.0, "all")]
     assert part.describe(part.candidates()[0]) == "cc_threshold(logit=+3, thr=0.6457)"
-    assert part.describe(part.candidates()[-1]) == "cc_threshold(logit=+5, thr=0.7311, min_size=9, fill=all)"
+    assert part.describe(part.candidates()[-1]) == "cc_threshold(logit=+5, thr=0.7311, min_size=9, fill_distance=all)"
+    named = lambda name, **settings: [p.describe(c) for p in [POSTPROCESSORS.build(name, **settings)] for c in p.candidates()]
+    assert named("identity", min_sizes=(0, 3), fill_distances=(0, 1.5)) == ["identity(no filter)", "identity(fill_distance=1.5)", "identity(min_size=3)", "identity(min_size=3, fill_distance=1.5)"]
+    assert named("mws", block=(64, 32, 16), min_sizes=(5,), fill_distances=(2,)) == ["mws_blockwise(repulsive_stride=1, block=[64, 32, 16], min_size=5, fill=2)"]
 
 
 # -- sweeps ---------------------------------------------------------------------------------------------------
