@@ -231,6 +231,22 @@ def setting_grid(spark, sf_dir):
     return v.voxels(spark, sf_dir).select("volume").distinct().crossJoin(F.broadcast(grid))  # the caller's list of settings
 
 
+@query(f"""WITH {SUB}, k AS (SELECT *, CASE WHEN task IN ('ASIA', 'EUROPE') THEN 'instances' WHEN ordinal % 3 = 0 THEN 'skeleton' ELSE 'instances' END AS kind FROM sub),
+f AS (SELECT *, first_value(metric) OVER (PARTITION BY task, region ORDER BY ordinal) AS ranked_by, min(kind) OVER w <> max(kind) OVER w AS kinds,
+row_number() OVER (PARTITION BY task, region, metric ORDER BY CASE WHEN metric = 'pq' THEN -coalesce(value, 0) ELSE coalesce(value, 0) END, ordinal) AS k FROM k WINDOW w AS (PARTITION BY task, region))
+SELECT task, region, submission, ranked_by, CASE WHEN metric = ranked_by THEN k END AS place, CASE WHEN kinds THEN kind END AS truth FROM f""")
+def region_boards(spark, sf_dir):
+    """Boards by region: the first row's metric ranks, and the kind of truth is shown where it varies."""
+    rows = v.submissions(spark, sf_dir)
+    kind = F.when(F.col("task").isin("ASIA", "EUROPE"), "instances").when(F.col("ordinal") % 3 == 0, "skeleton").otherwise("instances")
+    return board.boards(rows.withColumn("kind", kind))
+
+
+@query(f"WITH {VOX} SELECT volume, count(*) FILTER (truth NOT IN (0, 3, 8)) AS scored, count(*) FILTER (truth IN (0, 3, 8)) AS ignored FROM vox GROUP BY volume")
+def ignored_voxels(spark, sf_dir):
+    return metrics.ignored(v.voxels(spark, sf_dir), [0, 3, 8], ["volume"])
+
+
 # -- boxes and strings ----------------------------------------------------------------------------------------
 @query(f"""WITH {BOX} SELECT box, {', '.join(f'CAST(ceil((lo{i} * 4.0 - 3.0) / 8.0 - 0.000001) AS BIGINT) AS from{i}, CAST(ceil((hi{i} * 4.0 - 3.0) / 8.0 - 0.000001) AS BIGINT) AS to{i}' for i in range(3))},
 {', '.join(f'greatest(CAST(floor(lo{i} / 8.0 + 0.5) AS BIGINT), 0) AS low{i}, least(CAST(floor(hi{i} / 8.0 + 0.5) AS BIGINT), 120) AS high{i}' for i in range(3))} FROM box""")

@@ -72,6 +72,21 @@ def region_groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("task").agg(names.alias("regions"), F.countDistinct("region").alias("n_regions"), F.count("*").alias("n_rows"))
 
 
+def boards(rows: DataFrame) -> DataFrame:
+    """``rows`` (task, region, kind, metric, submission, ordinal, value) as boards: place in the group, and what a board shows.
+
+    Rows of one task and region are a board. It shows how the truth was read (``kind``) only where its rows differ in that,
+    and ranks by the metric of its first row, others of its metrics being unranked.
+    """
+    group = Window.partitionBy("task", "region")
+    rows = rows.withColumn("_first", F.min(F.struct("ordinal", "metric")).over(group)["metric"])
+    rows = rows.withColumn("_kinds", F.min("kind").over(group) != F.max("kind").over(group))
+    own = F.col("metric") == F.col("_first")
+    better = F.when(F.col("metric").isin(*HIGHER), -F.coalesce("value", F.lit(0.0))).otherwise(F.coalesce("value", F.lit(0.0)))
+    place = F.row_number().over(Window.partitionBy("task", "region", "metric").orderBy(better, "ordinal"))
+    return rows.select("task", "region", "submission", F.col("_first").alias("ranked_by"), F.when(own, place).alias("place"), F.when(F.col("_kinds"), F.col("kind")).alias("truth"))
+
+
 def identity_diff(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """key, side, and the columns that differ: rows of one side only, and rows that disagree (nulls are equal)."""
     a = left.select(F.col(key).alias("_a"), *(F.col(c).alias(f"a_{c}") for c in columns))

@@ -19,6 +19,12 @@ def contingency(voxels: DataFrame, by: list[str] = (), ignore: int | None = None
     return voxels.groupBy(*by, "truth", "pred").agg(F.count("*").alias("n"))
 
 
+def ignored(voxels: DataFrame, ignore: list[int], by: list[str] = ()) -> DataFrame:
+    """by, scored, ignored: how many voxels of the truth are scored and how many are left out, in one pass."""
+    out = F.coalesce(F.col("truth").isin(*ignore), F.lit(False))
+    return voxels.groupBy(*by).agg(F.count_if(~out).alias("scored"), F.count_if(out).alias("ignored"))
+
+
 def marginals(voxels: DataFrame) -> DataFrame:
     """truth, pred, n over pairs, either side alone, and all: one pass by grouping sets."""
     cube = voxels.groupingSets([["truth", "pred"], ["truth"], ["pred"], []], "truth", "pred")

@@ -18,6 +18,8 @@ class Declaration:
     kind: str
     column: str
     background: int | None = 0
+    #: Columns and types as a file must hold them, for formats that do not say; null where the file says.
+    schema: str | None = None
 
     def check(self, df: DataFrame) -> None:
         """Labellings need whole-number labels and a background; every kind needs its columns."""
@@ -39,10 +41,31 @@ def write(df: DataFrame, path: str, declared: Declaration, partition_by: list[st
     publish(df, path, guards, partition_by, ["lin", declared.column])
 
 
-def read(spark: SparkSession, path: str, declared: Declaration, low: int | None = None, high: int | None = None) -> DataFrame:
-    """Rows with low <= lin < high; the bounds and the columns reach the scan."""
-    df = spark.read.parquet(path)
+#: Formats that artifacts come in, and how their files are opened; of those without types of their own a schema is due.
+FORMATS = {"parquet": {}, "orc": {}, "json": {"mode": "FAILFAST"}, "csv": {"mode": "FAILFAST", "header": "true", "enforceSchema": "false"}}
+
+
+def read(spark: SparkSession, path: str, declared: Declaration, low: int | None = None, high: int | None = None, source: str = "parquet") -> DataFrame:
+    """Rows with low <= lin < high; the bounds and the columns reach the scan.
+
+    With a declared schema files are opened with it and none is inferred: columns that a typed file holds otherwise are
+    refused when it is opened, lines that do not fit fail the job. An empty range is refused.
+    """
+    if source not in FORMATS:
+        raise ValueError(f"{source!r} is none of {sorted(FORMATS)}")
+    if declared.schema is None and source in ("json", "csv"):
+        raise ValueError(f"a {source} artifact declares its columns and types")
+    reader = spark.read.format(source).options(**FORMATS[source])
+    if declared.schema is not None:
+        if source in ("parquet", "orc"):
+            want, found = spark.createDataFrame([], declared.schema), spark.read.format(source).load(path)
+            if differ := sorted(d for d in want.dtypes if d not in found.dtypes):
+                raise ValueError(f"{path} does not hold {differ}")
+        reader = reader.schema(declared.schema)
+    df = reader.load(path)
     declared.check(df)
+    if low is not None and high is not None and high <= low:
+        raise ValueError(f"[{low}, {high}) holds nothing")
     for bound, keep in ((low, F.col("lin") >= F.lit(low)), (high, F.col("lin") < F.lit(high))):
         df = df if bound is None else df.filter(keep)
     return df

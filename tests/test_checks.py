@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tesserakit.operators import graph, regions
-from tesserakit.sources import classes, storage, verify
+from tesserakit.sources import artifacts, classes, storage, verify
 
 
 # -- verified writes ------------------------------------------------------------------------------------------
@@ -109,3 +109,30 @@ def test_thresholds_at_the_stored_type(spark, logit):
         values = np.array([t, np.nextafter(kind(t), kind(0)), np.nextafter(kind(t), kind(1)), kind(t), *(draw.random() for _ in range(20))], kind)
         frame = spark.createDataFrame([(float(x),) for x in values], "a double")
         assert [r["b"] for r in frame.select(graph.above(F.col("a"), logit, name).alias("b")).collect()] == (values > kind(t)).tolist()
+
+
+# -- artifacts of several formats -----------------------------------------------------------------------------
+@pytest.mark.parametrize("source", list(artifacts.FORMATS))
+def test_artifacts_are_opened_with_their_declared_types(spark, tmp_path, source):
+    rows = spark.createDataFrame([(i, i % 3) for i in range(10)], "lin long, pred int")
+    path = f"file://{tmp_path}/a"
+    rows.write.format(source).option("header", True).save(path)
+    declared = artifacts.Declaration("instances", "pred", schema="lin long, pred int")
+    found = artifacts.read(spark, path, declared, 2, 5, source)
+    assert found.dtypes == [("lin", "bigint"), ("pred", "int")] and sorted(map(tuple, found.collect())) == [(2, 2), (3, 0), (4, 1)]
+    with pytest.raises(ValueError, match="holds nothing"):
+        artifacts.read(spark, path, declared, 5, 5, source)
+    if source in ("json", "csv"):
+        with pytest.raises(ValueError, match="declares its columns"):
+            artifacts.read(spark, path, artifacts.Declaration("instances", "pred"), source=source)
+        spark.createDataFrame([("lin,pred\nx,1",)], "value string").write.mode("append").text(path)
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            artifacts.read(spark, path, declared, source=source).collect()
+    else:
+        with pytest.raises(ValueError, match="does not hold"):
+            artifacts.read(spark, path, artifacts.Declaration("instances", "pred", schema="lin long, pred long"), source=source)
+
+
+def test_unknown_formats_are_refused(spark):
+    with pytest.raises(ValueError, match="'zarr' is none of"):
+        artifacts.read(spark, "/none", artifacts.Declaration("instances", "pred"), source="zarr")
