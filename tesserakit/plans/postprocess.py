@@ -136,7 +136,7 @@ class Filtered(Postprocessor):
             objects = of_size.filter("pred <> 0").withColumnRenamed("pred", "label")
             known = found.filter("label <> 0").join(objects, ["_base", "volume", "label"]).crossJoin(levels).withColumn("label", F.when(small, 0).otherwise(F.col("label")))
             both = known.drop("_size", "_least").unionByName(found.filter("label = 0").crossJoin(levels).drop("_least"))
-            near = nearest(both, "label", ["_base", "_level", "volume"]).join(voxels.select("volume", "lin", "truth"), ["volume", "lin"])
+            near = nearest(both, "label", ["_base", "_level", "volume"]).join(found.filter("_base = 0").select("volume", "lin", "truth"), ["volume", "lin"])
             near = near.groupBy("_base", "_level", "volume", "truth", "near", "d2").agg(F.count("*").alias("n"))
             moved = near.crossJoin(reach).filter("d2 <= _reach AND _reach > 0").select(ordinal, "volume", "truth", "near", "n")
             changes = F.explode(F.array(F.struct(F.col("near").alias("pred"), F.col("n").alias("n")), F.struct(F.lit(0).cast("long").alias("pred"), (-F.col("n")).alias("n")))).alias("c")
