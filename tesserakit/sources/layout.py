@@ -1,8 +1,9 @@
-"""Voxel tables laid out by blocks: partitioned by tile, bucketed by voxel.
+"""Voxel tables laid out by blocks: partitioned by shelves of tiles, bucketed by voxel.
 
 Buckets hold a voxel's rows of any two tables of one layout side by side, so truth and prediction meet without a
-shuffle, however often a truth is scored against.  Tiles are partitions, so a region reads the blocks that it touches:
-which those are is known when the boxes are, at run time.
+shuffle, however often a truth is scored against.  Shelves are partitions, so a region reads the shelves of the blocks
+that it touches: which those are is known when the boxes are, at run time.  A table has a shelf for every SHELF_VOXELS
+voxels, and the tiles are dealt to shelves by their names, so its files grow with its voxels and not with its tiles.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from .storage import owned_path
 
 KEY = ["volume", "lin"]
 BOX = [f"{e}{a}" for a in tiling.AXES for e in ("low", "high")]
+SHELF_VOXELS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -34,17 +36,22 @@ class Layout:
         return F.concat_ws("_", F.col("volume").cast("string"), *places)
 
 
-def write(df: DataFrame, name: str, layout: Layout) -> None:
+def shelf(tile: str, shelves: int) -> Column:
+    return F.pmod(F.xxhash64(tile), F.lit(shelves)).cast("int")
+
+
+def write(df: DataFrame, name: str, layout: Layout, shelf_voxels: int = SHELF_VOXELS) -> None:
     """Write voxels (volume, lin, x, y, z, ...) as table ``name``, once, and the extents of their volumes beside it.
 
-    Every task holds one bucket, so there is one file a bucket and tile.
+    Every task holds one bucket, so there is one file a bucket and shelf.
     """
     spark = df.sparkSession
-    placed = df.withColumn("tile", layout.tile({a: F.col(a) for a in tiling.AXES})).repartition(layout.buckets, *KEY)
-    writer = placed.write.mode("error").format("parquet").partitionBy("tile").bucketBy(layout.buckets, *KEY).sortBy(*KEY)
+    shelves = max(1, -(-df.count() // shelf_voxels))
+    placed = df.withColumn("tile", layout.tile({a: F.col(a) for a in tiling.AXES})).withColumn("shelf", shelf("tile", shelves)).repartition(layout.buckets, *KEY)
+    writer = placed.write.mode("error").format("parquet").partitionBy("shelf").bucketBy(layout.buckets, *KEY).sortBy(*KEY)
     writer.option("path", owned_path(spark, name)).saveAsTable(name)
     box = [f.alias(n) for a in tiling.AXES for f, n in ((F.min(a), f"low{a}"), (F.max(a) + 1, f"high{a}"))]
-    sizes = spark.table(name).groupBy("volume").agg(*box, F.count("*").alias("voxels")).withColumn("layout", F.array(*map(F.lit, (*layout.block, layout.buckets))))
+    sizes = spark.table(name).groupBy("volume").agg(*box, F.count("*").alias("voxels")).withColumns({"layout": F.array(*map(F.lit, (*layout.block, layout.buckets))), "shelves": F.lit(shelves)})
     sizes.write.mode("error").format("parquet").option("path", owned_path(spark, f"{name}-extents")).saveAsTable(_extents(name))
 
 
@@ -54,7 +61,7 @@ def _extents(name: str) -> str:
 
 def extents(spark: SparkSession, name: str) -> DataFrame:
     """volume, lowx, highx, ..., voxels: a row a volume."""
-    return spark.table(_extents(name)).drop("layout")
+    return spark.table(_extents(name)).drop("layout", "shelves")
 
 
 def laid_out(spark: SparkSession, name: str) -> Layout | None:
@@ -63,7 +70,7 @@ def laid_out(spark: SparkSession, name: str) -> Layout | None:
 
 
 def read(spark: SparkSession, name: str) -> DataFrame:
-    return spark.table(name).drop("tile")
+    return spark.table(name).drop("tile", "shelf")
 
 
 def regions(spark: SparkSession, name: str, boxes: DataFrame) -> DataFrame:
@@ -86,12 +93,13 @@ def regions(spark: SparkSession, name: str, boxes: DataFrame) -> DataFrame:
     for a, size in zip(tiling.AXES, found.block, strict=True):
         tiles = tiles.withColumn(f"_i{a}", F.explode(F.sequence(F.floor(F.col(f"low{a}") / size), F.floor((F.col(f"high{a}") - 1) / size))))
         at[a] = F.col(f"_i{a}") * size
-    # a comparison that the optimiser takes as selective, so that it prunes partitions by the tiles at run time
-    wanted = tiles.filter(" AND ".join(f"low{a} < high{a}" for a in tiling.AXES)).withColumn("_tile", found.tile(at)).drop(*(f"_i{a}" for a in tiling.AXES))
+    shelves = spark.table(_extents(name)).select("shelves").first()[0]
+    # a comparison that the optimiser takes as selective, so that it prunes partitions by the shelves at run time
+    wanted = tiles.filter(" AND ".join(f"low{a} < high{a}" for a in tiling.AXES)).withColumn("_tile", found.tile(at)).withColumn("_shelf", shelf("_tile", shelves)).drop(*(f"_i{a}" for a in tiling.AXES))
     voxels = spark.table(name).withColumnRenamed("volume", "_volume")
-    both = voxels.join(wanted, voxels["tile"] == F.col("_tile"))
+    both = voxels.join(wanted, (voxels["shelf"] == F.col("_shelf")) & (voxels["tile"] == F.col("_tile")))
     inside = reduce(lambda p, q: p & q, ((F.col(a) >= F.col(f"low{a}")) & (F.col(a) < F.col(f"high{a}")) for a in tiling.AXES))
-    return both.filter(inside).drop("tile", "_tile", "_volume", *BOX)
+    return both.filter(inside).drop("tile", "shelf", "_tile", "_shelf", "_volume", *BOX)
 
 
 def scored(spark: SparkSession, truth: str, prediction: str, threshold: float = 0.5) -> DataFrame:

@@ -72,3 +72,21 @@ def test_a_missing_volume_is_refused(spark, tables):
     layout.write(v.voxels(spark, SF).drop("truth").filter(F.col("volume") != 1), name, layout.Layout((5, 10, 10), 4))
     with pytest.raises(PySparkException, match="no artifact for volume 1|differ in size"):
         layout.scored(spark, tables[0], name).collect()
+
+
+def test_files_grow_with_voxels_and_not_with_tiles(spark):
+    name, vox = f"many_{uuid.uuid4().hex}", v.voxels(spark, SF).drop("truth")
+    layout.write(vox, name, layout.Layout((1, 5, 5), 4))
+    assert vox.select("x", F.floor(F.col("y") / 5), F.floor(F.col("z") / 5)).distinct().count() == 400
+    assert len(spark.table(name).inputFiles()) <= 4
+    boxes = spark.createDataFrame([(1, 5, 7, 4, 6, 0, 20, "b")], BOXES)
+    want = sorted(r["lin"] for r in vox.filter("x >= 5 AND x < 7 AND y >= 4 AND y < 6").collect())
+    assert sorted(r["lin"] for r in layout.regions(spark, name, boxes).collect()) == want
+
+
+def test_shelves_that_a_region_does_not_touch_are_not_read(spark):
+    name, vox = f"shelves_{uuid.uuid4().hex}", v.voxels(spark, SF).drop("truth")
+    layout.write(vox, name, layout.Layout((5, 10, 10), 4), shelf_voxels=1000)
+    assert spark.table(name).select("shelf").distinct().count() > 5
+    found = layout.regions(spark, name, spark.createDataFrame([(2, 11, 12, 1, 3, 1, 3, "b")], BOXES))
+    assert "dynamicpruningexpression(shelf" in plan(found) and found.count() == 4
