@@ -36,25 +36,25 @@ def score_volumes(spark, sf_dir):
     return scoring.score_volumes(truth, prediction, artifacts)
 
 
-def _laid_out(spark, sf_dir) -> tuple[str, str]:
-    """The truth and the prediction, written by blocks under names of their own."""
-    vox, names = v.voxels(spark, sf_dir), [f"{n}_{uuid.uuid4().hex}" for n in ("truth", "pred")]
-    for name, spare in zip(names, ("pred", "truth"), strict=True):
-        layout.write(vox.drop(spare), name, layout.Layout((5, 10, 10)))
-    return tuple(names)
+def _laid_out(spark, sf_dir, *columns: str) -> list[str]:
+    """The truth, the prediction or both (``columns``), written by blocks under names of their own."""
+    vox, names = v.voxels(spark, sf_dir), [f"{c}_{uuid.uuid4().hex}" for c in columns]
+    for name, column in zip(names, columns, strict=True):
+        layout.write(vox.select(*layout.KEY, "x", "y", "z", column), name, layout.Layout((5, 10, 10)))
+    return names
 
 
 @query(f"""WITH {VOX} SELECT v.volume, true AS whole_region, q.threshold AS iou_threshold, tp, fp, fn, sq, rq, pq, voi_split, voi_merge, voi_sum, adapted_rand_error
 FROM (SELECT DISTINCT volume FROM vox) v JOIN ({_pq_sql('volume', '(0.5::DOUBLE)', 'SELECT * FROM r')}) q USING (volume) JOIN ({VOI_V}) USING (volume) JOIN ({RAND_V}) USING (volume)""")
 def score_layout(spark, sf_dir):
     """As ``score_volumes``, from tables that are laid out by blocks and meet without a shuffle."""
-    return layout.scored(spark, *_laid_out(spark, sf_dir))
+    return layout.scored(spark, *_laid_out(spark, sf_dir, "truth", "pred"))
 
 
 @query(f"WITH {VOX} SELECT volume, lin, x, y, z, pred FROM vox WHERE volume % 2 = 0 AND x >= volume * 5 AND x < volume * 5 + 2 AND y >= 3 AND y < 12 AND z >= 9 AND z < 11")
 def layout_regions(spark, sf_dir):
     """A box of every other volume, read from the blocks that it touches."""
-    name = _laid_out(spark, sf_dir)[1]
+    (name,) = _laid_out(spark, sf_dir, "pred")
     boxes = layout.extents(spark, name).filter("volume % 2 = 0").selectExpr("volume", "lowx", "lowx + 2 AS highx", "3L AS lowy", "12L AS highy", "9L AS lowz", "11L AS highz")
     return layout.regions(spark, name, boxes).select("volume", "lin", "x", "y", "z", "pred")
 
