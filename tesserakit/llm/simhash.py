@@ -140,7 +140,11 @@ def pairs(place: int, fps: np.ndarray, ring: Ring) -> list[tuple[np.ndarray, np.
 
 
 def link_runs(batches: Iterator[pa.RecordBatch], ring: Ring, candidates: bool = False) -> Iterator[pa.RecordBatch]:
-    """Links of rows (place, fp) that come sorted; of ``candidates`` all pairs where a place is small."""
+    """Links of rows (place, fp) that come sorted; of ``candidates`` all pairs where a place is small.
+
+    Of ``candidates`` a crowded place, whose links are a spanning tree, is told by rows of its own: its fingerprints as both
+    ends, and its number (``place``, null for links).
+    """
 
     def done(place: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
@@ -151,7 +155,12 @@ def link_runs(batches: Iterator[pa.RecordBatch], ring: Ring, candidates: bool =
         for k, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             links += (pairs if candidates and n <= SMALL_PLACE else search)(int(place[k]), fp[k : k + n], ring)
         a, b = (np.concatenate(x).view(np.int64) for x in zip(*links, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        if not candidates:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        held = np.repeat(size > SMALL_PLACE, size)
+        own, none = fp[held].view(np.int64), np.zeros(len(a), np.int64)
+        of = pa.array(np.concatenate((none, place[held])), mask=np.arange(len(a) + len(own)) < len(a))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, own))), pa.array(np.concatenate((b, own))), of], names=["a", "b", "place"])
 
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
@@ -170,12 +179,50 @@ def link_runs(batches: Iterator[pa.RecordBatch], ring: Ring, candidates: bool =
         yield done(np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept]))
 
 
-def links(distinct: DataFrame, bits: int = MAX_BITS, candidates: bool = False) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp), enough of them to connect every component."""
+def _linked(distinct: DataFrame, bits: int, candidates: bool) -> DataFrame:
     ring = Ring(bits)
     filed = places(distinct, ring)
     filed = filed.repartition(shuffle_partitions(distinct.sparkSession), "place").sortWithinPartitions("place", "fp")
-    return filed.mapInArrow(lambda batches: link_runs(batches, ring, candidates), "a long, b long")
+    return filed.mapInArrow(lambda batches: link_runs(batches, ring, candidates), "a long, b long, place long" if candidates else "a long, b long")
+
+
+def links(distinct: DataFrame, bits: int = MAX_BITS, candidates: bool = False) -> DataFrame:
+    """(a, b): links between distinct fingerprints (column fp), enough of them to connect every component."""
+    found = _linked(distinct, bits, candidates)
+    return found.filter("place IS NULL").select("a", "b") if candidates else found
+
+
+def apart(crowded: DataFrame, ring: Ring) -> DataFrame:
+    """(a, b): all near pairs of crowded places whose texts are not of one group yet, maybe several times.
+
+    ``crowded``: place, fp, root (the group of all texts of the fingerprint; null where they are of several groups).
+    """
+    shared = crowded.repartition(shuffle_partitions(crowded.sparkSession), "place").sortWithinPartitions("place", "fp")
+
+    def found(place: int, fps: np.ndarray, roots: np.ndarray, none: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(len(fps) - 1):
+            other = none[k] | none[k + 1 :] | (roots[k + 1 :] != roots[k])
+            rest = fps[k + 1 :][other]
+            hit = rest[near(rest ^ fps[k], place, ring)]
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), fps[k]).view(np.int64)), pa.array(hit.view(np.int64))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            root = batch.column(2)
+            columns = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), root.fill_null(0).to_numpy(), root.is_null().to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), len(columns[0])]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if j > i and kept and kept[-1][0][-1] != columns[0][i]:
+                    yield from found(int(kept[0][0][0]), *(np.concatenate(x) for x in list(zip(*kept, strict=True))[1:]))
+                    kept = []
+                if j > i:
+                    kept.append(tuple(c[i:j] for c in columns))
+        if kept:
+            yield from found(int(kept[0][0][0]), *(np.concatenate(x) for x in list(zip(*kept, strict=True))[1:]))
+
+    return shared.select("place", "fp", "root").mapInArrow(run, "a long, b long")
 
 
 def group(docs: DataFrame, n: int = 3, bits: int = MAX_BITS) -> DataFrame:
@@ -237,16 +284,18 @@ def confirmed(found: DataFrame, texts: DataFrame, n: int = SHINGLE_WORDS, simila
 def similar(docs: DataFrame) -> DataFrame:
     """One row of every group that confirmed near copies connect: the one of the smallest doc_id; of repeated rows one.
 
-    Candidates are links of fingerprints of CANDIDATE_WORDS-word shingles within CANDIDATE_BITS bits, and texts of one
-    fingerprint with its first text. In a place of more than SMALL_PLACE fingerprints a spanning tree of the links is
-    confirmed, not all pairs, so a group of so many may fall into parts if links of the tree are not confirmed.
+    Candidates are all pairs of texts whose fingerprints of CANDIDATE_WORDS-word shingles differ in CANDIDATE_BITS bits at
+    most. First come the pairs of small places, trees of places of more than SMALL_PLACE fingerprints, and texts of one
+    fingerprint with its first text. What these do not bring together is compared in all its pairs then: places by
+    fingerprints, fingerprints by texts, but for pairs that are in one group already.
     """
     rows = cut(fingerprints(docs, CANDIDATE_WORDS), "fingerprints")
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     of_text = rows.groupBy("fp", "text_hash").agg(F.min(least).alias("best"))
     firsts = of_text.groupBy("fp").agg(F.min_by("text_hash", F.struct("best", "text_hash")).alias("of"))
     firsts = cut(firsts, "firsts")
-    near_ = links(firsts.select("fp"), CANDIDATE_BITS, candidates=True).distinct()
+    linked = cut(_linked(firsts.select("fp"), CANDIDATE_BITS, candidates=True), "linked")
+    near_ = linked.filter("place IS NULL").select("a", "b").distinct()
     ends = {s: firsts.select(F.col("fp").alias(s), F.col("of").alias(f"of_{s}")) for s in "ab"}
     between = near_.join(ends["a"], "a").join(ends["b"], "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
     within = of_text.join(firsts, "fp").filter("text_hash <> of").select(F.least("of", "text_hash").alias("a"), F.greatest("of", "text_hash").alias("b"))
@@ -257,7 +306,22 @@ def similar(docs: DataFrame) -> DataFrame:
     stars = cut(confirmed(stars, texts), "stars")
     homes = {s: stars.select(F.col("b").alias(s), F.col("a").alias(f"home_{s}")) for s in "ab"}
     rest = candidates.join(homes["a"], "a", "left").join(homes["b"], "b", "left").filter(F.coalesce("home_a", "a") != F.coalesce("home_b", "b"))
-    roots = components(stars.union(confirmed(rest.select("a", "b"), texts)))
+    similar_ = cut(stars.union(confirmed(rest.select("a", "b"), texts)), "similar")
+    roots = components(similar_).withColumnRenamed("node", "text_hash")
+    # texts by fingerprint with their groups, and the pairs of fingerprints that trees and first texts left out
+    grouped = of_text.select("fp", "text_hash").join(roots, "text_hash", "left").select("fp", "text_hash", F.coalesce("root", "text_hash").alias("root"))
+    grouped = cut(grouped, "grouped")
+    of_fp = grouped.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    of_fp = cut(of_fp.select("fp", "n", F.when(F.col("low") == F.col("high"), F.col("low")).alias("root")), "of_fp")
+    crowded = linked.filter("place IS NOT NULL").select("place", F.col("a").alias("fp")).join(of_fp, "fp").select("place", "fp", "root")
+    several = of_fp.filter("n > 1").select("fp")
+    more = near_.join(several.withColumnRenamed("fp", "a"), "a", "left_semi").union(near_.join(several.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b"))
+    own = of_fp.filter("root IS NULL").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    fp_pairs = apart(crowded, Ring(CANDIDATE_BITS)).union(more).union(own).distinct()
+    sides = {s: grouped.select(F.col("fp").alias(s), F.col("text_hash").alias(f"of_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab"}
+    pairs_ = fp_pairs.join(sides["a"], "a").join(sides["b"], "b").filter("root_a <> root_b")
+    pairs_ = pairs_.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti")
+    roots = components(similar_.union(confirmed(cut(pairs_, "apart"), texts)))
     rooted = of_text.join(roots, F.col("text_hash") == F.col("node"), "left").select("text_hash", "best", F.coalesce("root", "text_hash").alias("root"))
     kept = rooted.groupBy("root").agg(F.min(F.struct("best", "text_hash")).alias("one"))
     return _only(docs, kept.select("one.best.doc_id", "one.text_hash"))

@@ -377,6 +377,19 @@ def test_similar(spark, docs):
     assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_similar(texts).values()))
 
 
+def test_similar_texts_meet_in_a_crowd_of_others(spark):
+    """Near or equal fingerprints of other texts crowd the places; each text is like one other, which no tree may link it to."""
+    draw, texts = random.Random(3), []
+    for k in range(120):
+        # few word pairs, often: fingerprints are near; the orders of words are many
+        words = draw.choices("abcdef", [6, 2, 1, 1, 1, 1], k=400)
+        texts += [(k, " ".join(words)), (1000 - k, " ".join(["f", *words[:200], "e", *words[200:]]))]
+    kept = simhash.similar(spark.createDataFrame(texts, "doc_id long, text string"))
+    want = brute_similar(texts)
+    assert len(set(want.values())) == 120 and len({slow_fingerprint(t, 2) for _, t in texts}) < 200
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
 def test_keep_one(docs):
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert kept == {r.component_id for r in simhash.query(docs).collect()}
