@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserakit.jobs import catalog
-from tesserakit.operators import board, components, graph, labels, metrics, mws, scoring, skeletons
+from tesserakit.operators import board, components, graph, grids, labels, metrics, mws, scoring, skeletons
 from tesserakit.sources import records, storage
 from tesserakit.streaming import contingency as stream
 
@@ -361,3 +361,26 @@ def test_scored_labellings_are_kept_narrow(spark, tmp_path):
         assert dict(again.dtypes)["pred"] == kind and again.agg(F.max("pred")).first()[0] == most
     with pytest.raises(ValueError, match="negative"):
         keep_scored(volume(spark, [(0, -1)]).withColumn("volume", F.lit(3)), str(tmp_path / "n"), declared)
+
+
+def test_overlap_groups_of_crowds_take_few_links(spark):
+    draw, rows = random.Random(4), []
+    for k in range(300):
+        low = [draw.randrange(5) * 60 + draw.randrange(3) for _ in range(3)]
+        rows.append((k, draw.choice(["s", "t", None]), *low, *(a + draw.randrange(-1, 40) for a in low)))
+    rows += [(300 + k, "s", 900, 900, 900, 910 + k % 7, 917 - k % 7, 905) for k in range(200)]  # one corner: 19,900 overlaps
+    boxes = spark.createDataFrame(rows, "box long, store string, lo0 long, lo1 long, lo2 long, hi0 long, hi1 long, hi2 long")
+    root = {r[0]: r[0] for r in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for p in rows:
+        for q in rows[: p[0]]:
+            if p[1] is not None and p[1] == q[1] and all(max(p[2 + i], q[2 + i]) < min(p[5 + i], q[5 + i]) for i in range(3)):
+                a, b = sorted((find(p[0]), find(q[0])))
+                root[b] = a
+    assert {r["box"]: r["leader"] for r in grids.overlap_groups(boxes, 64).collect()} == {k: find(k) for k in root}
+    assert grids.overlap_links(boxes, 64).count() < 2 * len(rows)
