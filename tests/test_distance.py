@@ -73,3 +73,17 @@ def test_nothing_to_fill_from(spark):
     empty = spark.createDataFrame(volume(9, (2, 3, 2), 0), COLUMNS)
     assert labels.fill(empty, "label", "all").filter("label <> 0").count() == 0
     assert labels.fill(empty.limit(0), "label", "all").count() == 0
+
+
+def test_lines_of_many_volumes_share_a_call_and_go_on_over_batches(spark):
+    """A group a volume and line bundle made a call for each; batches end within lines here, and volumes are of unlike lengths."""
+    rows = [r for v, shape in enumerate([(3, 4, 2), (9, 2, 11), (1, 1, 30), (2, 7, 3)]) for r in volume(20 + v, shape, 0.1)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        found = nearest(spark.createDataFrame(rows, COLUMNS), "label", ["volume"])
+        assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r["volume"], r["lin"]): (r["d2"], r["near"]) for r in found.collect()} == brute(rows)
+    finally:
+        spark.conf.set(key, before)
