@@ -128,7 +128,10 @@ def label_grids(pairs: DataFrame) -> DataFrame:
     ``annotated``; of these, ``region`` are those that a prediction voxel covers, and ``window`` are the prediction voxels that hold
     their centres. Other axes or units, or nothing in common, fail the job.
     """
-    rows = reordered(pairs, F.col("label_axes"), "pred_")
+    # a row costs some 0.1 ms and few bytes, so a file that is one split would keep one task busy with all of them; written,
+    # as the guards would pass by a mere exchange
+    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = reordered(cut(pairs.repartition(partitions, "volume"), "grids"), F.col("label_axes"), "pred_")
     differ = F.col("label_unit").isNotNull() & F.col("pred_unit").isNotNull() & (F.col("label_unit") != F.col("pred_unit"))
     rows = refuse(rows, differ, _says("labels in ", F.col("label_unit"), ", the prediction in ", F.col("pred_unit")))
     each = lambda f: F.transform("label_axes", lambda _, i: f(lambda c: F.get(F.col(c), i)))

@@ -5,6 +5,7 @@ import math
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tesserakit.operators import frames
 
@@ -142,3 +143,10 @@ def test_masks(spark):
     refused(lambda: made([*voxels, ("v", -1, 0, 0, 1)], mask, grid), "does not cover voxel")
     refused(lambda: made(voxels, mask[1:], grid), "no mask voxel")
     refused(lambda: made(voxels, mask, pair((4.0, 2.0, 4), (8.0, 4.0, 2), axes="xy")), "has axes xy")
+
+
+def test_grids_of_one_split_are_dealt_to_tasks(spark):
+    made = pair((4.0, 38.0, 6), (8.0, 24.0, 7))
+    rows = spark.createDataFrame([(f"v{k}", *made[1:]) for k in range(200)], PAIR).coalesce(1)
+    found = frames.label_grids(rows)
+    assert found.count() == 200 and found.select(F.spark_partition_id()).distinct().count() > 1
