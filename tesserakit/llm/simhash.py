@@ -31,7 +31,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -43,6 +43,8 @@ CANDIDATE_WORDS, CANDIDATE_BITS = 2, 7
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Up to so many fingerprints of a place are compared in all pairs where links are candidates only.
 SMALL_PLACE = 32
+#: Hashed counters that estimate how often shingles occur, ratio of sizes within a class, and what rounding may take.
+COUNTERS, SIZES_APART, SLACK = 1 << 20, 1.1, 1e-6
 ROWS = 256
 
 
@@ -193,19 +195,20 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, candidates: bool = False) -
 
 
 def apart(crowded: DataFrame, ring: Ring) -> DataFrame:
-    """(a, b): all near pairs of crowded places whose texts are not of one group yet, maybe several times.
+    """(fp): fingerprints of crowded places that are near to one whose texts are not of their group yet, maybe several times.
 
     ``crowded``: place, fp, root (the group of all texts of the fingerprint; null where they are of several groups).
     """
     shared = crowded.repartition(shuffle_partitions(crowded.sparkSession), "place").sortWithinPartitions("place", "fp")
 
-    def found(place: int, fps: np.ndarray, roots: np.ndarray, none: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def found(place: int, fps: np.ndarray, roots: np.ndarray, none: np.ndarray) -> pa.RecordBatch:
+        held = np.zeros(len(fps), bool)
         for k in range(len(fps) - 1):
-            other = none[k] | none[k + 1 :] | (roots[k + 1 :] != roots[k])
-            rest = fps[k + 1 :][other]
-            hit = rest[near(rest ^ fps[k], place, ring)]
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), fps[k]).view(np.int64)), pa.array(hit.view(np.int64))], names=["a", "b"])
+            other = k + 1 + np.flatnonzero(none[k] | none[k + 1 :] | (roots[k + 1 :] != roots[k]))
+            hit = other[near(fps[other] ^ fps[k], place, ring)]
+            held[hit] = True
+            held[k] |= len(hit) > 0
+        return pa.RecordBatch.from_arrays([pa.array(fps[held].view(np.int64))], names=["fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
@@ -215,14 +218,14 @@ def apart(crowded: DataFrame, ring: Ring) -> DataFrame:
             cuts = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), len(columns[0])]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if j > i and kept and kept[-1][0][-1] != columns[0][i]:
-                    yield from found(int(kept[0][0][0]), *(np.concatenate(x) for x in list(zip(*kept, strict=True))[1:]))
+                    yield found(int(kept[0][0][0]), *(np.concatenate(x) for x in list(zip(*kept, strict=True))[1:]))
                     kept = []
                 if j > i:
                     kept.append(tuple(c[i:j] for c in columns))
         if kept:
-            yield from found(int(kept[0][0][0]), *(np.concatenate(x) for x in list(zip(*kept, strict=True))[1:]))
+            yield found(int(kept[0][0][0]), *(np.concatenate(x) for x in list(zip(*kept, strict=True))[1:]))
 
-    return shared.select("place", "fp", "root").mapInArrow(run, "a long, b long")
+    return shared.select("place", "fp", "root").mapInArrow(run, "fp long")
 
 
 def group(docs: DataFrame, n: int = 3, bits: int = MAX_BITS) -> DataFrame:
@@ -260,8 +263,8 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, joined), np.uint64, len(joined)))
 
 
-def confirmed(found: DataFrame, texts: DataFrame, n: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Of the pairs (a, b) of text hashes those whose texts (text_hash, text) are similar enough."""
+def shingled(texts: DataFrame, used: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
+    """text_hash and the ``shingles`` of the ``texts`` (text_hash, text) that ``used`` (text_hash) names, each once."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,22 +275,125 @@ def confirmed(found: DataFrame, texts: DataFrame, n: int = SHINGLE_WORDS, simila
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)) if made else pa.array([], pa.int64()))
                 yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["text_hash", "shingles"])
 
-    used = found.select(F.col("a").alias("text_hash")).union(found.select("b")).distinct()
-    one = texts.join(used, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text_hash", "text")
-    hashed = cut(one.mapInArrow(sets, "text_hash long, shingles array<long>"), "shingles")
+    one = texts.join(used.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text_hash", "text")
+    return cut(one.mapInArrow(sets, "text_hash long, shingles array<long>"), "shingles")
+
+
+def confirmed(found: DataFrame, hashed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Of the pairs (a, b) of text hashes those whose ``shingled`` texts are similar enough."""
     sides = {s: hashed.select(F.col("text_hash").alias(s), F.col("shingles").alias(f"of_{s}")) for s in "ab"}
     both = found.join(sides["a"], "a").join(sides["b"], "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.filter(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b"))
+
+
+def _class(size: int) -> int:
+    return int(np.log(size) / np.log(SIZES_APART))
+
+
+def _head(a: str, b: str, similarity: float) -> Column:
+    """How many of the first shingles of a set of size ``a`` hold one that it shares with any similar set of size ``b``."""
+    return F.col(a) + 1 - F.ceil(similarity / (1 + similarity) * (F.col(a) + F.col(b)) - SLACK)
+
+
+def filed(members: DataFrame, hashed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """key, text_hash, fp, root, size, pos (from 1): the first shingles of every text, under which all similar texts meet.
+
+    ``members``: text_hash, fp, root. In one order of all shingles, the rarer ones first, two similar sets share one of the first
+    few of both. Rareness is estimated by hashed counters of all members' shingles; what counts once is shared with no other.
+    A key is a shingle with the classes of the sizes of both texts, as their sizes tell how many are the first few.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            at, n = np.unique(lists.flatten().to_numpy().astype(np.int64) & (COUNTERS - 1), return_counts=True)
+            sizes = sorted({_class(k) for k in lists.value_lengths().to_pylist()})
+            column = np.concatenate((at, -1 - np.array(sizes, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(column), pa.array(np.concatenate((n, np.ones(len(sizes), np.int64))))], names=["at", "n"])
+
+    counted = hashed.select("shingles").mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter("n > 1 OR at < 0").toArrow()
+    at, n = (counted.column(c).to_numpy() for c in ("at", "n"))  # COUNTERS rows at most, and one a class
+    counts, classes = np.ones(COUNTERS, np.uint16), frozenset((-1 - at[at < 0]).tolist())
+    counts[at[at >= 0]] = np.minimum(n[at >= 0], 65535)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                rows, columns = batch.slice(k, ROWS), [[np.zeros(0, np.int64)] for _ in range(4)]
+                for row, made in enumerate(rows.column(1)):
+                    size = len(values := made.values.to_numpy())
+                    often = counts[values & (COUNTERS - 1)]
+                    order = np.lexsort((values, often))
+                    values, often, own = values[order], often[order], _class(size)
+                    least = int(np.ceil(similarity * size - SLACK))
+                    for other in classes & set(range(_class(least), _class(int(size / similarity + SLACK)) + 1)):
+                        of = max(least, int(SIZES_APART**other))
+                        length = size + 1 - int(np.ceil(similarity / (1 + similarity) * (size + of) - SLACK))
+                        pos = np.flatnonzero(often[: max(0, length)] > 1)
+                        low, high = sorted((own, other))
+                        found = values[pos] ^ np.int64((low << 10 | high) * 0x9E3779B97F4A7C1 % (1 << 63))
+                        for column, part in zip(columns, (found, np.full(len(pos), row), np.full(len(pos), size), pos + 1), strict=True):
+                            column.append(part)
+                key, row, size, pos = map(np.concatenate, columns)
+                rows = rows.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(rows.column(i) for i in (0, 2, 3)), pa.array(size), pa.array(pos)], names=["key", "text_hash", "fp", "root", "size", "pos"])
+
+    known = members.join(hashed, "text_hash").select("text_hash", "shingles", "fp", "root")
+    return cut(known.mapInArrow(heads, "key long, text_hash long, fp long, root long, size long, pos long"), "heads")
+
+
+def _sides(rows: DataFrame) -> dict[str, DataFrame]:
+    return {s: rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key")) for s in "ab"}
+
+
+def _few(bits: int) -> Column:
+    return F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= bits
+
+
+def _meet(similarity: float, bits: int) -> Column:
+    return _few(bits) & (F.col("pos_a") <= _head("size_a", "size_b", similarity)) & (F.col("pos_b") <= _head("size_b", "size_a", similarity))
+
+
+def centred(kept: DataFrame, similarity: float = SIMILARITY, bits: int = CANDIDATE_BITS) -> DataFrame:
+    """(a, b, root_a, root_b): texts of every key of ``filed`` with the one of fewest rarer shingles, which a dense group is like."""
+    rows = _sides(kept)
+    best = kept.groupBy("key").agg(F.min_by(F.struct(*(c for c in kept.columns if c != "key")), F.struct("pos", "text_hash")).alias("best"))
+    met = rows["a"].join(_sides(best.select("key", "best.*"))["b"], "key").filter((F.col("root_a") != F.col("root_b")) & _meet(similarity, bits))
+    pairs_ = met.select(F.col("text_hash_a").alias("a"), F.col("text_hash_b").alias("b"), "root_a", "root_b")
+    return pairs_.distinct()
+
+
+def alike(kept: DataFrame, similarity: float = SIMILARITY, bits: int = CANDIDATE_BITS) -> DataFrame:
+    """(a, b): pairs of texts of different groups that may be similar enough and differ in few bits: none that is goes missing.
+
+    Under a key of ``filed`` groups meet first (one row each, so that the texts of a group never meet each other), then texts.
+    """
+    spans = [F.count("*").alias("n"), F.min("fp").alias("fp"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("pos")]
+    groups = kept.groupBy("key", "root").agg(*spans)
+    several = groups.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("key")
+    both = _sides(cut(groups.join(several, "key", "left_semi"), "groups"))
+    reach = (F.col("pos_a") <= _head("high_a", "low_b", similarity)) & (F.col("pos_b") <= _head("high_b", "low_a", similarity))
+    # the smaller group is a, so that its texts are told apart first
+    order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("root_a") < F.col("root_b")))
+    met = both["a"].join(both["b"], "key").filter((F.col("root_a") != F.col("root_b")) & order & reach & ((F.col("n_b") > 1) | _few(bits)))
+    rows = _sides(kept)
+    met = met.select("key", "root_a", "root_b", "low_b").join(rows["a"], ["key", "root_a"]).filter(F.col("pos_a") <= _head("size_a", "low_b", similarity))
+    found = met.drop("low_b").join(rows["b"], ["key", "root_b"]).filter(_meet(similarity, bits))
+    return found.select(F.least("text_hash_a", "text_hash_b").alias("a"), F.greatest("text_hash_a", "text_hash_b").alias("b")).distinct()
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """One row of every group that confirmed near copies connect: the one of the smallest doc_id; of repeated rows one.
 
     Candidates are all pairs of texts whose fingerprints of CANDIDATE_WORDS-word shingles differ in CANDIDATE_BITS bits at
     most. First come the pairs of small places, trees of places of more than SMALL_PLACE fingerprints, and texts of one
-    fingerprint with its first text. What these do not bring together is compared in all its pairs then: places by
-    fingerprints, fingerprints by texts, but for pairs that are in one group already.
+    fingerprint with its first text. Texts that these leave near to one of another group meet by their rarest shingles then
+    (``filed``), which finds every similar pair among them without all their pairs.
     """
     rows = cut(fingerprints(docs, CANDIDATE_WORDS), "fingerprints")
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
@@ -301,12 +407,13 @@ def similar(docs: DataFrame) -> DataFrame:
     within = of_text.join(firsts, "fp").filter("text_hash <> of").select(F.least("of", "text_hash").alias("a"), F.greatest("of", "text_hash").alias("b"))
     texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
     candidates = cut(between.union(within).distinct(), "candidates")
+    hashed = shingled(texts, _ends(candidates))
     # texts like the first of their group need no other links: those make up for the rest of a group
     stars = components(candidates).select(F.col("root").alias("a"), F.col("node").alias("b"))
-    stars = cut(confirmed(stars, texts), "stars")
+    stars = cut(confirmed(stars, hashed), "stars")
     homes = {s: stars.select(F.col("b").alias(s), F.col("a").alias(f"home_{s}")) for s in "ab"}
     rest = candidates.join(homes["a"], "a", "left").join(homes["b"], "b", "left").filter(F.coalesce("home_a", "a") != F.coalesce("home_b", "b"))
-    similar_ = cut(stars.union(confirmed(rest.select("a", "b"), texts)), "similar")
+    similar_ = cut(stars.union(confirmed(rest.select("a", "b"), hashed)), "similar")
     roots = components(similar_).withColumnRenamed("node", "text_hash")
     # texts by fingerprint with their groups, and the pairs of fingerprints that trees and first texts left out
     grouped = of_text.select("fp", "text_hash").join(roots, "text_hash", "left").select("fp", "text_hash", F.coalesce("root", "text_hash").alias("root"))
@@ -316,15 +423,22 @@ def similar(docs: DataFrame) -> DataFrame:
     crowded = linked.filter("place IS NOT NULL").select("place", F.col("a").alias("fp")).join(of_fp, "fp").select("place", "fp", "root")
     several = of_fp.filter("n > 1").select("fp")
     more = near_.join(several.withColumnRenamed("fp", "a"), "a", "left_semi").union(near_.join(several.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b"))
-    own = of_fp.filter("root IS NULL").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    fp_pairs = apart(crowded, Ring(CANDIDATE_BITS)).union(more).union(own).distinct()
-    sides = {s: grouped.select(F.col("fp").alias(s), F.col("text_hash").alias(f"of_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab"}
-    pairs_ = fp_pairs.join(sides["a"], "a").join(sides["b"], "b").filter("root_a <> root_b")
-    pairs_ = pairs_.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti")
-    roots = components(similar_.union(confirmed(cut(pairs_, "apart"), texts)))
+    sides = {s: of_fp.select(F.col("fp").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"}
+    more = more.join(sides["a"], "a").join(sides["b"], "b").filter("root_a IS NULL OR root_b IS NULL OR root_a <> root_b")
+    left = apart(crowded, Ring(CANDIDATE_BITS)).union(more.select("a")).union(more.select("b")).union(of_fp.filter("root IS NULL").select("fp"))
+    members = cut(grouped.join(left.distinct(), "fp", "left_semi"), "apart")
+    hashed = shingled(texts, members)
+    kept = filed(members, hashed)
+    # dense groups come together by their centres, the rest in pairs
+    centres = cut(centred(kept), "centred")
+    near_centres = cut(confirmed(centres.select("a", "b"), hashed), "near_centres")
+    merged = components(centres.join(near_centres, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    kept = kept.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_root")), "root", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root")
+    pairs_ = cut(alike(cut(kept, "heads")).join(candidates, ["a", "b"], "left_anti"), "alike")
+    roots = components(similar_.union(near_centres).union(confirmed(pairs_, hashed)))
     rooted = of_text.join(roots, F.col("text_hash") == F.col("node"), "left").select("text_hash", "best", F.coalesce("root", "text_hash").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min(F.struct("best", "text_hash")).alias("one"))
-    return _only(docs, kept.select("one.best.doc_id", "one.text_hash"))
+    one = rooted.groupBy("root").agg(F.min(F.struct("best", "text_hash")).alias("one"))
+    return _only(docs, one.select("one.best.doc_id", "one.text_hash"))
 
 
 def query(docs: DataFrame) -> DataFrame:

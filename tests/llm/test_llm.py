@@ -390,6 +390,30 @@ def test_similar_texts_meet_in_a_crowd_of_others(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_crowds_of_texts_apart_are_not_compared_in_pairs(spark, monkeypatch):
+    """Versions of one text, half of them too far from all others: few pairs are confirmed, and none is missed."""
+    draw, texts, base = random.Random(8), [], [f"w{i}" for i in range(150)]
+    for k in range(400):
+        words = list(base)
+        for i in draw.sample(range(150), draw.randrange(1, 10)):
+            words[i] = f"new{k}of{i}" if draw.random() < 0.9 else "often"
+        texts.append((k, " ".join(words[: len(words) - draw.randrange(20)])))
+    asked, confirmed = [], simhash.confirmed
+
+    def counting(found, *more):
+        asked.append(found.count())
+        return confirmed(found, *more)
+
+    monkeypatch.setattr(simhash, "confirmed", counting)
+    kept = simhash.similar(spark.createDataFrame(texts, "doc_id long, text string"))
+    kept = {r.doc_id for r in kept.collect()}
+    # the first text of a group may be like one that other texts of the group connect, at more bits than candidates have
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for _, t in texts]
+    coarse = brute_components([(d, 0) for d, _ in texts], 64, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert len(kept) > 100 and set(coarse.values()) <= kept <= set(brute_similar(texts).values())
+    assert sum(asked[2:]) < len(texts)  # what is left when small places and trees are confirmed
+
+
 def test_keep_one(docs):
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert kept == {r.component_id for r in simhash.query(docs).collect()}
