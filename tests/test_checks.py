@@ -136,3 +136,19 @@ def test_artifacts_are_opened_with_their_declared_types(spark, tmp_path, source)
 def test_unknown_formats_are_refused(spark):
     with pytest.raises(ValueError, match="'zarr' is none of"):
         artifacts.read(spark, "/none", artifacts.Declaration("instances", "pred"), source="zarr")
+
+
+def test_pieces_inside_of_batches_take_no_stars(spark, monkeypatch):
+    """Paths and broken paths, some over the ends of batches: roots are the least nodes, and few links are left to stars."""
+    links = [(c, c * 10 + i + 1, c * 10 + i) for c in range(2000) for i in range(8) if (c + i) % 5]
+    asked, components = [], regions.components
+    monkeypatch.setattr(regions, "components", lambda rest: asked.append(rest.count()) or components(rest))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        found = {r.node: r.root for r in regions.pieces(spark.createDataFrame(links, "component long, u long, v long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for _, v, u in sorted(links, key=lambda e: e[1]):
+        want[v] = want.get(u, u)
+    assert found == want and 0 < sum(asked) < 500
