@@ -10,12 +10,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.storage import cut
 from .components import components, dense_ids
 
 #: Slack that sends a centre on a border to the upper voxel in spite of rounding.
 SLACK = 1e-6
+#: Boxes that may overlap others at all.
+SOLID = " AND ".join(["store IS NOT NULL", *(f"lo{i} < hi{i}" for i in range(3))])
 
 
 def aligned(centre: Column, first: float, step: float, size: Column | int) -> Column:
@@ -24,20 +27,39 @@ def aligned(centre: Column, first: float, step: float, size: Column | int) -> Co
     return F.least(F.greatest(at, F.lit(0).cast("long")), (size if isinstance(size, Column) else F.lit(size)) - 1)
 
 
-def overlaps(boxes: DataFrame, cell: int) -> DataFrame:
-    """(a, b): boxes of one store that overlap on every axis.
+#: Boxes of equal corners that meet the others as one row.
+ALIKE = 256
+
 
-    Boxes are filed under the cells of a coarse grid that they touch and meet in an equi-join on store and cell; a
-    pair is kept only in the first cell that both touch, so no pair comes twice.
+def overlap_rows(boxes: DataFrame, cell: int) -> DataFrame:
+    """same, p, q: lists of boxes whose shapes (a store and corners) overlap; ``same`` where p and q are one list.
+
+    Boxes of one shape go together, up to ALIKE of them in a list. Lists are filed under the cells of a coarse grid that
+    they touch and meet in an equi-join on store and cell; two lists are kept only in the first cell that both touch, so
+    none meet twice.
     """
-    filed = _filed(boxes, cell)
-    left = filed.select("store", "c0", "c1", "c2", F.col("box").alias("a"), *(F.col(f"{e}{i}").alias(f"a_{e}{i}") for e in ("lo", "hi") for i in range(3)))
-    right = filed.select("store", "c0", "c1", "c2", F.col("box").alias("b"), *(F.col(f"{e}{i}").alias(f"b_{e}{i}") for e in ("lo", "hi") for i in range(3)))
-    pairs = left.join(right, ["store", "c0", "c1", "c2"]).filter("a < b")
+    cells = ["store", "c0", "c1", "c2"]
+    corners = [f"{e}{i}" for e in ("lo", "hi") for i in range(3)]
+    place = F.row_number().over(Window.partitionBy("store", *corners).orderBy("box"))
+    alike = boxes.filter(SOLID).withColumn("_list", F.floor((place - 1) / ALIKE)).groupBy("store", *corners, "_list").agg(F.collect_list("box").alias("held"))
+    filed = _filed(cut(alike.withColumn("id", F.monotonically_increasing_id()), "shapes"), cell)
+    left, right = (filed.select(*cells, *(F.col(c).alias(f"{side}_{c}") for c in ("id", "held", *corners))).repartition(*cells) for side in "ab")
+    rows = left.join(right, cells).filter("a_id <= b_id")
     for i in range(3):
         low, high = F.greatest(f"a_lo{i}", f"b_lo{i}"), F.least(f"a_hi{i}", f"b_hi{i}")
-        pairs = pairs.filter((low < high) & (F.col(f"c{i}") == F.floor(low / cell)))
-    return pairs.select("a", "b")
+        rows = rows.filter((low < high) & (F.col(f"c{i}") == F.floor(low / cell)))
+    return rows.select((F.col("a_id") == F.col("b_id")).alias("same"), F.col("a_held").alias("p"), F.col("b_held").alias("q"))
+
+
+def overlaps(boxes: DataFrame, cell: int) -> DataFrame:
+    """(a, b): boxes of one store that overlap on every axis.
+
+    Shapes are compared, not boxes: two lists of ``overlap_rows`` give all their pairs where they met, without a test of
+    corners or a shuffle.
+    """
+    pairs = overlap_rows(boxes, cell).select("same", F.explode("p").alias("p"), "q").select("same", "p", F.explode("q").alias("q"))
+    pairs = pairs.filter("p < q OR (p > q AND NOT same)")  # within one list each pair comes in both orders
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def _filed(boxes: DataFrame, cell: int) -> DataFrame:
@@ -75,7 +97,7 @@ def overlap_links(boxes: DataFrame, cell: int) -> DataFrame:
     cell.
     """
     lows, highs = ([f"{e}{i}" for i in range(3)] for e in ("lo", "hi"))
-    solid = boxes.filter(" AND ".join(["store IS NOT NULL", *(f"lo{i} < hi{i}" for i in range(3))]))  # others overlap nothing
+    solid = boxes.filter(SOLID)
     corners = solid.groupBy("store", *lows).agg(F.min("box").alias("least"), F.max(F.struct(*highs)).alias("top"))
     corners = cut(corners, "corners")
     held = solid.join(corners, ["store", *lows])

@@ -2,7 +2,10 @@
 
 import random
 import threading
+from collections import Counter
+from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,3 +387,22 @@ def test_overlap_groups_of_crowds_take_few_links(spark):
                 root[b] = a
     assert {r["box"]: r["leader"] for r in grids.overlap_groups(boxes, 64).collect()} == {k: find(k) for k in root}
     assert grids.overlap_links(boxes, 64).count() < 2 * len(rows)
+
+
+def test_overlaps_compare_shapes_and_not_boxes(spark):
+    """Crowds of equal boxes meet in lists; every pair comes once, also of boxes with more than one extent."""
+    rng = np.random.default_rng(5)
+    low = rng.integers(-150, 150, (60, 3))
+    rows = [(k, "st"[k % 2], *map(int, low[k]), *map(int, low[k] + 1 + rng.integers(20, 170, 3))) for k in range(60)]
+    rows += [(1000 + k, "s", -10, 0, 5, 140, 20, 30) for k in range(700)]  # equal ones: 244,650 overlaps
+    rows += [(7, "s", 0, 0, 0, 9, 9, 9), (7, "s", 0, 0, 0, 9, 9, 9), (2000, "s", 3, 3, 3, 3, 9, 9), (2001, None, 0, 0, 0, 9, 9, 9), (None, "s", 0, 0, 0, 9, 9, 9)]
+    boxes = spark.createDataFrame(rows, "box long, store string, lo0 long, lo1 long, lo2 long, hi0 long, hi1 long, hi2 long")
+    want = Counter(
+        (r[0], s[0]) for r, s in product(rows, rows)
+        if None not in (r[0], s[0], r[1]) and r[1] == s[1] and r[0] < s[0] and all(max(r[2 + i], s[2 + i]) < min(r[5 + i], s[5 + i]) for i in range(3))
+    )
+    got = grids.overlaps(boxes, 64)
+    assert Counter((r["a"], r["b"]) for r in got.toLocalIterator()) == want and len(want) > 244_650
+    met = grids.overlap_rows(boxes, 64)
+    assert met.count() < 2_000
+    assert met.agg(F.max(F.size("p"))).first()[0] <= grids.ALIKE
