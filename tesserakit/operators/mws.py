@@ -20,6 +20,8 @@ from . import tiling
 from .components import dense_ids
 
 ORDER = ["priority", "offset", "src"]
+#: Voxels that blocks of one part of the tree may have to go through the kernel together.
+TOGETHER = 1 << 16
 
 
 def watershed(n: int, u: np.ndarray, v: np.ndarray, attractive: np.ndarray, mutexes: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +65,7 @@ def watershed(n: int, u: np.ndarray, v: np.ndarray, attractive: np.ndarray, mute
 
 
 def _segments(nodes: np.ndarray, edges: pd.DataFrame, mutexes: pd.DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted nodes, the least node of each one's cluster, and pairs of clusters kept apart; edges that leave the nodes are left out."""
+    """Sorted nodes, the least node of each one's cluster, and pairs of clusters kept apart; edges that leave the nodes are left out, and those of a lower ``level`` (if given) come first."""
     nodes = np.unique(nodes)
     n = len(nodes)
 
@@ -71,7 +73,8 @@ def _segments(nodes: np.ndarray, edges: pd.DataFrame, mutexes: pd.DataFrame | No
         at = np.searchsorted(nodes, values := column.to_numpy(np.int64))
         return np.where((at < n) & (nodes[np.minimum(at, n - 1)] == values), at, -1)
 
-    edges = edges.sort_values(ORDER, ascending=[False, True, True], kind="stable")
+    levels = ["level"] if "level" in edges else []
+    edges = edges.sort_values([*levels, *ORDER], ascending=[*(True for _ in levels), False, True, True], kind="stable")
     u, v = number(edges["src"] if "low" not in edges else edges["low"]), number(edges["dst"] if "high" not in edges else edges["high"])
     inside = (u >= 0) & (v >= 0)
     held = None if mutexes is None else (number(mutexes["low"]), number(mutexes["high"]))
@@ -95,14 +98,15 @@ def mutex_watershed(nodes: DataFrame, edges: DataFrame, by: str = "volume") -> D
     return nodes.groupBy(by).cogroup(edges.groupBy(by)).applyInPandas(run, f"{by} {kind}, lin long, segment long")
 
 
-def block_clusters(nodes: DataFrame, edges: DataFrame, block: list[str] = ("block",)) -> DataFrame:
-    """Rows (block, lin, cluster) and, with null lin, (block, cluster, other) for clusters that a mutex keeps apart."""
+def block_clusters(nodes: DataFrame, edges: DataFrame, block: list[str] = ("block",), mutexes: bool = True) -> DataFrame:
+    """Rows (block, lin, cluster) and, with null lin, (block, cluster, other) for clusters that a mutex keeps apart (unless ``mutexes`` is false)."""
     block = list(block)
 
     def run(key: tuple, node: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
         if not len(node):
             return pd.DataFrame()
         lin, least, apart = _segments(node["lin"].to_numpy(np.int64), edge)
+        apart = apart if mutexes else apart[:0]
         n, m = len(lin), len(apart)
         known, pairs = np.arange(n + m) < n, np.concatenate((np.stack((lin, least), 1), apart))
         column = lambda values, where: pd.arrays.IntegerArray(values.copy(), ~where)
@@ -185,25 +189,34 @@ def _renamed(rows: DataFrame, roots: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("_low", F.least("low", "high")).withColumn("high", F.greatest("low", "high")).withColumn("low", F.col("_low")).drop("_low")
 
 
-def tiled(voxels: DataFrame, edges: DataFrame, block: tuple[int, int, int], stride: int = 1, lows: dict[str, Column | int] | None = None, by: str = "volume") -> DataFrame:
+def tiled(
+    voxels: DataFrame, edges: DataFrame, block: tuple[int, int, int], stride: int = 1, lows: dict[str, Column | int] | None = None, by: str = "volume", together: int = TOGETHER
+) -> DataFrame:
     """by, lin, segment: the watershed block by block, then up a tree of blocks that merges two halves along an axis at a time.
 
     ``voxels``: by, lin, x, y, z (those missing are masked); ``edges`` as ``graph.edges`` gives them, with ``by``, x, y and z of
     their source; ``lows``: where a volume begins along its axes. The result is that of one watershed whose edges are
     ordered by the level of the tree at which both ends are first together, then by priority: with one block it is the
-    exact watershed. A merge holds the clusters that touch the face between its halves, the first edge of each two of them and
-    the mutexes among them, so no group holds more than a block or a face. Segments are numbered from 1 in each
-    volume, in raster order of their first voxels; ``lin`` is unique in a volume.
+    exact watershed. The lowest parts of the tree that have no more than ``together`` voxels (or one block) go through the kernel
+    in that order, a part a call; the levels above are merged one by one. A merge holds the clusters that touch the face between
+    its halves, the first edge of each two of them and the mutexes among them, so no group holds more than ``together``
+    voxels, a block or a face. Segments are numbered from 1 in each volume, in raster order of their first voxels; ``lin``
+    is unique in a volume.
     """
     tiling.check(block, stride)
-    home = tiling.home(block, lows)
-    placed = voxels.select(by, "lin", home({a: F.col(a) for a in "xyz"}).alias("home"))
-    wired = edges.select(by, *ORDER, "dst", "attractive", home({a: F.col(a) for a in "xyz"}).alias("home"), home(tiling.ends()).alias("_other"))
-    inner = wired.filter("home = _other").drop("_other")
-    parts = cut(block_clusters(placed, inner, [by, "home"]), "blocks")
+    home, part = tiling.home(block, lows), tiling.home(tiling.fitting(block, together), lows)
+    at, end = {a: F.col(a) for a in "xyz"}, tiling.ends()
+    placed = voxels.select(by, "lin", part(at).alias("part"))
+    wired = edges.select(by, *ORDER, "dst", "attractive", home(at).alias("home"), home(end).alias("_other"), part(at).alias("part"), part(end).alias("_part"))
+    level = tiling.level(F.col("home"), F.col("_other")).alias("level")
+    crossing = cut(wired.filter("part <> _part").select(by, *ORDER, "dst", "attractive", "home", level), "crossing")
+    whole = crossing.isEmpty()  # every volume is one part
+    inner = wired.filter("part = _part").select(by, *ORDER, "dst", "attractive", "part", level)
+    parts = cut(block_clusters(placed, inner, [by, "part"], mutexes=not whole), "blocks")
     named = parts.filter("lin IS NOT NULL").select(by, "lin", "cluster")
+    if whole:
+        return _numbered(named.withColumnRenamed("cluster", "_root"), by)
     ends = {e: named.select(by, F.col("lin").alias(e), F.col("cluster").alias(n)) for e, n in (("src", "low"), ("dst", "high"))}
-    crossing = wired.filter("home <> _other").withColumn("level", tiling.level(F.col("home"), F.col("_other")))
     crossing = crossing.join(ends["src"], [by, "src"]).join(ends["dst"], [by, "dst"])
     ordered = crossing.withColumn("_low", F.least("low", "high")).withColumn("high", F.greatest("low", "high")).withColumn("low", F.col("_low"))
     cross = cut(_first(ordered, [by, "level"]), "faces")
@@ -237,6 +250,6 @@ def tiled(voxels: DataFrame, edges: DataFrame, block: tuple[int, int, int], stri
 
 
 def _numbered(named: DataFrame, by: str) -> DataFrame:
-    numbers = dense_ids(named, [by, "_root"], "_number")
+    numbers = dense_ids(named.filter("lin = _root"), [by, "_root"], "_number")  # a root is the least voxel of its segment
     offsets = numbers.groupBy(by).agg(F.min("_number").alias("_least"))
     return named.join(numbers, [by, "_root"]).join(offsets, by).select(by, "lin", (F.col("_number") - F.col("_least") + 1).alias("segment"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,3 +80,13 @@ def above(block: Column, at: int) -> Column:
     """The number of the block's part of the tree at a level."""
     shifts = [(at - 1 - i) // len(AXES) + 1 if at > i else 0 for i in range(len(AXES))]
     return number({a: F.shiftrightunsigned(_place(block, i), shifts[i]) for i, a in enumerate(AXES)})
+
+
+def fitting(block: tuple[int, int, int], voxels: int) -> tuple[int, int, int]:
+    """The size of the tree's parts at the highest level where they have at most so many voxels, or that of a block."""
+    size = list(block)
+    for at in range(len(AXES) * BITS):
+        if 2 * prod(size) > voxels:
+            break
+        size[at % len(AXES)] *= 2
+    return tuple(size)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tesserakit.jobs import catalog
 from tesserakit.operators import graph, mws, tiling
 from tesserakit.sources import volumes as v
 
@@ -111,3 +112,25 @@ def test_watershed_of_the_tables(spark):
         assert got == slow(rows, sizes, block)
     exact = mws.mutex_watershed(vox.select("volume", "lin"), edges.select("volume", "src", "dst", "offset", "priority", "attractive"))
     assert {r["lin"]: r["segment"] for r in exact.collect()} == got
+
+
+def test_parts_that_fit():
+    sizes = {0: (10, 12, 10), 2_399: (10, 12, 10), 2_400: (20, 12, 10), 9_599: (20, 24, 10), 9_600: (20, 24, 20), 1 << 16: (40, 48, 20)}
+    assert {n: tiling.fitting((10, 12, 10), n) for n in sizes} == sizes
+
+
+@pytest.mark.parametrize("together", [0, 480, 2_000, 1 << 16])
+def test_parts_of_the_tree_go_together(spark, together):
+    """Whatever goes through the kernel at once, the rows are those of the tree."""
+    sizes, block = (23, 12, 13), (10, 6, 4)
+    rows = {s: lattice(s, sizes, 0.1) for s in (5, 6)}
+    frame = spark.createDataFrame([r for part in rows.values() for r in part], "volume long, lin long, x long, y long, z long, inside boolean, " + ", ".join(f"a{i} double" for i in range(6)))
+    edges = graph.edges(frame, dict(zip("xyz", sizes, strict=True)), {"x": sizes[1] * sizes[2], "y": sizes[2], "z": 1}, 1, ["volume", "x", "y", "z"])
+    got = mws.tiled(frame.filter("inside").select("volume", "lin", "x", "y", "z"), edges, block, together=together).collect()
+    for s, part in rows.items():
+        assert {r["lin"]: r["segment"] for r in got if r["volume"] == s} == slow(part, sizes, block)
+
+
+def test_volumes_that_fit_are_not_merged_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(mws, "_stitched", None)
+    assert catalog.QUERIES["mws_tiled"](spark, "/root/testdata/sf0.001").count() == 1_000
