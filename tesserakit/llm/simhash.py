@@ -46,6 +46,8 @@ SMALL_PLACE = 32
 #: Hashed counters that estimate how often shingles occur, ratio of sizes within a class, and what rounding may take.
 COUNTERS, SIZES_APART, SLACK = 1 << 20, 1.1, 1e-6
 ROWS = 256
+#: Keys of first shingles that a task gathers before it passes them on.
+HEADS = 1 << 15
 
 
 class Ring:
@@ -309,39 +311,48 @@ def filed(members: DataFrame, hashed: DataFrame, similarity: float = SIMILARITY)
     """
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sizes = np.zeros(COUNTERS, np.int64), set()
         for batch in batches:
-            lists = batch.column(0)
-            at, n = np.unique(lists.flatten().to_numpy().astype(np.int64) & (COUNTERS - 1), return_counts=True)
-            sizes = sorted({_class(k) for k in lists.value_lengths().to_pylist()})
-            column = np.concatenate((at, -1 - np.array(sizes, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(column), pa.array(np.concatenate((n, np.ones(len(sizes), np.int64))))], names=["at", "n"])
+            for k in range(0, batch.num_rows, ROWS):
+                lists = batch.column(0).slice(k, ROWS)
+                total += np.bincount(lists.flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+                sizes |= {_class(n) for n in lists.value_lengths().to_pylist()}
+        at, classes = np.flatnonzero(total), np.array(sorted(sizes), np.int64)
+        column = np.concatenate((at, -1 - classes))
+        yield pa.RecordBatch.from_arrays([pa.array(column), pa.array(np.concatenate((total[at], np.ones(len(classes), np.int64))))], names=["at", "n"])
 
     counted = hashed.select("shingles").mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter("n > 1 OR at < 0").toArrow()
     at, n = (counted.column(c).to_numpy() for c in ("at", "n"))  # COUNTERS rows at most, and one a class
     counts, classes = np.ones(COUNTERS, np.uint16), frozenset((-1 - at[at < 0]).tolist())
     counts[at[at >= 0]] = np.minimum(n[at >= 0], 65535)
 
+    def keyed(ids: list[pa.Array], columns: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, row, size, pos = map(np.concatenate, zip(*columns, strict=True))
+        named = [c.take(pa.array(row)) for c in ids]  # never the shingles: a copy of all of them a key
+        return pa.RecordBatch.from_arrays([pa.array(key), *named, pa.array(size), pa.array(pos)], names=["key", "text_hash", "fp", "root", "size", "pos"])
+
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                rows, columns = batch.slice(k, ROWS), [[np.zeros(0, np.int64)] for _ in range(4)]
-                for row, made in enumerate(rows.column(1)):
-                    size = len(values := made.values.to_numpy())
-                    often = counts[values & (COUNTERS - 1)]
-                    order = np.lexsort((values, often))
-                    values, often, own = values[order], often[order], _class(size)
-                    least = int(np.ceil(similarity * size - SLACK))
-                    for other in classes & set(range(_class(least), _class(int(size / similarity + SLACK)) + 1)):
-                        of = max(least, int(SIZES_APART**other))
-                        length = size + 1 - int(np.ceil(similarity / (1 + similarity) * (size + of) - SLACK))
-                        pos = np.flatnonzero(often[: max(0, length)] > 1)
-                        low, high = sorted((own, other))
-                        found = values[pos] ^ np.int64((low << 10 | high) * 0x9E3779B97F4A7C1 % (1 << 63))
-                        for column, part in zip(columns, (found, np.full(len(pos), row), np.full(len(pos), size), pos + 1), strict=True):
-                            column.append(part)
-                key, row, size, pos = map(np.concatenate, columns)
-                rows = rows.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(rows.column(i) for i in (0, 2, 3)), pa.array(size), pa.array(pos)], names=["key", "text_hash", "fp", "root", "size", "pos"])
+            ids, columns, held = [batch.column(i) for i in (0, 2, 3)], [], 0
+            for row, made in enumerate(batch.column(1)):
+                size = len(values := made.values.to_numpy())
+                often = counts[values & (COUNTERS - 1)]
+                order = np.lexsort((values, often))
+                values, often, own = values[order], often[order], _class(size)
+                least = int(np.ceil(similarity * size - SLACK))
+                for other in classes & set(range(_class(least), _class(int(size / similarity + SLACK)) + 1)):
+                    of = max(least, int(SIZES_APART**other))
+                    length = size + 1 - int(np.ceil(similarity / (1 + similarity) * (size + of) - SLACK))
+                    pos = np.flatnonzero(often[: max(0, length)] > 1)
+                    low, high = sorted((own, other))
+                    found = values[pos] ^ np.int64((low << 10 | high) * 0x9E3779B97F4A7C1 % (1 << 63))
+                    columns.append((found, np.full(len(pos), row), np.full(len(pos), size), pos + 1))
+                    held += len(pos)
+                if held >= HEADS:
+                    yield keyed(ids, columns)
+                    columns, held = [], 0
+            if held:
+                yield keyed(ids, columns)
 
     known = members.join(hashed, "text_hash").select("text_hash", "shingles", "fp", "root")
     return cut(known.mapInArrow(heads, "key long, text_hash long, fp long, root long, size long, pos long"), "heads")

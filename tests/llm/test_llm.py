@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -414,6 +415,28 @@ def test_crowds_of_texts_apart_are_not_compared_in_pairs(spark, monkeypatch):
     assert sum(asked[2:]) < len(texts)  # what is left when small places and trees are confirmed
 
 
+def test_first_shingles_are_filed_without_copies_of_all_shingles(spark, monkeypatch):
+    """Long texts of many first shingles: what a task holds follows the keys it makes, what it counts the counters."""
+    draw, taken = random.Random(11), []
+    often = [draw.getrandbits(63) for _ in range(2500)]
+    rows = [(k, sorted(draw.sample(often, 2000))) for k in range(40)]
+    hashed = spark.createDataFrame(rows, "text_hash long, shingles array<long>")
+    members = spark.createDataFrame([(k, k, k) for k, _ in rows], "text_hash long, fp long, root long")
+    frame, mapped = type(hashed), type(hashed).mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *more, **named: (taken.append(f), mapped(self, f, *more, **named))[1])
+    kept = simhash.filed(members, hashed)
+    tally, heads = taken
+    lists, n = pa.array([x for _, x in rows]), pa.array(range(40))
+    before, held, keys = pa.total_allocated_bytes(), [], 0
+    for made in heads(iter([pa.RecordBatch.from_arrays([n, lists, n, n], names=["text_hash", "shingles", "fp", "root"])])):
+        held.append(pa.total_allocated_bytes() - before)
+        keys += len(made)
+    assert keys == kept.count() > 10_000 and max(held) < 10 * lists.nbytes
+    counted = pa.RecordBatch.from_arrays([lists], names=["shingles"])
+    once, twice = ({r["at"]: r["n"] for made in tally(iter([counted] * k)) for r in made.to_pylist()} for k in (1, 2))
+    assert sum(map(len, tally(iter([counted] * 2)))) == len(once) and all(twice[c] == 2 * m for c, m in once.items() if c >= 0)
+
+
 def test_keep_one(docs):
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert kept == {r.component_id for r in simhash.query(docs).collect()}
